@@ -142,10 +142,11 @@ def nearest_rank(
     def finite(c: str) -> Column:
         return F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
 
+    types = {f.name: f.dataType for f in df.schema.fields}
     if fits(df, keys):
         disc = [
-            F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __v_{n})").alias(n)
-            for n, (_, p) in ranks.items()
+            F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __v_{n})").cast(types[c]).alias(n)
+            for n, (c, p) in ranks.items()
         ]
         valued = df.select("*", *[finite(c).alias(f"__v_{n}") for n, (c, _) in ranks.items()])
         return valued.groupBy(*keys).agg(*aggs, *disc)
