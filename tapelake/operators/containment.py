@@ -8,13 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# A phrase side up to this many rows is shipped to every task; a larger one is shuffled.
+SHIPPED_ROWS = 200_000
+
+
+def pieces(c: Column, q: int) -> Column:
+    """Cut a text into stretches that overlap by q - 1, so no gram is lost.
+
+    Taking a substring costs its distance from the start, so grams are cut from
+    stretches and not from the text itself; a stretch grows with the root of the
+    text, which keeps the whole cost at n to the power of 1.5.
+    """
+    size = F.greatest(F.lit(256), F.sqrt(F.length(c)).cast("int"))
+    spots = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), size)
+    return F.transform(spots, lambda i: F.substring(c, i, size + (q - 1)))
+
+
 def grams(c: Column, q: int) -> Column:
-    """Distinct substrings of ``q`` characters."""
+    """Distinct substrings of ``q`` characters of a short text."""
     spots = F.sequence(F.lit(1), F.length(c) - (q - 1))
     cut = F.array_distinct(F.transform(spots, lambda i: F.substring(c, i, F.lit(q))))
     return F.when(F.length(c) >= q, cut).otherwise(F.array().cast("array<string>"))
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """Broadcast a side that is counted to be small, else leave the join to Spark."""
+    return F.broadcast(df) if df.limit(SHIPPED_ROWS + 1).count() <= SHIPPED_ROWS else df
+
+
 def phrase_hits(
     phrases: DataFrame, texts: DataFrame, phrase_ids: Sequence[str], text_ids: Sequence[str],
     phrase: str, text: str, q: int, on: Sequence[str] = (),
@@ -23,17 +44,18 @@ def phrase_hits(
 
     Every phrase must have ``q`` characters or more. Each phrase is looked up by
     one of its own grams only, the one fewest phrases share, so common grams
-    join nothing. Text grams stay map-side: with a small phrase set Spark
-    broadcasts it and only candidates leave the scan. Candidates are then
-    checked against the whole text.
+    join nothing. With a phrase set of checked size the text grams never leave
+    the scan, only candidates do. Candidates are then checked against the whole
+    text.
     """
     own = phrases.select(*on, *phrase_ids, phrase, F.explode(grams(F.col(phrase), q)).alias("__gram"))
     shared = own.groupBy(*on, "__gram").agg(F.count(F.lit(1)).alias("__n"))
     anchors = own.join(shared, [*on, "__gram"]).groupBy(*on, *phrase_ids).agg(
         F.min_by(F.struct("__gram", phrase), F.struct("__n", "__gram")).alias("__a"))
     anchors = anchors.select(*on, *phrase_ids, F.col("__a.__gram").alias("__gram"), F.col(f"__a.{phrase}").alias(phrase))
-    spread = texts.select(*on, *text_ids, F.explode(grams(F.col(text), q)).alias("__gram"))
-    candidates = spread.join(anchors, [*on, "__gram"]).drop("__gram")
+    cut = texts.select(*on, *text_ids, F.explode(pieces(F.col(text), q)).alias("__piece"))
+    spread = cut.select(*on, *text_ids, F.explode(grams(F.col("__piece"), q)).alias("__gram"))
+    candidates = spread.join(shipped(anchors), [*on, "__gram"]).drop("__gram").distinct()
     whole = texts.select(*on, *text_ids, text)
     return candidates.join(whole, [*on, *text_ids]).where(F.contains(F.col(text), F.col(phrase))).drop(phrase, text)
 
@@ -53,6 +75,6 @@ def word_hits(
     keyed = phrases.select(*on, *phrase_ids, phrase, first.alias("__token")).where("__token <> ''")
     tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[a-z0-9]+"), F.lit(0)))
     spread = texts.select(*on, *text_ids, F.explode(tokens).alias("__token"))
-    candidates = spread.join(keyed, [*on, "__token"]).drop("__token")
+    candidates = spread.join(shipped(keyed), [*on, "__token"]).drop("__token").distinct()
     whole = texts.select(*on, *text_ids, text)
     return candidates.join(whole, [*on, *text_ids]).where(has_word(F.col(text), F.col(phrase))).drop(phrase, text)

@@ -223,7 +223,7 @@ def max_variation(counts: DataFrame, item: Sequence[str], ordering: str, key: st
     # The complement of a subset gives the same difference, so the last answer is never in one.
     vectors = masks.groupBy(*item, ordering, "__d").agg(
         F.map_from_entries(F.collect_list(F.struct("__bit", "p"))).alias("__p"))
-    top = F.shiftleft(F.lit(1), F.col("__d") - 1)
+    top = F.pow(F.lit(2), F.col("__d") - 1).cast("int")
     subsets = vectors.select(
         *item, ordering, "__p", F.explode(F.sequence(F.lit(0), top - 1)).alias("__mask"))
     weight = F.aggregate(

@@ -274,18 +274,18 @@ WITH o AS (SELECT l_orderkey, bool_or(l_linestatus = 'F') AS ok, bool_and(l_retu
                   sum(l_quantity) AS tokens FROM lineitem GROUP BY 1),
      t AS (SELECT o_custkey, coalesce(ok, false) AS success, coalesce(clean, false) AND coalesce(ok, false) AS first_try,
                   coalesce(calls, 0) AS calls, tokens,
-                  CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS cost
+                  CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 7 END AS cost
            FROM orders LEFT JOIN o ON o_orderkey = l_orderkey),
      a AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (first_try) AS k, count(*) FILTER (success) AS e,
                   avg(calls) FILTER (success) AS mc, avg(tokens) FILTER (success) AS mt, avg(cost) FILTER (success) AS mu
            FROM t GROUP BY 1)
 SELECT o_custkey, n, k AS first_try_k, e AS eventual_k, round(mc, 6) AS mean_calls, round(mt, 6) AS mean_tokens,
-       round(mu, 3) AS mean_cost_usd, round({LOW}, 9) AS low, round({HIGH}, 9) AS high
+       round(mu, 2) AS mean_cost_usd, round({LOW}, 9) AS low, round({HIGH}, 9) AS high
 FROM a""")
 def score_rollup(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     tasks = o.select("o_custkey", F.col("o_orderkey").alias("task_id"),
-                     F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("cost_usd"))
+                     F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 7).alias("cost_usd"))
     line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(
         F.bool_or(F.col("l_linestatus") == "F").alias("success"),
         F.bool_and(F.col("l_returnflag") != "R").alias("first_try"),
@@ -294,7 +294,7 @@ def score_rollup(spark, sf_dir):
         "tool_calls", F.coalesce("tool_calls", F.lit(0))).withColumn("unconfirmed_calls", F.lit(0))
     out = score.score_block(results, ["o_custkey"])
     return out.select("o_custkey", "n", "first_try_k", "eventual_k", F.round("mean_calls", 6).alias("mean_calls"),
-                      F.round("mean_tokens", 6).alias("mean_tokens"), F.round("mean_cost_usd", 3).alias("mean_cost_usd"),
+                      F.round("mean_tokens", 6).alias("mean_tokens"), F.round("mean_cost_usd", 2).alias("mean_cost_usd"),
                       F.round("first_try.low", 9).alias("low"), F.round("first_try.high", 9).alias("high"))
 
 

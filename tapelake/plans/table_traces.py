@@ -73,13 +73,13 @@ def call_pairing(spark, sf_dir):
 
 
 @query(CALLS_SQL + """
-SELECT CAST(user_id % 16 AS VARCHAR) AS tool, count(*) AS calls, CAST(0 AS BIGINT) AS errors,
+SELECT CAST(dayofweek(CAST(day AS DATE)) + 1 AS VARCHAR) AS tool, count(*) AS calls, CAST(0 AS BIGINT) AS errors,
        count(*) FILTER (pending) AS pending, 'mcp' AS origin,
        quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms
 FROM calls GROUP BY 1""")
 def tool_stats(spark, sf_dir):
     rows = _event_calls(spark, sf_dir).select(
-        (F.col("user_id") % 16).cast("string").alias("tool"), "latency_ms", "pending",
+        F.dayofweek("day").cast("string").alias("tool"), "latency_ms", "pending",
         F.lit(None).cast("string").alias("error"), F.lit("mcp").alias("origin"))
     return calls.tool_stats(rows, keys=[])
 
