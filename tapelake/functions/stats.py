@@ -19,15 +19,6 @@ Z95 = 1.96
 SERIES_MAX = 4096
 
 
-def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(float(x))
-
-
-def _let(value: Column, body) -> Column:
-    """Work ``value`` out once and hand it to ``body`` (keeps expressions small)."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def rate(k: Column, n: Column) -> Column:
     return F.when(n > 0, k / n).otherwise(F.lit(0.0))
 
@@ -51,164 +42,138 @@ def wilson(k: Column, n: Column, z: float = Z95) -> Column:
 
 
 # --- binomial -------------------------------------------------------------
+#
+# These are written as SQL text: k and n are column names or SQL expressions.
+# ``transform(array(x), a -> ...)[0]`` works x out once and names it.
+
+
+def _d(x: float) -> str:
+    return f"{float(x)!r}D"
 
-_STIRLING = [0.0] + [
-    math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 16)]
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _stirling_error(n: Column) -> Column:
-    nn = n * n
-    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / nn) / nn) / nn) / nn) / n
-    table = F.array(*[F.lit(x) for x in _STIRLING])
-    small = F.try_element_at(table, F.least(n, F.lit(15)).cast("int") + 1)
-    return F.when(n <= 15, small).otherwise(series)
 
+_STIRLING = "array(" + ", ".join(_d(x) for x in [0.0] + [
+    math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 16)]) + ")"
 
-def _deviance(x: Column, m: Column) -> Column:
+
+def _stirling_error(n: str) -> str:
+    nn = f"({n} * {n})"
+    series = (f"({_d(1 / 12)} - ({_d(1 / 360)} - ({_d(1 / 1260)} - ({_d(1 / 1680)} - {_d(1 / 1188)}"
+              f" / {nn}) / {nn}) / {nn}) / {nn}) / {n}")
+    return f"CASE WHEN {n} <= 15 THEN element_at({_STIRLING}, int(least({n}, 15)) + 1) ELSE {series} END"
+
+
+def _deviance(x: str, m: str) -> str:
     """x*ln(x/m) + m - x without cancellation near x = m."""
-    def near(v: Column) -> Column:
-        vv = v * v
-        odd = _poly([F.lit(1 / (2 * j + 1)) for j in range(9, 0, -1)], vv) * vv
-        return (x - m) * v + 2 * x * v * odd
+    odd = _d(1 / 19)
+    for j in range(8, 0, -1):
+        odd = f"({odd} * v * v + {_d(1 / (2 * j + 1))})"
+    near = _let("v", f"({x} - {m}) / ({x} + {m})", f"({x} - {m}) * v + 2 * {x} * v * ({odd} * v * v)")
+    return f"CASE WHEN abs({x} - {m}) < 0.1D * ({x} + {m}) THEN {near} ELSE {x} * ln({x} / {m}) + {m} - {x} END"
 
-    return F.when(F.abs(x - m) < 0.1 * (x + m), _let((x - m) / (x + m), near)).otherwise(
-        x * F.ln(x / m) + m - x)
 
+def _pmf(k: str, n: str, p: str) -> str:
+    args = (f"named_struct('x', double({k}), 'm', double({n}), 'y', double({n}) - {k}, 'p', {p},"
+            f" 'mp', {n} * {p}, 'mq', {n} * (1 - {p}))")
+    inner = (f"exp(({_stirling_error('b.m')}) - ({_stirling_error('b.x')}) - ({_stirling_error('b.y')})"
+             f" - ({_deviance('b.x', 'b.mp')}) - ({_deviance('b.y', 'b.mq')}))"
+             f" * sqrt(b.m / ({_d(2 * math.pi)} * b.x * b.y))")
+    return _let("b", args, f"""CASE WHEN b.x < 0 OR b.y < 0 THEN 0D
+        WHEN b.p <= 0 THEN double(b.x = 0) WHEN b.p >= 1 THEN double(b.y = 0)
+        WHEN b.x = 0 THEN exp(b.m * log1p(-b.p)) WHEN b.y = 0 THEN power(b.p, b.m) ELSE {inner} END""")
 
-def binom_pmf(k: Column, n: Column, p) -> Column:
+
+def binom_pmf(k: str, n: str, p) -> Column:
     """P(X = k) for any n, without factorials."""
-    args = F.struct(k.cast("double").alias("x"), n.cast("double").alias("m"), _c(p).alias("p"))
-    return _let(args, lambda a: _pmf(a["x"], a["m"], a["p"]))
-
-
-def _pmf(x: Column, m: Column, p: Column) -> Column:
-    q = 1 - p
-    y = m - x
-    inner = F.exp(
-        _stirling_error(m) - _stirling_error(x) - _stirling_error(y)
-        - _deviance(x, m * p) - _deviance(y, m * q)
-    ) * F.sqrt(m / (2 * math.pi * x * y))
-    one, zero = F.lit(1.0), F.lit(0.0)
-    return (F.when((x < 0) | (x > m), zero)
-            .when(p <= 0, F.when(x == 0, one).otherwise(zero))
-            .when(p >= 1, F.when(x == m, one).otherwise(zero))
-            .when(x == 0, F.exp(m * F.log1p(-p)))
-            .when(x == m, F.pow(p, m))
-            .otherwise(inner))
-
-
-def _series(k: Column, n: Column, p: Column) -> Column:
-    q = 1 - p
-    ratio = p / q
-    first = F.pow(q, n.cast("double"))
-
-    def step(s, i):
-        term = F.when(i > 0, s["term"] * ((n - i + 1) / i) * ratio).otherwise(s["term"])
-        return F.struct(term.alias("term"), F.when(i > 0, s["acc"] + term).otherwise(s["acc"]).alias("acc"))
-
-    return F.aggregate(
-        F.sequence(F.lit(0).cast("long"), k.cast("long")),
-        F.struct(first.alias("term"), first.alias("acc")),
-        step, lambda s: F.least(s["acc"], F.lit(1.0)))
-
-
-def _tail_below(k: Column, n: Column, p: Column) -> Column:
-    """Sum of terms from k downwards; enough of them to exhaust a double."""
-    q = 1 - p
-    spread = (12 * F.sqrt(n * p * q)).cast("long") + 60
-    first = binom_pmf(k, n, p)
-    steps = F.least(k.cast("long"), spread)
+    return F.expr(_pmf(k, n, _p(p)))
 
-    def step(s, j):
-        at = k - j + 1
-        term = F.when(j > 0, s["term"] * (at * q) / ((n - at + 1) * p)).otherwise(s["term"])
-        return F.struct(term.alias("term"), F.when(j > 0, s["acc"] + term).otherwise(s["acc"]).alias("acc"))
 
-    return F.aggregate(
-        F.sequence(F.lit(0).cast("long"), steps),
-        F.struct(first.alias("term"), first.alias("acc")),
-        step, lambda s: F.least(s["acc"], F.lit(1.0)))
+def _p(p) -> str:
+    return p if isinstance(p, str) else _d(p)
 
 
-def binom_cdf(k: Column, n: Column, p) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), exact for every n."""
-    args = F.struct(k.cast("long").alias("k"), n.cast("long").alias("n"), _c(p).alias("p"))
-    return _let(args, lambda a: _cdf(a["k"], a["n"], a["p"]))
+def _sum_terms(first: str, steps: str, factor: str) -> str:
+    """first + first*factor(1) + first*factor(1)*factor(2) + ..., at most 1."""
+    term = f"CASE WHEN i > 0 THEN s.term * {factor} ELSE s.term END"
+    return (f"aggregate(sequence(0L, {steps}), named_struct('term', {first}, 'acc', 0D), "
+            f"(s, i) -> {_let('t', term, "named_struct('term', t, 'acc', s.acc + t)")}, s -> least(s.acc, 1D))")
 
 
-def _cdf(k: Column, n: Column, p: Column) -> Column:
-    short = (n * F.log1p(-p) > -700) & (k <= SERIES_MAX)
+def _series(k: str, n: str, p: str) -> str:
+    return _sum_terms(f"power(1 - {p}, double({n}))", k, f"(({n} - i + 1) / i) * ({p} / (1 - {p}))")
+
+
+def _tail_below(k: str, n: str, p: str) -> str:
+    """Sum of terms from k downwards; enough of them to exhaust a double."""
+    steps = f"least({k}, bigint(12 * sqrt({n} * {p} * (1 - {p}))) + 60)"
+    return _sum_terms(_pmf(k, n, p), steps, f"(({k} - i + 1) * (1 - {p})) / (({n} - {k} + i) * {p})")
+
+
+def _cdf(k: str, n: str, p: str) -> str:
     # On the far side of the mean the complement is the short tail:
     # P(X <= k) = 1 - P(Y <= n - k - 1) with Y ~ Binomial(n, 1 - p).
-    return (F.when(k < 0, F.lit(0.0))
-            .when(k >= n, F.lit(1.0))
-            .when(p <= 0, F.lit(1.0))
-            .when(p >= 1, F.lit(0.0))
-            .when(short, _series(k, n, p))
-            .when(k <= n * p, _tail_below(k, n, p))
-            .otherwise(1 - _tail_below(n - k - 1, n, 1 - p)))
+    return _let("a", f"named_struct('k', bigint({k}), 'n', bigint({n}), 'p', {p}, 'j', bigint({n} - {k} - 1), 'q', 1 - {p})",
+                f"""CASE WHEN a.k < 0 THEN 0D WHEN a.k >= a.n THEN 1D WHEN a.p <= 0 THEN 1D WHEN a.p >= 1 THEN 0D
+        WHEN a.n * log1p(-a.p) > -700 AND a.k <= {SERIES_MAX} THEN {_series('a.k', 'a.n', 'a.p')}
+        WHEN a.k <= a.n * a.p THEN {_tail_below('a.k', 'a.n', 'a.p')}
+        ELSE 1 - {_tail_below('a.j', 'a.n', 'a.q')} END""")
+
+
+def binom_cdf(k: str, n: str, p) -> Column:
+    """P(X <= k) for X ~ Binomial(n, p), exact for every n."""
+    return F.expr(_cdf(k, n, _p(p)))
 
 
-def gate_outcome(k: Column, n: Column, threshold: float, alpha: float = 0.05) -> Column:
-    """PASS / FAIL / EXTEND; NULL for an empty sample."""
+def outcome_of(k: Column, n: Column, p_value: Column, threshold: float, alpha: float = 0.05) -> Column:
+    """PASS / FAIL / EXTEND from counts whose p-value is known; NULL for an empty sample."""
     return (F.when(n <= 0, F.lit(None).cast("string"))
             .when(k / n >= threshold, F.lit("PASS"))
-            .when(binom_cdf(k, n, threshold) < alpha, F.lit("FAIL"))
+            .when(p_value < alpha, F.lit("FAIL"))
             .otherwise(F.lit("EXTEND")))
 
 
-def critical_k(n: Column, threshold: float, alpha: float = 0.05) -> Column:
-    """Largest k that still fails the gate at size n, -1 if none does."""
-    return _let(n.cast("long"), lambda m: _critical(m, threshold, alpha))
+def gate_outcome(k: str, n: str, threshold: float, alpha: float = 0.05) -> Column:
+    return outcome_of(F.expr(k), F.expr(n), binom_cdf(k, n, threshold), threshold, alpha)
 
 
-def _critical(n: Column, threshold: float, alpha: float) -> Column:
+def _critical(n: str, threshold: float, alpha: float) -> str:
+    if threshold >= 1:
+        return f"({n}) - 1"
     p, q = threshold, 1 - threshold
-    log_q = math.log1p(-p) if p < 1 else float("-inf")
-    first = F.pow(F.lit(q), n.cast("double"))
-
-    def walk(state, i):
-        term = F.when(i > 0, state["term"] * ((n - i + 1) / i) * (p / q)).otherwise(state["term"])
-        acc = F.when(i > 0, state["acc"] + term).otherwise(state["acc"])
-        return F.struct(term.alias("term"), acc.alias("acc"),
-                        F.when(acc < alpha, i).otherwise(state["crit"]).alias("crit"))
-
-    exact = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), n - 1),
-        F.struct(first.alias("term"), first.alias("acc"), F.lit(-1).cast("long").alias("crit")),
-        walk, lambda s: s["crit"])
-    if p >= 1:
-        return n - 1
+    odds = _d(p / q)
+
+    def walk(first: str, acc: str, low: str, steps: str) -> str:
+        """Add terms upwards from ``low`` and keep the last count still below alpha."""
+        term = f"CASE WHEN i > 0 THEN s.term * ((c.n - ({low} + i) + 1) / ({low} + i)) * {odds} ELSE s.term END"
+        grown = "CASE WHEN i > 0 THEN s.acc + t ELSE s.acc END"
+        step = _let("t", term, _let("g", grown, (
+            f"named_struct('term', t, 'acc', g, 'crit', CASE WHEN g < {_d(alpha)} THEN {low} + i ELSE s.crit END)")))
+        return (f"aggregate(sequence(0L, {steps}), named_struct('term', {first}, 'acc', {acc}, 'crit', -1L), "
+                f"(s, i) -> {step}, s -> s.crit)")
+
+    start = f"power({_d(q)}, double(c.n))"
+    exact = walk(start, start, "0L", "c.n - 1")
     # For a larger n the normal quantile is off by a few counts at most, so the
     # walk starts well below it.
-    z = float(_quantile(alpha))
-    guess = (n * p + z * F.sqrt(n * p * q)).cast("long") - 24
-    wide = _let(F.greatest(guess, F.lit(0).cast("long")), lambda low: _climb(low, n, p, alpha))
-    return (F.when(n <= 0, F.lit(-1).cast("long"))
-            .when((n * log_q > -700) & (n <= SERIES_MAX), exact).otherwise(wide))
+    wide = walk(_pmf("c.low", "c.n", _d(p)), _cdf("c.low", "c.n", _d(p)), "c.low", "64L")
+    guess = f"bigint({n} * {_d(p)} + {_d(_quantile(alpha))} * sqrt({n} * {_d(p * q)})) - 24"
+    return _let("c", f"named_struct('n', bigint({n}), 'low', greatest(0L, {guess}))",
+                f"""CASE WHEN c.n <= 0 THEN -1L
+        WHEN c.n * {_d(math.log1p(-p))} > -700 AND c.n <= {SERIES_MAX} THEN {exact} ELSE {wide} END""")
 
 
-def _climb(low: Column, n: Column, p: float, alpha: float) -> Column:
-    q = 1 - p
-
-    def step(state, i):
-        at = low + i
-        term = F.when(i > 0, state["term"] * ((n - at + 1) / at) * (p / q)).otherwise(state["term"])
-        acc = F.when(i > 0, state["acc"] + term).otherwise(state["acc"])
-        return F.struct(term.alias("term"), acc.alias("acc"),
-                        F.when(acc < alpha, at).otherwise(state["crit"]).alias("crit"))
-
-    return F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.lit(64).cast("long")),
-        F.struct(binom_pmf(low, n, p).alias("term"), binom_cdf(low, n, p).alias("acc"),
-                 F.lit(-1).cast("long").alias("crit")),
-        step, lambda s: s["crit"])
+def critical_k(n: str, threshold: float, alpha: float = 0.05) -> Column:
+    """Largest k that still fails the gate at size n, -1 if none does."""
+    return F.expr(_critical(n, threshold, alpha))
 
 
-def achieved_power(n: Column, threshold: float, detectable: float, alpha: float = 0.05) -> Column:
+def achieved_power(n: str, threshold: float, detectable: float, alpha: float = 0.05) -> Column:
     """P(FAIL) at size n when the true rate is ``detectable``."""
-    return _let(critical_k(n, threshold, alpha),
-                lambda crit: F.when(crit < 0, F.lit(0.0)).otherwise(binom_cdf(crit, n, detectable)))
+    crit = f"named_struct('k', {_critical(n, threshold, alpha)}, 'n', bigint({n}))"
+    return F.expr(_let("e", crit, f"CASE WHEN e.k < 0 THEN 0D ELSE {_cdf('e.k', 'e.n', _d(detectable))} END"))
 
 
 def plan(spark, threshold: float, detectable: float, alpha: float = 0.05, power: float = 0.8,
@@ -218,10 +183,10 @@ def plan(spark, threshold: float, detectable: float, alpha: float = 0.05, power:
         raise ValueError("need 0 < detectable < threshold <= 1")
     sizes = spark.range(5, max_n + 1).select(F.col("id").alias("n"))
     graded = sizes.select(
-        "n", critical_k(F.col("n"), threshold, alpha).alias("fail_at_or_below"))
-    graded = graded.where("fail_at_or_below >= 0").withColumn(
-        "power", binom_cdf(F.col("fail_at_or_below"), F.col("n"), detectable))
-    return graded.where(F.col("power") >= power).orderBy("n").limit(1)
+        "n", critical_k("n", threshold, alpha).alias("fail_at_or_below"),
+        achieved_power("n", threshold, detectable, alpha).alias("power"))
+    best = graded.agg(F.min_by(F.struct(*graded.columns), F.when(F.col("power") >= power, F.col("n"))).alias("d"))
+    return best.select("d.*").where("n IS NOT NULL")
 
 
 def published(df: DataFrame, k: str, n: str, threshold: float, alpha: float = 0.05,
@@ -236,10 +201,10 @@ def published(df: DataFrame, k: str, n: str, threshold: float, alpha: float = 0.
         detectable = default_detectable(threshold)
     kc, nc = F.col(k), F.col(n)
     powers = df.select(nc.cast("long").alias("__n")).where("__n > 0").distinct().withColumn(
-        "achieved_power", achieved_power(F.col("__n"), threshold, detectable, alpha))
+        "achieved_power", achieved_power("__n", threshold, detectable, alpha))
     w = wilson(kc, nc)
     out = df.join(powers, nc.cast("long") == F.col("__n"), "left").drop("__n")
-    out = out.withColumn("raw_outcome", gate_outcome(kc, nc, threshold, alpha))
+    out = out.withColumn("raw_outcome", gate_outcome(k, n, threshold, alpha))
     weak = (F.col("raw_outcome") == "PASS") & (w["low"] < threshold) & (F.col("achieved_power") < power)
     return (out
             .withColumn("wilson_low", w["low"]).withColumn("wilson_high", w["high"])

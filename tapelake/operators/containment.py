@@ -25,9 +25,9 @@ def pieces(c: Column, q: int) -> Column:
 
 
 def grams(c: Column, q: int) -> Column:
-    """Distinct substrings of ``q`` characters of a short text."""
+    """Substrings of ``q`` characters of a short text."""
     spots = F.sequence(F.lit(1), F.length(c) - (q - 1))
-    cut = F.array_distinct(F.transform(spots, lambda i: F.substring(c, i, F.lit(q))))
+    cut = F.transform(spots, lambda i: F.substring(c, i, F.lit(q)))
     return F.when(F.length(c) >= q, cut).otherwise(F.array().cast("array<string>"))
 
 

@@ -69,12 +69,13 @@ def worst_null(nulls: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         F.max_by(F.struct("label", "k", "n", "rate"), F.struct("rate", -F.col(order))).alias("worst"))
 
 
-def construct_reason(k: Column, n: Column, errors: Column, min_rate: float = 0.9, alpha: float = 0.05,
+def construct_reason(k: str, n: str, errors: str, p_value: str, min_rate: float = 0.9, alpha: float = 0.05,
                      max_error_rate: float = MAX_ERROR_RATE) -> Column:
-    error_rate = F.when(n + errors > 0, errors / (n + errors)).otherwise(F.lit(0.0))
-    outcome = stats.gate_outcome(k, n, min_rate, alpha)
-    return (F.when(error_rate > max_error_rate, "compromised")
-            .when(n == 0, "no_cases")
+    """Typed reason from counts and p-value columns."""
+    kc, nc, ec = F.col(k), F.col(n), F.col(errors)
+    outcome = stats.outcome_of(kc, nc, F.col(p_value), min_rate, alpha)
+    return (F.when(stats.rate(ec, nc + ec) > max_error_rate, "compromised")
+            .when(nc == 0, "no_cases")
             .when(outcome == "PASS", "ok")
             .when(outcome == "EXTEND", "under_resolved")
             .otherwise("below_min_rate"))
@@ -93,8 +94,8 @@ def with_construct_reason(counted: DataFrame, min_rate: float = 0.9, alpha: floa
     n, k, e = F.col("n"), F.col("k"), F.col("errors")
     return (counted
             .withColumn("rate", stats.rate(k, n)).withColumn("error_rate", stats.rate(e, n + e))
-            .withColumn("p_value", F.when(n > 0, stats.binom_cdf(k, n, min_rate)))
-            .withColumn("reason", construct_reason(k, n, e, min_rate, alpha))
+            .withColumn("p_value", F.when(n > 0, stats.binom_cdf("k", "n", min_rate)))
+            .withColumn("reason", construct_reason("k", "n", "errors", "p_value", min_rate, alpha))
             .withColumn("ok", F.col("reason") == "ok"))
 
 
@@ -113,8 +114,9 @@ def pooled_steps(parts: DataFrame, keys: Sequence[str], order: Sequence[str], mi
     for c in ("k", "n", "errors"):
         out = out.withColumn(f"{c}_before", F.col(f"{c}_after") - F.col(c))
     for side in ("before", "after"):
-        out = out.withColumn(f"reason_{side}", construct_reason(
-            F.col(f"k_{side}"), F.col(f"n_{side}"), F.col(f"errors_{side}"), min_rate, alpha))
+        names = [f"{c}_{side}" for c in ("k", "n", "errors", "p_value")]
+        out = out.withColumn(names[3], F.when(F.col(names[1]) > 0, stats.binom_cdf(names[0], names[1], min_rate)))
+        out = out.withColumn(f"reason_{side}", construct_reason(*names, min_rate, alpha))
     return out
 
 

@@ -59,8 +59,8 @@ def binomial_verdict(spark, sf_dir):
     c = counts.join(supplier, counts["l_suppkey"] == supplier["s_suppkey"]).groupBy("s_nationkey", "l_linestatus").agg(
         F.sum("k").alias("k"), F.sum("n").alias("n"))
     return c.select("s_nationkey", "l_linestatus", "k", "n",
-                    F.round(stats.binom_cdf(F.col("k"), F.col("n"), 0.35), 7).alias("p_value"),
-                    stats.gate_outcome(F.col("k"), F.col("n"), 0.35).alias("outcome"))
+                    F.round(stats.binom_cdf("k", "n", 0.35), 7).alias("p_value"),
+                    stats.gate_outcome("k", "n", 0.35).alias("outcome"))
 
 
 @query(f"""
@@ -274,7 +274,7 @@ WITH o AS (SELECT l_orderkey, bool_or(l_linestatus = 'F') AS ok, bool_and(l_retu
                   sum(l_quantity) AS tokens FROM lineitem GROUP BY 1),
      t AS (SELECT o_custkey, coalesce(ok, false) AS success, coalesce(clean, false) AND coalesce(ok, false) AS first_try,
                   coalesce(calls, 0) AS calls, tokens,
-                  CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 7 END AS cost
+                  CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * 0.1234567 END AS cost
            FROM orders LEFT JOIN o ON o_orderkey = l_orderkey),
      a AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (first_try) AS k, count(*) FILTER (success) AS e,
                   avg(calls) FILTER (success) AS mc, avg(tokens) FILTER (success) AS mt, avg(cost) FILTER (success) AS mu
@@ -285,7 +285,7 @@ FROM a""")
 def score_rollup(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     tasks = o.select("o_custkey", F.col("o_orderkey").alias("task_id"),
-                     F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 7).alias("cost_usd"))
+                     F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") * 0.1234567).alias("cost_usd"))
     line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(
         F.bool_or(F.col("l_linestatus") == "F").alias("success"),
         F.bool_and(F.col("l_returnflag") != "R").alias("first_try"),

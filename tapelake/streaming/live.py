@@ -67,7 +67,7 @@ def running_verdict(outcomes: DataFrame, keys: Sequence[str], passed: str, thres
                     alpha: float = 0.05) -> DataFrame:
     """Gate verdict per suite as outcomes arrive (update mode)."""
     summed = outcomes.groupBy(*keys).agg(F.count_if(passed).alias("k"), F.count(F.lit(1)).alias("n"))
-    return summed.withColumn("outcome", stats.gate_outcome(F.col("k"), F.col("n"), threshold, alpha))
+    return summed.withColumn("outcome", stats.gate_outcome("k", "n", threshold, alpha))
 
 
 def sessions(rows: DataFrame, keys: Sequence[str], gap: str, delay: str | None = None, ts: str = "ts") -> DataFrame:
