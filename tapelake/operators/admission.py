@@ -12,6 +12,7 @@ from tapelake.functions.patterns import answer_leaves, longest_literal_run, vali
 from tapelake.operators.containment import phrase_hits, word_hits
 from tapelake.operators.ordered import equi_join, row_number
 from tapelake.operators.pairs import is_destructive
+from tapelake.session import written
 
 # The limits of the check policy and of the leak scan.
 MIN_PHRASE = 3
@@ -77,10 +78,11 @@ def content_key(prompt: Column, tools: Column, check: Column) -> Column:
 
 
 def keep_first(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """Rows that are the first with their key. The first place is an aggregate, so a
-    group of copies of any size costs one row per key after the map side."""
-    first = rows.groupBy(*key).agg(F.min(order).alias("__first"))
-    return equi_join(rows, first, key, "inner").where(F.col(order) == F.col("__first")).drop("__first")
+    """The first row of every key, in one aggregation: a group of copies of any size
+    leaves the map side as one row per task."""
+    rest = [c for c in rows.columns if c not in key]
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("__first"))
+    return first.select(*key, *[F.col(f"__first.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 
 def canonical(value: Column) -> Column:
@@ -327,6 +329,7 @@ def screen(raw: DataFrame, tools: DataFrame, context: DataFrame, chains: DataFra
         validated(F.coalesce(typed.text(t, "$.check.pattern"), F.lit(""))).alias("pattern"))
     rows = rows.withColumn("prompt", F.trim(text.render_prompt(F.col("template"), F.col("params")))).withColumn(
         "phrases", F.coalesce(leak_phrases(F.col("answer_key")), F.array().cast("array<string>")))
+    rows = written(rows, "candidates")  # read once per rule below; parsed and rendered only here
     keys = ["run_id", "position"]
 
     surface = tools.select("run_id", F.col("name").alias("tool"), "read_only", "destructive_hint")
@@ -376,6 +379,7 @@ def admit(screened: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     the suite's place; with that settled, the admitted row of an id is its first
     clean one, and every later row with the id is a duplicate.
     """
+    screened = written(screened, "screened")
     clean = F.col("before").isNull() & F.col("after").isNull()
     plain = screened.where(clean & ~F.col("is_judge")).groupBy(*keys, "task_id").agg(
         F.min("position").alias("__plain"))
@@ -482,7 +486,7 @@ def screen_batches(batch: DataFrame, pool: DataFrame | None, batch_keys: Sequenc
     otherwise good tasks of the batch, the first of its kind.
     """
     stage = F.when(leak, "answer_leak").when(violated, "property").when(invalid, "admission")
-    rows = batch.withColumn("__stage", stage)
+    rows = written(batch.withColumn("__stage", stage), "batches")
     if pool is not None:
         old = pool.select(key).distinct().withColumn("__old", F.lit(True))
         rows = equi_join(rows, old, [key], "left")

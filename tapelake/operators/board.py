@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapelake.functions import text, typed
 from tapelake.operators.ordered import equi_join, neighbour, row_number, running_sum
+from tapelake.session import written
 from tapelake.sources.tapes import gate_record, gate_records
 
 # --- rankings -----------------------------------------------------------------------
@@ -43,12 +44,14 @@ def _end_counts(rows: DataFrame, keys: Sequence[str], low: str, high: str) -> tu
 
 def dominance_rank(rows: DataFrame, band: Sequence[str], low: str, high: str) -> DataFrame:
     """rank = 1 + how many intervals of the band lie wholly above; tied and group_size
-    count the overlapping rows that share the rank."""
+    count the overlapping rows that share the rank. The intervals (one row per run) are
+    read several times, so they are written once."""
+    rows = written(rows, "intervals")
     total = rows.groupBy(*band).agg(F.count(F.lit(1)).alias("__n"))
     at_high, _ = _end_counts(rows, band, low, high)
     ranked = equi_join(equi_join(rows, at_high, [*band, high], "inner"), total, band, "inner")
     ranked = ranked.withColumn("rank", 1 + F.col("__n") - F.col("lows_to_high")).drop("__n", "lows_to_high")
-    return _ties(ranked, band, low, high)
+    return _ties(written(ranked, "ranked"), band, low, high)
 
 
 def _ties(ranked: DataFrame, band: Sequence[str], low: str, high: str) -> DataFrame:

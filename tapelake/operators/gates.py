@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapelake.functions import stats
 from tapelake.operators.ordered import equi_join, nearest_rank, row_number, running_sum
+from tapelake.session import written
 
 MIN_SUITE = 8  # fixed value: fewest tasks a suite may hold
 MAX_ERROR_RATE = 0.05  # fixed value: share of failed calls beyond which a gate measured nothing
@@ -109,6 +110,7 @@ def pool(parts: DataFrame, keys: Sequence[str], min_rate: float = 0.9, alpha: fl
 def pooled_steps(parts: DataFrame, keys: Sequence[str], order: Sequence[str], min_rate: float = 0.9,
                  alpha: float = 0.05) -> DataFrame:
     """Per part: the pooled counts before and after it, each with its verdict."""
+    parts = written(parts, "parts")
     sums = running_sum(parts, keys, order, {"k_after": "k", "n_after": "n", "errors_after": "errors"})
     out = sums
     for c in ("k", "n", "errors"):
@@ -183,8 +185,8 @@ def order_invariance(answers: DataFrame, item: Sequence[str], ordering: str, key
     """
     calls = answers.groupBy(*item).agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(F.col(key).isNull()).alias("errors"))
-    counts = answers.where(F.col(key).isNotNull()).groupBy(*item, ordering, key).agg(
-        F.count(F.lit(1)).alias("c"), F.min(seq).alias("first_seq"))
+    counts = written(answers.where(F.col(key).isNotNull()).groupBy(*item, ordering, key).agg(
+        F.count(F.lit(1)).alias("c"), F.min(seq).alias("first_seq")), "answers")
     modal = counts.groupBy(*item, ordering).agg(
         F.max_by(key, F.struct("c", -F.col("first_seq"))).alias("modal"))
     shape = modal.groupBy(*item).agg(

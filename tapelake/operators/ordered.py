@@ -38,8 +38,15 @@ def fits(df: DataFrame, keys: Sequence[str]) -> bool:
     return _sizes(df, keys)[0] <= group_rows(df.sparkSession)
 
 
-def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
-    """None while every group fits into one task, else the rows with slice numbers."""
+def sliced(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fit: bool | None = None
+) -> DataFrame | None:
+    """None while every group fits into one task, else the rows with slice numbers.
+
+    A caller that has counted the groups already passes the answer as ``fit``.
+    """
+    if fit:
+        return None
     limit = group_rows(df.sparkSession)
     most, rows = _sizes(df, keys)
     if most <= limit:
@@ -67,11 +74,12 @@ def _join_slices(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column],
+    fit: bool | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` within each group."""
     exprs = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
-    cut = sliced(df, keys, order)
+    cut = sliced(df, keys, order, fit)
     if cut is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()])
@@ -105,12 +113,13 @@ def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
 
 
 def neighbour(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], step: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], step: int,
+    fit: bool | None = None,
 ) -> DataFrame:
     """Add the previous (step=-1) or next (step=1) row's values within the group."""
     assert step in (-1, 1)
     shift = F.lag if step < 0 else F.lead
-    cut = sliced(df, keys, order)
+    cut = sliced(df, keys, order, fit)
     if cut is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[shift(c).over(w).alias(n) for n, c in values.items()])

@@ -97,11 +97,12 @@ def timeline(*frames: DataFrame) -> DataFrame:
 
 def decisions(rows: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Number the stretches of a timeline over which the correlation id stays the same."""
-    from tapelake.operators.ordered import neighbour, running_sum
+    from tapelake.operators.ordered import fits, neighbour, running_sum
 
+    fit = fits(rows, keys)
     order = ["ord", "plane", "line_no"]
     near = neighbour(rows.withColumn("__one", F.lit(1)), keys, order,
-                     {"__prev": "corr_id", "__seen": "__one"}, -1)
+                     {"__prev": "corr_id", "__seen": "__one"}, -1, fit)
     starts = F.when(F.col("__seen").isNull() | ~F.col("corr_id").eqNullSafe(F.col("__prev")), 1).otherwise(0)
-    numbered = running_sum(near.withColumn("__start", starts), keys, order, {"decision": "__start"})
+    numbered = running_sum(near.withColumn("__start", starts), keys, order, {"decision": "__start"}, fit)
     return numbered.drop("__prev", "__seen", "__start", "__one")

@@ -17,22 +17,25 @@ from pyspark.sql import functions as F
 
 MARK = "[REDACTED]"
 
-# Secret shapes, as written for a regular expression engine with lookbehind.
-VALUE_PATTERNS = (
-    r"\bAKIA[0-9A-Z]{16}\b",
-    r"\bsk-[A-Za-z0-9_-]{20,}\b",
-    r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
-    r"\bgithub_pat_[A-Za-z0-9_]{20,}",
-    r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b",
-    r"[Aa]uthorization\s*:\s*.+",
-    r"[Bb]earer\s+[A-Za-z0-9._\-+/=]+",
-    r"\b(?:xoxb|xoxa|xoxp|xoxr|xoxs)-[A-Za-z0-9-]{10,}",
-    r"\b(?:rk_live|sk_live)_[A-Za-z0-9]{8,}\b",
-    r"(?<=://[^/\s:@]{1,128}:)[^/\s@]+(?=@)",
-    r"""[^\s"]{0,256}\.env(?:\.[A-Za-z0-9._\-]+)?\b""",
-    r"""[^\s"]{0,256}\bid_(?:rsa|ed25519|ecdsa|dsa)\b[^\s"]{0,256}""",
-    r"\bAIza[0-9A-Za-z_-]{35}\b",
+# Secret shapes, as written for a regular expression engine with
+# lookbehind, each with a text that every match contains (a cheap first look).
+VALUE_RULES = (
+    (r"\bAKIA[0-9A-Z]{16}\b", "AKIA"),
+    (r"\bsk-[A-Za-z0-9_-]{20,}\b", "sk-"),
+    (r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "gh"),
+    (r"\bgithub_pat_[A-Za-z0-9_]{20,}", "github_pat_"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "eyJ"),
+    (r"[Aa]uthorization\s*:\s*.+", "uthorization"),
+    (r"[Bb]earer\s+[A-Za-z0-9._\-+/=]+", "earer"),
+    (r"\b(?:xoxb|xoxa|xoxp|xoxr|xoxs)-[A-Za-z0-9-]{10,}", "xox"),
+    (r"\b(?:rk_live|sk_live)_[A-Za-z0-9]{8,}\b", "k_live_"),
+    (r"(?<=://[^/\s:@]{1,128}:)[^/\s@]+(?=@)", "://"),
+    (r"""[^\s"]{0,256}\.env(?:\.[A-Za-z0-9._\-]+)?\b""", ".env"),
+    (r"""[^\s"]{0,256}\bid_(?:rsa|ed25519|ecdsa|dsa)\b[^\s"]{0,256}""", "id_"),
+    (r"\bAIza[0-9A-Za-z_-]{35}\b", "AIza"),
 )
+VALUE_PATTERNS = tuple(p for p, _ in VALUE_RULES)
+HINTS = dict(VALUE_RULES)
 # Fields replaced wherever they sit.
 SECRET_PATHS = tuple(f"$..{name}" for name in (
     "api_key", "apiKey", "token", "bearer", "secret", "password", "passwd", "pwd", "private_key", "privateKey",
@@ -79,11 +82,12 @@ def path_pattern(path: str) -> re.Pattern:
     return re.compile(out)
 
 
-def value_pattern(pattern: str) -> tuple[re.Pattern, str]:
+def value_pattern(pattern: str) -> tuple[re.Pattern, str, str]:
     """A value rule for ``re``, which has no variable lookbehind: keep that part as a group."""
+    hint = HINTS.get(pattern, "")
     if pattern.startswith(URL_PASSWORD):
-        return re.compile(r"(://[^/\s:@]{1,128}:)" + pattern[len(URL_PASSWORD):]), r"\1" + MARK
-    return re.compile(pattern), MARK
+        return re.compile(r"(://[^/\s:@]{1,128}:)" + pattern[len(URL_PASSWORD):]), r"\1" + MARK, hint
+    return re.compile(pattern), MARK, hint
 
 
 @dataclass(frozen=True)
@@ -144,8 +148,9 @@ def _clean(value, rules: Rules, path: str, key: str, parent: dict | None, in_tur
     if isinstance(value, str):
         if len(value) >= BLOB_CHARS and BASE64.fullmatch(value):
             return value
-        for pattern, mark in rules.values:
-            value = pattern.sub(mark, value)
+        for pattern, mark, hint in rules.values:
+            if hint in value:
+                value = pattern.sub(mark, value)
         return value
     if isinstance(value, list):
         return [_clean(v, rules, f"{path}/{i}", key, parent, in_turn) for i, v in enumerate(value)]
@@ -183,9 +188,16 @@ def redact_reports(reports: DataFrame, column: str = "report", secrets: DataFram
 
 def redact_text(text: Column, patterns=VALUE_PATTERNS) -> Column:
     """Flat text, on the JVM."""
+    def step(p: str):
+        def run(t: Column) -> Column:
+            done = F.regexp_replace(t, p, MARK)
+            return F.when(F.contains(t, F.lit(HINTS[p])), done).otherwise(t) if p in HINTS else done
+        return run
+
     out = text
     for p in patterns:
-        out = F.regexp_replace(out, p, F.lit(MARK.replace("$", r"\$")))
+        # bound by a one-element array, so each step names the text before it only once
+        out = F.transform(F.array(out), step(p)).getItem(0)
     blob = (F.length(text) >= BLOB_CHARS) & F.regexp_like(text, F.lit(r"^[A-Za-z0-9+/=\r\n]+$"))
     return F.when(blob, text).otherwise(out)
 

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from tapelake.functions import patterns, text
 from tapelake.operators import admission, redact
 from tapelake.plans.registry import query, table
+from tapelake.session import spread
+
+
+
+def _documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"))
+
 
 # Whitespace as the collapse rule sees it (Unicode White_Space), for RE2.
 SPACES = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -17,7 +24,7 @@ PLANTED = r'\btoken\s*=\s*"[0-9a-f]{40}"'
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {FLAT}")
 def content_dedupe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = _documents(spark, sf_dir).select(
         "doc_id", F.sha2(text.collapse(F.col("text")), 256).alias("key"))
     return admission.keep_first(docs, ["key"], "doc_id").select("doc_id")
 
@@ -34,7 +41,7 @@ SELECT d.doc_id, v.void, CASE WHEN stage IS NOT NULL THEN stage
        WHEN v.void THEN 'voided' ELSE 'admitted' END AS fate
 FROM d JOIN v USING (source) LEFT JOIN f ON f.source = d.source AND f.flat = d.flat""")
 def batch_screen(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = _documents(spark, sf_dir).select(
         "doc_id", "source", "lang", "n_chars", F.sha2(text.collapse(F.col("text")), 256).alias("key"),
         F.contains("text", F.lit('token = "')).alias("leak"))
     labels = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
@@ -57,7 +64,7 @@ d AS (SELECT doc_id, {SQUASHED.format('text')} AS flat FROM documents)
 SELECT item_id, rank, doc_id FROM k JOIN d ON contains(d.flat, k.key) WHERE length(k.key) >= 16""")
 def leak_scan(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("rank", "phrase"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     return admission.corpus_leaks(
         items.withColumn("rank", F.col("rank") + 1), docs, ["item_id", "rank"], ["doc_id"], floor=16, q=16).select(
         "item_id", "rank", "doc_id")
@@ -73,7 +80,7 @@ def short_leaks(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\. ")).alias("phrase"))
     words = items.select(F.regexp_replace(text.collapse(F.col("phrase")), "^.* ", "").alias("word")).distinct()
     short = words.where(F.length(text.squash(F.col("word"))).between(3, 5))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.collapse(F.col("text")).alias("text"))
+    docs = _documents(spark, sf_dir).select("doc_id", text.collapse(F.col("text")).alias("text"))
     from tapelake.operators.containment import word_hits
     return word_hits(short.withColumn("phrase", F.col("word")), docs, ["word"], ["doc_id"], "phrase", "text")
 
@@ -99,7 +106,7 @@ s AS (SELECT *, CASE WHEN reason IS NULL THEN count(*) FILTER (reason IS NULL) O
 
 
 def _admitted(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(
+    docs = _documents(spark, sf_dir).join(
         table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     n = F.col("n_chars")
     before = F.when(n < 60, "malformed").when((F.col("lang") == "de") & (n > 2500), "unknown-tool").when(
@@ -140,7 +147,7 @@ SELECT lang, count(*) FILTER (quality IS NOT NULL) AS screened, count(*) FILTER
        CAST(sum(quality) AS BIGINT) AS output_tokens
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
 def null_screen(spark, sf_dir):
-    cold = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("n_chars").alias("input_tokens")).join(
+    cold = _documents(spark, sf_dir).select("doc_id", "lang", F.col("n_chars").alias("input_tokens")).join(
         table(spark, sf_dir, "labels"), "doc_id", "left")
     cold = cold.withColumn("error", F.when(F.col("quality").isNull(), "no answer")).withColumn(
         "cold_passed", (F.col("quality") == 1) & (F.col("toxic") == 0)).withColumn(
@@ -222,7 +229,7 @@ def _redacted_sql() -> str:
 SELECT doc_id, len(regexp_extract_all(text, '{PLANTED}')) AS hits, sha256({_redacted_sql()}) AS digest FROM documents""")
 def redact_docs(spark, sf_dir):
     body = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         "doc_id", redact.hits(body, PLANTED).alias("hits"),
         F.sha2(redact.redact_text(body, FLAT_RULES), 256).alias("digest"))
 

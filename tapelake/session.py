@@ -47,6 +47,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows over every core when a scan has fewer splits than cores.
+
+    For work that is heavy per row (grams, regular expressions). A large table
+    has splits enough and stays as it is. Meant for scans: on them, counting
+    the splits starts no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by writing a table to the shared folder and reading it back."""
     spark = df.sparkSession

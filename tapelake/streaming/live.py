@@ -79,11 +79,12 @@ def sessions(rows: DataFrame, keys: Sequence[str], gap: str, delay: str | None =
 
 def session_gaps(rows: DataFrame, keys: Sequence[str], ts: str, gap_ms: int, tie: str) -> DataFrame:
     """The batch form for groups of any size: one row per session, with its number."""
-    from tapelake.operators.ordered import neighbour, running_sum
+    from tapelake.operators.ordered import fits, neighbour, running_sum
 
+    fit = fits(rows, keys)
     at = rows.withColumn("__ms", F.unix_millis(ts))
-    near = neighbour(at, keys, ["__ms", tie], {"__before": "__ms"}, -1)
+    near = neighbour(at, keys, ["__ms", tie], {"__before": "__ms"}, -1, fit)
     starts = (F.col("__before").isNull() | (F.col("__ms") - F.col("__before") >= gap_ms)).cast("long")
-    numbered = running_sum(near.withColumn("__start", starts), keys, ["__ms", tie], {"session": "__start"})
+    numbered = running_sum(near.withColumn("__start", starts), keys, ["__ms", tie], {"session": "__start"}, fit)
     return numbered.groupBy(*keys, "session").agg(
         F.min("__ms").alias("started_ms"), F.max("__ms").alias("ended_ms"), F.count(F.lit(1)).alias("events"))

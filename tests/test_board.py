@@ -115,7 +115,7 @@ def test_extension_ledger(spark):
     derived = run("b", "SCORED", gates={"extensions": [{"k": 5, "n": 6, "pooledAfter": {"k": 37, "n": 42}, "gate": "construct"}]})
     df = reports(spark, recorded, derived)
     batches = board.extension_batches(df).cache()
-    got = {(r.run_id, r.index): r for r in batches.collect()}
+    got = {(r.run_id, r["index"]): r for r in batches.collect()}
     assert (got["a", 1].counts.k, got["a", 1].counts.n, got["a", 1].derived_from_pool, got["a", 1].dropped) == (6, 6, True, 3)
     led = {r.run_id: r for r in board.extension_ledger(batches).collect()}
     assert (led["a"].consumed, led["a"].initial.k, led["a"].pooled.n, led["a"].exhausted, led["a"].initial_derived) == (2, 32, 48, True, False)
