@@ -98,21 +98,26 @@ def ordered_hash(rows: DataFrame, keys: Sequence[str], position: str, item: str,
     """sha256 over each group's items, joined by commas in the order of ``position``.
 
     ``position`` counts from 1 without gaps. A group of up to ``block`` items is
-    hashed as one text. A larger one is hashed block by block and the group's
-    hash is that of the block hashes, so no task holds a whole group.
+    hashed as one text. A larger one is hashed block by block, the block hashes
+    are put into blocks again, and so on, so no task holds more than ``block``
+    items of a group (up to block to the power of 3 items).
     """
-    part = F.floor((F.col(position) - 1) / block)
-    pieces = F.array_sort(F.collect_list(F.struct(position, item)))
-    joined = F.array_join(F.transform(pieces, lambda p: p[item]), ",")
-    blocks = rows.groupBy(*keys, part.alias("__block")).agg(joined.alias("__text"))
-    blocks = blocks.withColumn("__sha", F.sha2(F.col("__text"), 256))
-    one = F.max("__block") == 0
-    body = F.when(one, F.max(F.when(F.col("__block") == 0, F.col("__text")))).otherwise(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__sha"))),
-                                 lambda b: b["__sha"]), ","))
-    prefix = F.lit("") if head is None else head
-    return blocks.groupBy(*keys).agg(body.alias("__body")).select(
-        *keys, F.sha2(F.concat(prefix, F.col("__body")), 256).alias(name))
+    def joined(place: Column, value: Column) -> Column:
+        return F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct(place.alias("p"), value.alias("v")))), lambda e: e["v"]), ",")
+
+    k = list(keys)
+    one = rows.groupBy(*k, F.floor((F.col(position) - 1) / block).alias("__b1")).agg(
+        joined(F.col(position), F.col(item)).alias("__t1"))
+    two = one.groupBy(*k, F.floor(F.col("__b1") / block).alias("__b2")).agg(
+        F.max("__b1").alias("__top1"), F.max(F.when(F.col("__b1") == 0, F.col("__t1"))).alias("__t1"),
+        joined(F.col("__b1"), F.sha2("__t1", 256)).alias("__t2"))
+    three = two.groupBy(*k).agg(
+        F.max("__top1").alias("__top1"), F.max("__b2").alias("__top2"), F.max("__t1").alias("__t1"),
+        F.max(F.when(F.col("__b2") == 0, F.col("__t2"))).alias("__t2"),
+        joined(F.col("__b2"), F.sha2("__t2", 256)).alias("__t3"))
+    body = F.when(F.col("__top1") == 0, F.col("__t1")).when(F.col("__top2") == 0, F.col("__t2")).otherwise(F.col("__t3"))
+    return three.select(*k, F.sha2(F.concat(F.lit("") if head is None else head, body), 256).alias(name))
 
 
 # --- leak scan ---------------------------------------------------------------------------
@@ -383,15 +388,15 @@ def admit(screened: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     clean = F.col("before").isNull() & F.col("after").isNull()
     plain = screened.where(clean & ~F.col("is_judge")).groupBy(*keys, "task_id").agg(
         F.min("position").alias("__plain"))
-    rows = equi_join(screened, plain, [*keys, "task_id"], "left")
+    rows = equi_join(screened, plain, [*keys, "task_id"], "left", nulls=False)
     contends = F.col("is_judge") & F.col("before").isNull() & (
         F.col("__plain").isNull() | (F.col("position") < F.col("__plain")))
     seat = rows.where(contends).groupBy(*keys).agg(F.min("position").alias("__seat"))
-    rows = equi_join(rows, seat, keys, "left")
+    rows = equi_join(rows, seat, keys, "left", nulls=False)
     seated = F.coalesce(F.col("position") == F.col("__seat"), F.lit(False))
     may = clean & (~F.col("is_judge") | seated)
     owner = rows.where(may).groupBy(*keys, "task_id").agg(F.min("position").alias("__owner"))
-    rows = equi_join(rows, owner, [*keys, "task_id"], "left")
+    rows = equi_join(rows, owner, [*keys, "task_id"], "left", nulls=False)
     duplicate = F.coalesce(F.col("__owner") < F.col("position"), F.lit(False))
     reason = (F.when(duplicate, "duplicate-id").when(F.col("before").isNotNull(), F.col("before"))
               .when(F.col("is_judge") & ~seated, "check-too-permissive").otherwise(F.col("after")))

@@ -49,7 +49,7 @@ def dominance_rank(rows: DataFrame, band: Sequence[str], low: str, high: str) ->
     rows = written(rows, "intervals")
     total = rows.groupBy(*band).agg(F.count(F.lit(1)).alias("__n"))
     at_high, _ = _end_counts(rows, band, low, high)
-    ranked = equi_join(equi_join(rows, at_high, [*band, high], "inner"), total, band, "inner")
+    ranked = equi_join(equi_join(rows, at_high, [*band, high], "inner", nulls=False), total, band, "inner")
     ranked = ranked.withColumn("rank", 1 + F.col("__n") - F.col("lows_to_high")).drop("__n", "lows_to_high")
     return _ties(written(ranked, "ranked"), band, low, high)
 
@@ -57,7 +57,8 @@ def dominance_rank(rows: DataFrame, band: Sequence[str], low: str, high: str) ->
 def _ties(ranked: DataFrame, band: Sequence[str], low: str, high: str) -> DataFrame:
     peers = [*band, "rank"]
     at_high, at_low = _end_counts(ranked, peers, low, high)
-    rows = equi_join(equi_join(ranked, at_high, [*peers, high], "inner"), at_low, [*peers, low], "inner")
+    rows = equi_join(equi_join(ranked, at_high, [*peers, high], "inner", nulls=False), at_low, [*peers, low], "inner",
+                     nulls=False)
     # Lows up to my high end, less the highs that end before I start: those that overlap me, me included.
     return rows.withColumn("group_size", F.col("lows_to_high") - F.col("highs_below")).withColumn(
         "tied", F.col("group_size") > 1).drop("lows_to_high", "highs_below")
@@ -86,14 +87,14 @@ def separation(ranked: DataFrame, band: Sequence[str]) -> DataFrame:
 
 
 def cohorts(rows: DataFrame, server: Sequence[str], started: str, tie: str) -> DataFrame:
-    """Attempt number and number of runs of the same server, by start.
+    """Attempt number and number of runs of the same server (never NULL), by start.
 
     Runs with no start come after the dated ones, in file order.
     """
     keyed = rows.withColumn("__undated", F.col(started).isNull())
     placed = row_number(keyed, server, ["__undated", started, tie], "attempt").drop("__undated")
     totals = rows.groupBy(*server).agg(F.count(F.lit(1)).alias("runs"))
-    return equi_join(placed, totals, server, "inner")
+    return equi_join(placed, totals, server, "inner", nulls=False)
 
 
 def rerun_summary(rows: DataFrame, server: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -355,6 +356,26 @@ def spend_until(rows: DataFrame, order: Sequence[str], usd: str, ceiling: float,
     return out.withColumn("may_continue", F.col("cum_usd") + reserve <= ceiling)
 
 
+# Fixed value: what a run's judge is taken to cost when its record does not say, in USD.
+JUDGE_GUESS_USD = 0.42
+
+
+def spend_entries(reports: DataFrame) -> DataFrame:
+    """One ledger row per run: runner and judge dollars, whether the judge was measured, result.
+
+    Only the estimate uses the guess; judge_usd stays NULL where it was not measured.
+    """
+    per = F.coalesce(typed.items("r", "$.trace_stats.models.perModel"), F.array().cast("array<variant>"))
+    runner = F.aggregate(per, F.lit(0.0), lambda a, m: a + F.coalesce(typed.num(m, "$.estCostUsd"), F.lit(0.0)))
+    judge = typed.num("r", "$.run.judgeUsage.estCostUsd")
+    return reports.select(
+        "slug", "run_id", "outcome", typed.text("r", "$.gates.refusedAt").alias("refused_at"),
+        F.round(runner, 4).alias("runner_usd"), F.round(judge, 4).alias("judge_usd"), judge.isNotNull().alias("judge_measured"),
+        F.round(runner + F.coalesce(judge, F.lit(JUDGE_GUESS_USD)), 4).alias("est_usd"),
+        F.col("first_try.k").alias("first_try_k"), F.col("first_try.n").alias("first_try_n"),
+        F.size(typed.items("r", "$.score.tasks")).alias("tasks"))
+
+
 # --- hygiene, tools ---------------------------------------------------------------------------
 
 

@@ -193,7 +193,7 @@ def order_invariance(answers: DataFrame, item: Sequence[str], ordering: str, key
         F.count(F.lit(1)).alias("orderings"), F.min_by("modal", ordering).alias("value"),
         (F.min("modal") != F.max("modal")).alias("modal_differs"))
     spread = max_variation(counts.select(*item, ordering, key, "c"), item, ordering, key)
-    out = equi_join(equi_join(calls, shape, item, "left"), spread, item, "left")
+    out = equi_join(equi_join(calls, shape, item, "left", nulls=False), spread, item, "left", nulls=False)
     ran = F.coalesce("orderings", F.lit(0)) >= 2
     dispersion = F.when(ran, F.coalesce("dispersion", F.lit(0.0))).otherwise(0.0)
     moved = F.col("modal_differs") if threshold is None else dispersion > threshold
@@ -214,14 +214,14 @@ def max_variation(counts: DataFrame, item: Sequence[str], ordering: str, key: st
     there every answer's own range bounds the pairs worth comparing.
     """
     n = F.sum("c")
-    shares = equi_join(counts, counts.groupBy(*item, ordering).agg(n.alias("__n")), [*item, ordering], "inner")
+    shares = equi_join(counts, counts.groupBy(*item, ordering).agg(n.alias("__n")), [*item, ordering], "inner", nulls=False)
     shares = shares.select(*item, ordering, key, (F.col("c") / F.col("__n")).alias("p"))
     keys = counts.select(*item, key).distinct()
     width = keys.groupBy(*item).agg(F.count(F.lit(1)).alias("__d"))
     few = width.where(F.col("__d") <= SUBSET_ANSWERS)
-    listed = equi_join(keys, few, item, "inner").groupBy(*item).agg(
+    listed = equi_join(keys, few, item, "inner", nulls=False).groupBy(*item).agg(
         F.array_sort(F.collect_list(key)).alias("__keys"))
-    small = equi_join(shares, listed, item, "inner")
+    small = equi_join(shares, listed, item, "inner", nulls=False)
     masks = small.select(
         *item, ordering, "p", (F.array_position("__keys", F.col(key)) - 1).alias("__bit"), F.size("__keys").alias("__d"))
     # The complement of a subset gives the same difference, so the last answer is never in one.
@@ -236,7 +236,7 @@ def max_variation(counts: DataFrame, item: Sequence[str], ordering: str, key: st
     per_subset = subsets.groupBy(*item, "__mask").agg((F.max(weight) - F.min(weight)).alias("d"))
     exact = per_subset.groupBy(*item).agg(F.max("d").alias("dispersion"))
 
-    wide = equi_join(shares, width.where(F.col("__d") > SUBSET_ANSWERS).select(*item), item, "left_semi")
+    wide = equi_join(shares, width.where(F.col("__d") > SUBSET_ANSWERS).select(*item), item, "left_semi", nulls=False)
     return exact.unionByName(_pairwise(wide, item, ordering, key))
 
 

@@ -179,12 +179,20 @@ def nearest_rank(
     return out.drop("__rows")
 
 
-def equi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on ``keys`` treating NULL keys as equal; right keys are dropped."""
+def equi_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, nulls: bool = True
+) -> DataFrame:
+    """Join on ``keys``; right keys are dropped.
+
+    NULL keys are equal, as in a grouping. Where keys cannot be NULL, pass
+    ``nulls=False``: plain equality lets Spark keep the partitioning that a
+    grouping or window on the same keys has already made.
+    """
     tagged = right.select(*[F.col(k).alias(f"__j_{k}") for k in keys],
                           *[c for c in right.columns if c not in keys])
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(tagged[f"__j_{k}"])
+        a, b = left[k], tagged[f"__j_{k}"]
+        cond = cond & (a.eqNullSafe(b) if nulls else a == b)
     joined = left.join(tagged, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__j_{k}" for k in keys])

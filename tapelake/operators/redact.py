@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapelake.operators.containment import phrase_hits
+from tapelake.operators.ordered import equi_join
+
 MARK = "[REDACTED]"
 
 # Secret shapes, as written for a regular expression engine with
@@ -206,24 +210,35 @@ def hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-# Past this many a secret list no longer rides along with every row.
+# Past this many, a secret list no longer rides along with every row.
 NEEDLES = 10_000
 
 
-def scrub(df: DataFrame, column: str, secrets: DataFrame) -> DataFrame:
+def scrub(df: DataFrame, column: str, secrets: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
     """Replace known secret values, longest first, so one inside another is not left in half.
 
-    ``secrets`` has one column ``secret``. The list is checked to be small
-    before it is attached to the rows; a longer one is refused, because
-    replacing depends on every secret at once.
+    ``secrets`` has one column ``secret``. A list counted to be short is carried
+    in the plan. A longer one is joined: ``ids`` must then name the columns that
+    identify a row, and each row is given the secrets found in it.
     """
     needles = secrets.where(F.length("secret") >= SECRET_CHARS).select("secret").distinct()
     found = [r["secret"] for r in needles.limit(NEEDLES + 1).collect()]
-    if len(found) > NEEDLES:
-        raise ValueError(f"more than {NEEDLES} secrets: scrub run by run")
-    out = F.col(column)
+
+    def replaced(listed: Column) -> Column:
+        return F.aggregate(listed, F.col(column), lambda text, s: F.replace(text, s, F.lit(MARK)))
+
     if not found:
         return df
-    ordered = sorted(found, key=lambda s: (-len(s), s))
-    listed = F.array(*[F.lit(s) for s in ordered])
-    return df.withColumn(column, F.aggregate(listed, out, lambda text, s: F.replace(text, s, F.lit(MARK))))
+    if len(found) <= NEEDLES:
+        ordered = sorted(found, key=lambda s: (-len(s), s))
+        return df.withColumn(column, replaced(F.array(*[F.lit(s) for s in ordered])))
+    if not ids:
+        raise ValueError("name the id columns: the secret list is too long to carry")
+    named = needles.withColumn("__needle", F.col("secret"))
+    in_row = phrase_hits(named, df.select(*ids, column), ["secret"], list(ids), "__needle", column, SECRET_CHARS)
+    listed = in_row.groupBy(*ids).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.length("secret")).alias("l"), "secret"))), lambda e: e["secret"]
+    ).alias("__secrets"))
+    joined = equi_join(df, listed, list(ids), "left")
+    return joined.withColumn(column, F.when(F.col("__secrets").isNull(), F.col(column)).otherwise(
+        replaced(F.col("__secrets")))).select(*df.columns)
