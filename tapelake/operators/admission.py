@@ -224,6 +224,7 @@ def name_matches(wanted: DataFrame, names: DataFrame, on: Sequence[str], want_id
     Names are short, so entities are found by their own leading gram, one length
     class at a time (1, 2 and from 3 characters on).
     """
+    wanted, names = written(wanted, "entities"), written(names, "names")
     out = None
     for q, top in ((1, 2), (2, 3), (3, None)):
         part = wanted.where(F.length(entity_col) >= q)
@@ -385,22 +386,24 @@ def admit(screened: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     clean one, and every later row with the id is a duplicate.
     """
     screened = written(screened, "screened")
+    k = list(keys)
     clean = F.col("before").isNull() & F.col("after").isNull()
-    plain = screened.where(clean & ~F.col("is_judge")).groupBy(*keys, "task_id").agg(
-        F.min("position").alias("__plain"))
-    rows = equi_join(screened, plain, [*keys, "task_id"], "left", nulls=False)
-    contends = F.col("is_judge") & F.col("before").isNull() & (
-        F.col("__plain").isNull() | (F.col("position") < F.col("__plain")))
-    seat = rows.where(contends).groupBy(*keys).agg(F.min("position").alias("__seat"))
-    rows = equi_join(rows, seat, keys, "left", nulls=False)
-    seated = F.coalesce(F.col("position") == F.col("__seat"), F.lit(False))
-    may = clean & (~F.col("is_judge") | seated)
-    owner = rows.where(may).groupBy(*keys, "task_id").agg(F.min("position").alias("__owner"))
-    rows = equi_join(rows, owner, [*keys, "task_id"], "left", nulls=False)
+    plain = screened.where(clean & ~F.col("is_judge")).groupBy(*k, "task_id").agg(F.min("position").alias("first"))
+    judges = screened.where(F.col("is_judge") & F.col("before").isNull()).select(
+        *k, "task_id", "position", clean.alias("clean"))
+    free = equi_join(judges, plain, [*k, "task_id"], "left", nulls=False).where(
+        F.col("first").isNull() | (F.col("position") < F.col("first")))
+    seat = free.groupBy(*k).agg(
+        F.min("position").alias("__seat"), F.min_by(F.struct("task_id", "clean"), "position").alias("s"))
+    seated_clean = seat.where("s.clean").select(*k, F.col("s.task_id").alias("task_id"), F.col("__seat").alias("first"))
+    owner = plain.unionByName(seated_clean).groupBy(*k, "task_id").agg(F.min("first").alias("__owner"))
+    rows = equi_join(screened, owner, [*k, "task_id"], "left", nulls=False)
+    rows = equi_join(rows, seat.drop("s"), k, "left", nulls=False)
     duplicate = F.coalesce(F.col("__owner") < F.col("position"), F.lit(False))
+    seated = F.coalesce(F.col("position") == F.col("__seat"), F.lit(False))
     reason = (F.when(duplicate, "duplicate-id").when(F.col("before").isNotNull(), F.col("before"))
               .when(F.col("is_judge") & ~seated, "check-too-permissive").otherwise(F.col("after")))
-    return rows.withColumn("reason", reason).drop("__plain", "__seat", "__owner")
+    return rows.withColumn("reason", reason).drop("__seat", "__owner")
 
 
 def screenable(kind: Column, has_judge: Column) -> Column:
@@ -429,9 +432,11 @@ def screen_summary(cold: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFr
 
 def trim(rows: DataFrame, target: int = SUITE_TASKS, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Mark kept tasks beyond the target as trimmed (surplus, not a drop)."""
-    placed = row_number(rows.where(F.col("reason").isNull()).select(*keys, "position"), keys, ["position"], "suite_no")
-    out = rows.join(placed, [*keys, "position"], "left")
-    return out.withColumn("trimmed", F.coalesce(F.col("suite_no") > target, F.lit(False)))
+    kept = rows.withColumn("__kept", F.col("reason").isNull())
+    placed = row_number(kept, [*keys, "__kept"], ["position"], "__no")
+    number = F.when(F.col("__kept"), F.col("__no"))
+    return placed.withColumn("suite_no", number).withColumn(
+        "trimmed", F.coalesce(number > target, F.lit(False))).drop("__kept", "__no")
 
 
 def drop_ledger(rows: DataFrame, keys: Sequence[str], reason: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelake.functions import text, typed
-from tapelake.operators.ordered import equi_join, neighbour, row_number, running_sum
+from tapelake.operators.ordered import equi_join, fits, neighbour, row_number, running_sum
 from tapelake.session import written
 from tapelake.sources.tapes import gate_record, gate_records
 
@@ -92,7 +92,10 @@ def cohorts(rows: DataFrame, server: Sequence[str], started: str, tie: str) -> D
     Runs with no start come after the dated ones, in file order.
     """
     keyed = rows.withColumn("__undated", F.col(started).isNull())
-    placed = row_number(keyed, server, ["__undated", started, tie], "attempt").drop("__undated")
+    fit = fits(rows, server)
+    placed = row_number(keyed, server, ["__undated", started, tie], "attempt", fit).drop("__undated")
+    if fit:  # the window is there already
+        return placed.withColumn("runs", F.count(F.lit(1)).over(Window.partitionBy(*server)))
     totals = rows.groupBy(*server).agg(F.count(F.lit(1)).alias("runs"))
     return equi_join(placed, totals, server, "inner", nulls=False)
 

@@ -213,17 +213,14 @@ def max_variation(counts: DataFrame, item: Sequence[str], ordering: str, key: st
     ever formed. Items with many distinct answers would need too many subsets;
     there every answer's own range bounds the pairs worth comparing.
     """
-    n = F.sum("c")
-    shares = equi_join(counts, counts.groupBy(*item, ordering).agg(n.alias("__n")), [*item, ordering], "inner", nulls=False)
-    shares = shares.select(*item, ordering, key, (F.col("c") / F.col("__n")).alias("p"))
-    keys = counts.select(*item, key).distinct()
-    width = keys.groupBy(*item).agg(F.count(F.lit(1)).alias("__d"))
-    few = width.where(F.col("__d") <= SUBSET_ANSWERS)
-    listed = equi_join(keys, few, item, "inner", nulls=False).groupBy(*item).agg(
-        F.array_sort(F.collect_list(key)).alias("__keys"))
-    small = equi_join(shares, listed, item, "inner", nulls=False)
-    masks = small.select(
-        *item, ordering, "p", (F.array_position("__keys", F.col(key)) - 1).alias("__bit"), F.size("__keys").alias("__d"))
+    sizes = counts.groupBy(*item, ordering).agg(F.sum("c").alias("__n"))
+    width = counts.select(*item, key).distinct().groupBy(*item).agg(F.count(F.lit(1)).alias("__d"))
+    shares = equi_join(equi_join(counts, sizes, [*item, ordering], "inner", nulls=False), width, item, "inner", nulls=False)
+    shares = written(shares.select(*item, ordering, key, (F.col("c") / F.col("__n")).alias("p"), "__d"), "shares")
+    few = shares.where(F.col("__d") <= SUBSET_ANSWERS)
+    listed = few.select(*item, key).distinct().groupBy(*item).agg(F.array_sort(F.collect_list(key)).alias("__keys"))
+    masks = equi_join(few, listed, item, "inner", nulls=False).select(
+        *item, ordering, "p", "__d", (F.array_position("__keys", F.col(key)) - 1).alias("__bit"))
     # The complement of a subset gives the same difference, so the last answer is never in one.
     vectors = masks.groupBy(*item, ordering, "__d").agg(
         F.map_from_entries(F.collect_list(F.struct("__bit", "p"))).alias("__p"))
@@ -236,8 +233,8 @@ def max_variation(counts: DataFrame, item: Sequence[str], ordering: str, key: st
     per_subset = subsets.groupBy(*item, "__mask").agg((F.max(weight) - F.min(weight)).alias("d"))
     exact = per_subset.groupBy(*item).agg(F.max("d").alias("dispersion"))
 
-    wide = equi_join(shares, width.where(F.col("__d") > SUBSET_ANSWERS).select(*item), item, "left_semi", nulls=False)
-    return exact.unionByName(_pairwise(wide, item, ordering, key))
+    wide = shares.where(F.col("__d") > SUBSET_ANSWERS)
+    return exact if wide.isEmpty() else exact.unionByName(_pairwise(wide.drop("__d"), item, ordering, key))
 
 
 def _bit(mask: Column, bit: Column) -> Column:
@@ -296,17 +293,17 @@ def run_outcomes(ledger: DataFrame, driven: DataFrame, keys: Sequence[str] = ("r
     left to suite_size. A compromised construct gate renames any outcome, and a
     leaked answer key any but that one.
     """
-    explained = F.max(F.when(F.col("reason") == "all_candidates_null_answerable", 1).otherwise(0))
-    flags = ledger.groupBy(*keys).agg(explained.alias("__explained"))
-    rows = equi_join(ledger, flags, keys, "left")
-    deferred = ((F.col("gate") == "structural") & (F.col("reason") != "property_violated")
-                & (F.col("__explained") == 1))
     silent = F.col("gate").isin("protocol_hygiene", "plan_power") | (F.col("reason") == "under_resolved_not_extended")
-    refusing = ~F.col("ok") & ~deferred & ~silent
-    first = rows.groupBy(*keys).agg(
-        F.min_by(F.when(refusing, F.struct("gate", "reason")), F.when(refusing, F.col("seq"))).alias("r"),
+    refusing = ~F.col("ok") & ~silent
+    counted = (F.col("gate") == "structural") & (F.col("reason") != "property_violated")
+    row = F.struct("gate", "reason")
+    first_of = lambda c: F.min_by(F.when(c, row), F.when(c, F.col("seq")))
+    first = ledger.groupBy(*keys).agg(
+        first_of(refusing).alias("__any"), first_of(refusing & ~counted).alias("__later"),
+        F.bool_or(F.col("reason") == "all_candidates_null_answerable").alias("__explained"),
         F.bool_or((F.col("gate") == "construct") & (F.col("reason") == "compromised")).alias("compromised"),
         F.bool_or((F.col("gate") == "answer_leak") & ~F.col("ok")).alias("leaked"))
+    first = first.withColumn("r", F.when(F.col("__explained"), F.col("__later")).otherwise(F.col("__any")))
     out = equi_join(first, driven, keys, "left")
     outcome = (F.when(F.col("compromised"), "COMPROMISED").when(F.col("leaked"), "GATE_FAILED")
                .when(F.col("r").isNotNull(), gate_outcome_code(F.col("r.gate"), F.col("r.reason")))

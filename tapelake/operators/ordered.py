@@ -97,9 +97,11 @@ def running_sum(
           .otherwise(F.coalesce(n, zero) + F.coalesce(f"__b_{n}", zero)).alias(n) for n in exprs])
 
 
-def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def row_number(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, fit: bool | None = None
+) -> DataFrame:
     """Add the 1-based position of each row within its group."""
-    cut = sliced(df, keys, order)
+    cut = sliced(df, keys, order, fit)
     if cut is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("long"))

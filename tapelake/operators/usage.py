@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelake.operators.ordered import nearest_rank
+from tapelake.session import written
 
 # List prices in USD per million tokens, in table order.
 PRICES = [
@@ -186,6 +187,7 @@ def cost_meter(entries: DataFrame, prices: DataFrame, keys: Sequence[str] = ("ru
         F.count_if(ok).alias("calls"), F.count_if(~ok).alias("failed_calls"),
         F.count_if(ok & ~counted).alias("uncounted_calls"),
         *[F.sum(F.when(ok, F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0)).alias(c) for c in tokens])
+    base = written(base, "meter")  # a few rows per run, read by every level
     figures = ["calls", "failed_calls", "uncounted_calls", *tokens]
 
     def level(name: str, group: str, rows: DataFrame, *extra: Column) -> DataFrame:

@@ -25,8 +25,8 @@ def trace_stats(lines: DataFrame, prices: DataFrame | None = None) -> dict[str,
     recs = ingest(lines)
     turns = records.turns(recs)
     every = written(pairs.calls(recs, turns), "calls")
-    tools = calls.tool_stats(every)
-    models = usage.priced(usage.model_usage(turns), prices)
+    tools = written(calls.tool_stats(every), "tools")
+    models = written(usage.priced(usage.model_usage(turns), prices), "models")
     errors = calls.error_list(recs, every)
     session_rows = sessions.sessions(recs).join(tapes.skipped_lines(lines), ["run_id", "plane"], "left")
     return {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapelake.functions import patterns, text
 from tapelake.operators import admission, redact
 from tapelake.plans.registry import query, table
-from tapelake.session import spread
+from tapelake.session import spread, written
 
 
 
@@ -130,7 +130,7 @@ UNION ALL SELECT source, 'yield', 'admitted', count(*) FILTER (suite_no <= 20) F
 UNION ALL SELECT source, 'yield', 'trimmed', count(*) FILTER (suite_no > 20) FROM s GROUP BY source
 UNION ALL SELECT source, 'yield', 'shortfall', 0 FROM s GROUP BY source""")
 def drop_ledger(spark, sf_dir):
-    rows = _admitted(spark, sf_dir)
+    rows = written(_admitted(spark, sf_dir), "ledger")
     rules = admission.drop_ledger(rows, ["source"], "reason").select(
         "source", F.lit("rule").alias("kind"), F.col("rule").alias("name"), F.col("dropped").alias("n"))
     balance = admission.reconcile(rows, ["source"], "reason", "trimmed")
