@@ -23,6 +23,12 @@ def rate(k: Column, n: Column) -> Column:
     return F.when(n > 0, k / n).otherwise(F.lit(0.0))
 
 
+def mean(c: Column) -> Column:
+    """Mean of the finite values; NULL when there are none."""
+    x = c.cast("double")
+    return F.avg(F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
+
+
 def default_detectable(threshold: float) -> float:
     return threshold - 0.1 if threshold - 0.1 > 0 else threshold / 2
 

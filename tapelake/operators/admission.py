@@ -93,14 +93,14 @@ def canonical(value: Column) -> Column:
 HASH_ROWS = 10_000
 
 
-def ordered_hash(rows: DataFrame, keys: Sequence[str], position: str, item: str, name: str,
-                 head: Column | None = None, block: int = HASH_ROWS) -> DataFrame:
-    """sha256 over each group's items, joined by commas in the order of ``position``.
-
-    ``position`` counts from 1 without gaps. A group of up to ``block`` items is
-    hashed as one text. A larger one is hashed block by block, the block hashes
-    are put into blocks again, and so on, so no task holds more than ``block``
-    items of a group (up to block to the power of 3 items).
+def ordered_body(rows: DataFrame, keys: Sequence[str], position: str, item: str, name: str,
+                 block: int = HASH_ROWS) -> DataFrame:
+    """Each group's items joined by commas in the order of ``position``, ready to be hashed.
+
+    ``position`` counts from 1 without gaps. A group of up to ``block`` items
+    gives its items. A larger one gives the hashes of its blocks, or the hashes
+    of blocks of those, so no task holds more than ``block`` items of a group (up
+    to block to the power of 3 items).
     """
     def joined(place: Column, value: Column) -> Column:
         return F.array_join(F.transform(
@@ -117,7 +117,58 @@ def ordered_hash(rows: DataFrame, keys: Sequence[str], position: str, item: str,
         F.max(F.when(F.col("__b2") == 0, F.col("__t2"))).alias("__t2"),
         joined(F.col("__b2"), F.sha2("__t2", 256)).alias("__t3"))
     body = F.when(F.col("__top1") == 0, F.col("__t1")).when(F.col("__top2") == 0, F.col("__t2")).otherwise(F.col("__t3"))
-    return three.select(*k, F.sha2(F.concat(F.lit("") if head is None else head, body), 256).alias(name))
+    return three.select(*k, body.alias(name))
+
+
+def ordered_hash(rows: DataFrame, keys: Sequence[str], position: str, item: str, name: str,
+                 block: int = HASH_ROWS) -> DataFrame:
+    """sha256 over ``ordered_body``."""
+    return ordered_body(rows, keys, position, item, "__body", block).select(
+        *keys, F.sha2(F.col("__body"), 256).alias(name))
+
+
+def suite_hashes(tasks: DataFrame, suites: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """sha256 over the canonical JSON of generator settings, seed and ordered tasks.
+
+    tasks: keys, suite_no, task (JSON text). suites: keys, generator (JSON text), seed.
+    """
+    rows = tasks.withColumn("__item", canonical(F.col("task")))
+    bodies = ordered_body(rows, keys, "suite_no", "__item", "__body")
+    text_ = F.concat(F.lit('{"generator":'), canonical(F.col("generator")), F.lit(',"seed":'), F.col("seed").cast("string"),
+                     F.lit(',"tasks":['), F.coalesce("__body", F.lit("")), F.lit("]}"))
+    return suites.join(bodies, list(keys), "left").select(*keys, F.sha2(text_, 256).alias("suite_hash"))
+
+
+def pooled_suite_hashes(tasks: DataFrame, batches: DataFrame, suites: DataFrame,
+                        keys: Sequence[str] = ("run_id",), kind: str = "pooled-suite/1") -> DataFrame:
+    """Hash of a suite with its extension batches: lineage hashes and all ordered tasks.
+
+    ``kind`` is the tag the producer puts into the hashed text. tasks: keys, suite_no, task. batches: keys, index (from 1), batch_hash. suites: keys, suite_hash.
+    """
+    bodies = ordered_body(tasks.withColumn("__item", canonical(F.col("task"))), keys, "suite_no", "__item", "__body")
+    quoted = F.coalesce(F.concat(F.lit('"'), "batch_hash", F.lit('"')), F.lit("null"))
+    lineage = ordered_body(batches.withColumn("__item", quoted), keys, "index", "__item", "__batches")
+    rows = suites.join(bodies, list(keys), "left").join(lineage, list(keys), "left")
+    text_ = F.concat(F.lit('{"batchSuiteHashes":['), F.coalesce("__batches", F.lit("")), F.lit(f'],"kind":"{kind}",'),
+                     F.lit('"originalSuiteHash":"'), F.col("suite_hash"), F.lit('","tasks":['),
+                     F.coalesce("__body", F.lit("")), F.lit("]}"))
+    return rows.select(*keys, F.sha2(text_, 256).alias("pooled_hash"))
+
+
+# The fields of a tool that make up its surface.
+SURFACE_FIELDS = ("name", "title", "description", "inputSchema", "outputSchema", "annotations")
+
+
+def surface_digests(tools: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """sha256 over the canonical JSON array of a listing's tools, sorted by name.
+
+    tools: keys, name (unique), definition (JSON text).
+    """
+    fields = F.map_filter(F.try_variant_get(F.try_parse_json("definition"), "$", "map<string,variant>"),
+                          lambda f, _: f.isin(*SURFACE_FIELDS))
+    rows = row_number(tools.withColumn("__item", canonical(F.to_json(fields))), keys, ["name"], "__no")
+    return ordered_body(rows, keys, "__no", "__item", "__body").select(
+        *keys, F.sha2(F.concat(F.lit("["), F.col("__body"), F.lit("]")), 256).alias("digest"))
 
 
 # --- leak scan ---------------------------------------------------------------------------

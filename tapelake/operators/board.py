@@ -467,11 +467,27 @@ def own_notes(notes: DataFrame, standing: DataFrame, group: Sequence[str], note:
 
 
 def extension_batches(reports: DataFrame) -> DataFrame:
-    """One row per consumed extension: its counts, the pool on both sides, drops and violations."""
-    entries = F.coalesce(typed.items("r", "$.gates.extensions"), F.array().cast("array<variant>"))
-    rows = reports.select("run_id", "outcome", typed.num("r", "$.gates.extensionPolicy.maxExtensions").alias("most"),
-                          typed.num("r", "$.gates.extensionPolicy.extensionSize").alias("size"),
-                          F.posexplode(entries).alias("seq", "x"))
+    """One row per consumed extension: its counts, the pool on both sides, drops and violations.
+
+    The run's own ledger counts; a gate it says nothing about is read from the
+    lists on that gate's record.
+    """
+    most = typed.num("r", "$.gates.extensionPolicy.maxExtensions").alias("most")
+    size = typed.num("r", "$.gates.extensionPolicy.extensionSize").alias("size")
+    none = F.array().cast("array<variant>")
+    ledger = F.coalesce(typed.items("r", "$.gates.extensions"), none)
+    gate_of = lambda e: F.coalesce(typed.text(e, "$.gate"), F.lit("construct"))
+    head = reports.select("run_id", "outcome", "r", most, size)
+    own = head.select("run_id", "outcome", "most", "size", F.posexplode(ledger).alias("seq", "x")).select(
+        "run_id", "outcome", "most", "size", gate_of(F.col("x")).alias("gate"), "seq", "x")
+    told = F.transform(ledger, gate_of)
+    records = head.select("run_id", "outcome", "most", "size", told.alias("told"), F.explode(gate_records(F.col("r"))).alias("g"))
+    g = F.col("g")
+    listed = F.coalesce(*[typed.items(g, f"$.{f}") for f in (
+        "detail.extensions", "detail.extensionBatches", "detail.batches", "extensions")], none)
+    noted = records.where(~F.array_contains("told", F.coalesce(typed.text(g, "$.gate"), F.lit("")))).select(
+        "run_id", "outcome", "most", "size", typed.text(g, "$.gate").alias("gate"), F.posexplode(listed).alias("seq", "x"))
+    rows = own.unionByName(noted)
     x = F.col("x")
     before, after = typed.counts(typed.at(x, "$.pooledBefore")), typed.counts(typed.at(x, "$.pooledAfter"))
     moved = (after["n"] > before["n"]) & (after["k"] >= before["k"])
@@ -479,17 +495,25 @@ def extension_batches(reports: DataFrame) -> DataFrame:
     drops = null_safe_sum(*[typed.num(x, f"$.dropped.{d}") for d in ("nullScreen", "answerLeak", "admission", "duplicate")])
     direct = typed.counts(x)
     return rows.select(
-        "run_id", "outcome", "most", "size", "seq", F.coalesce(typed.text(x, "$.gate"), F.lit("construct")).alias("gate"),
+        "run_id", "outcome", "most", "size", "seq", "gate",
         F.coalesce(typed.num(x, "$.index"), F.col("seq") + 1).alias("index"), before.alias("before"),
         after.alias("after"), F.coalesce(direct, derived).alias("counts"),
         (direct.isNull() & derived.isNotNull()).alias("derived_from_pool"),
-        typed.text(x, "$.verdictBefore").alias("verdict_before"), typed.text(x, "$.verdictAfter").alias("verdict_after"),
+        typed.text(x, "$.verdictBefore").alias("verdict_before"),
+        typed.first_text(x, "verdictAfter", "outcome", "verdict", "result", "resolution").alias("verdict_after"),
         typed.num(x, "$.seed").alias("seed"), typed.num(x, "$.admitted").alias("admitted"),
         F.coalesce(drops, F.lit(0.0)).alias("dropped"),
-        F.size(F.coalesce(typed.items(x, "$.violations"), F.array().cast("array<variant>"))).alias("violations"),
+        F.size(F.coalesce(typed.items(x, "$.violations"), none)).alias("violations"),
         F.filter(F.transform(typed.items(x, "$.taskIds"), lambda t: typed.text(t)), lambda t: t.isNotNull()).alias("task_ids"))
 
 
+def extensions_counted(reports: DataFrame) -> DataFrame:
+    """(run_id, gate, consumed): extensions a record only counts, without listing them."""
+    rows = reports.select("run_id", F.explode(gate_records(F.col("r"))).alias("g"))
+    n = typed.first_num(typed.at("g", "$.detail"), "extensionsUsed", "extensionsConsumed", "extensionCount")
+    return rows.select("run_id", typed.text("g", "$.gate").alias("gate"), n.alias("consumed")).where("consumed > 0")
+
+
 def extension_ledger(batches: DataFrame, keys: Sequence[str] = ("run_id", "gate")) -> DataFrame:
     """Per run and gate: batches consumed, the registered counts, the pool and whether
     the policy is used up. Without a recorded start it is the pool less its batches."""

@@ -35,7 +35,15 @@ def _sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
 
 
 def fits(df: DataFrame, keys: Sequence[str]) -> bool:
-    return _sizes(df, keys)[0] <= group_rows(df.sparkSession)
+    """Does every group fit into one task?
+
+    The first key alone is tried before all of them: it has far fewer groups, so
+    its counts combine on the map side, and if they fit the finer groups do too.
+    """
+    limit = group_rows(df.sparkSession)
+    if len(keys) > 1 and _sizes(df, keys[:1])[0] <= limit:
+        return True
+    return _sizes(df, keys)[0] <= limit
 
 
 def sliced(
@@ -45,12 +53,10 @@ def sliced(
 
     A caller that has counted the groups already passes the answer as ``fit``.
     """
-    if fit:
+    if fit or (fit is None and fits(df, keys)):
         return None
     limit = group_rows(df.sparkSession)
-    most, rows = _sizes(df, keys)
-    if most <= limit:
-        return None
+    rows = _sizes(df, keys[:1])[1]
     ranged = df.repartitionByRange(max(2, -(-rows // limit)), *keys, *order)
     return written(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 

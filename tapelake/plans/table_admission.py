@@ -240,3 +240,23 @@ def scrub_secrets(spark, sf_dir):
     secrets = spark.createDataFrame([("therou",), ("leation",), ("the",)], "secret string")
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return redact.scrub(c, "text", secrets).select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
+
+
+@query("""
+SELECT event_id, '{"k":"[REDACTED]"}' AS props, '{"k":' || json_extract_string(props, '$.k') || '}' AS counted FROM events""")
+def redact_props(spark, sf_dir):
+    hide = redact.Rules.of([{"type": "path", "path": "$.k"}])
+    e = spread(table(spark, sf_dir, "events").select("event_id", "props"))
+    # a key rule leaves numbers alone; a path rule does not
+    keep = redact.Rules.of([], keys=[r"^k$"])
+    return e.select("event_id", redact.redact_json(F.col("props"), hide).alias("props"),
+                    redact.redact_json(F.col("props"), keep).alias("counted"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT p_brand, p_name AS name FROM part)
+SELECT p_brand, sha256('[' || string_agg('{"name":"' || name || '"}', ',' ORDER BY name) || ']') AS digest FROM t GROUP BY p_brand""")
+def surface_digest(spark, sf_dir):
+    tools = table(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("name")).distinct()
+    tools = tools.withColumn("definition", F.to_json(F.struct("name", F.lit(1).alias("not_surface"))))
+    return admission.surface_digests(tools, ["p_brand"])

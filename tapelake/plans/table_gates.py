@@ -435,3 +435,54 @@ def surface_drift(spark, sf_dir):
     placed = board.row_number(listed, ["l_suppkey", "month"], ["tool"], "position")
     digests = admission.ordered_hash(placed, ["l_suppkey", "month"], "position", "tool", "digest")
     return audit.surface_drift(digests, "l_suppkey", ["month"], "digest").select("l_suppkey", "month", "digest", "drifted")
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) / count(*) AS p1,
+                  CAST(count(*) FILTER (l_returnflag = 'A' AND l_quantity > 20) AS DOUBLE) / count(*) AS p2, count(*) AS n
+           FROM lineitem GROUP BY 1),
+     c AS (SELECT *, (p1 + p2) / 2 AS mid FROM s)
+SELECT l_suppkey, CASE WHEN p1 > 0 AND p1 < 1 AND p2 > 0 AND p2 < 1 AND p1 <> p2 THEN CAST(ceil(
+         (1.959963986120195 * sqrt(2 * mid * (1 - mid)) + 0.8416212327266186 * sqrt(p1 * (1 - p1) + p2 * (1 - p2))) ** 2
+         / ((p1 - p2) ** 2)) AS BIGINT) END AS needed,
+       round(list_sum(list_transform(range(0, 5), lambda k: (exp(lgamma(5.0) - lgamma(k + 1.0) - lgamma(5.0 - k))
+             * p1 ** k * (1 - p1) ** (4 - k)) ** 2)), 8) AS ties
+FROM c""")
+def sample_sizes(spark, sf_dir):
+    n = F.count(F.lit(1))
+    s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
+        (F.count_if(F.col("l_returnflag") == "R") / n).alias("p1"),
+        (F.count_if((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 20)) / n).alias("p2"))
+    return s.select("l_suppkey", stats.separate(F.col("p1"), F.col("p2")).alias("needed"),
+                    F.round(stats.tie_rate(F.col("p1"), F.lit(4)), 8).alias("ties"))
+
+
+@query("""
+SELECT lang, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS examples FROM (
+  SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE n_chars < 200)
+WHERE r <= 10 GROUP BY lang""")
+def first_examples(spark, sf_dir):
+    short = table(spark, sf_dir, "documents").where("n_chars < 200").select("lang", "doc_id", "n_chars")
+    out = gates.first_rows(short, ["lang"], ["doc_id"], 10, ["n_chars"], "examples")
+    return out.select("lang", F.array_join(F.transform("examples", lambda e: e["doc_id"].cast("string")), ",").alias("examples"))
+
+
+@query("""
+SELECT p_brand, count(*) AS tools, count(*) FILTER (NOT (p_type = 'PROMO' OR coalesce(p_size >= 40, false))) AS destructive
+FROM part GROUP BY p_brand""")
+def destructive_tools(spark, sf_dir):
+    from tapelake.operators.pairs import is_destructive
+
+    risky = is_destructive(F.col("p_type") == "PROMO", F.when(F.col("p_size") >= 40, F.lit(False)))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("tools"), F.count_if(risky).alias("destructive"))
+
+
+@query("""
+SELECT conv_id, sha256(coalesce(arg_max(text, turn) FILTER (role = 'assistant' AND text <> ''),
+                                arg_max(text, turn) FILTER (role = 'user' AND text <> ''))) AS digest
+FROM conversations WHERE role IN ('assistant', 'user') GROUP BY conv_id""")
+def final_answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "text", "role")
+    out = score.final_answer(c.where("role = 'assistant'"), c.where("role = 'user'"), ["conv_id"])
+    return out.select("conv_id", F.sha2("final_text", 256).alias("digest"))

@@ -241,3 +241,24 @@ def test_keys_and_hashes(spark):
     assert whole == sha(",".join(f"x{i}" for i in range(1, 8)))
     blocks = admission.ordered_hash(items, ["run_id"], "position", "item", "h", block=3).first().h
     assert blocks == sha(",".join(sha(t) for t in ("x1,x2,x3", "x4,x5,x6", "x7")))
+
+
+def test_suite_and_surface_hashes(spark):
+    import hashlib
+
+    plain = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"))
+    sha = lambda v: hashlib.sha256(plain(v).encode()).hexdigest()
+    suite = [{"id": "b", "prompt": "x", "expectedTools": ["t"]}, {"id": "a", "destructive": False}]
+    tasks = spark.createDataFrame([("r", i + 1, json.dumps(t)) for i, t in enumerate(suite)], "run_id string, suite_no int, task string")
+    settings = {"version": "g/2", "knobs": {"z": 1, "a": True}}
+    suites = spark.createDataFrame([("r", json.dumps(settings), 7, "orig"), ("empty", "{}", 1, "none")],
+                                   "run_id string, generator string, seed int, suite_hash string")
+    got = dict(rows(admission.suite_hashes(tasks, suites.drop("suite_hash")), "run_id", "suite_hash"))
+    assert got == {"r": sha({"generator": settings, "seed": 7, "tasks": suite}), "empty": sha({"generator": {}, "seed": 1, "tasks": []})}
+    batches = spark.createDataFrame([("r", 1, "h1"), ("r", 2, None)], "run_id string, index int, batch_hash string")
+    pooled = dict(rows(admission.pooled_suite_hashes(tasks, batches, suites), "run_id", "pooled_hash"))
+    assert pooled["r"] == sha({"kind": "pooled-suite/1", "originalSuiteHash": "orig", "batchSuiteHashes": ["h1", None], "tasks": suite})
+    listing = [{"name": "z", "description": "d", "extra": 1}, {"name": "a", "inputSchema": {"b": 1, "a": []}}]
+    tools = spark.createDataFrame([("r", t["name"], json.dumps(t)) for t in listing], "run_id string, name string, definition string")
+    want = sha([{"name": "a", "inputSchema": {"b": 1, "a": []}}, {"name": "z", "description": "d"}])
+    assert rows(admission.surface_digests(tools), "digest") == [(want,)]

@@ -120,6 +120,12 @@ def test_extension_ledger(spark):
     led = {r.run_id: r for r in board.extension_ledger(batches).collect()}
     assert (led["a"].consumed, led["a"].initial.k, led["a"].pooled.n, led["a"].exhausted, led["a"].initial_derived) == (2, 32, 48, True, False)
     assert (led["b"].initial.k, led["b"].initial.n, led["b"].initial_derived, led["b"].exhausted) == (32, 36, True, False)
+    noted = run("c", "SCORED", records=[{"gate": "construct", "detail": {"extensionsConsumed": 1, "extensions": [{"k": 1, "n": 2, "outcome": "PASS"}]}},
+                                        {"gate": "variance", "detail": {"extensionsUsed": 2}}])
+    both = reports(spark, {**recorded, "gates": {**recorded["gates"], "records": [{"gate": "construct", "detail": {"extensions": [{"k": 9, "n": 9}]}}]}}, noted)
+    assert rows(board.extension_batches(both), "run_id", "gate", "verdict_after") == [
+        ("a", "construct", None), ("a", "construct", None), ("c", "construct", "PASS")]
+    assert rows(board.extensions_counted(both), "run_id", "gate", "consumed") == [("c", "construct", 1), ("c", "variance", 2)]
     p = {r.run_id: r for r in board.extension_protocol(df).collect()}
     assert p["a"].registered and p["a"].ledger_entries == 2 and not p["b"].registered and p["b"].stated
 
