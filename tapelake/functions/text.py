@@ -158,7 +158,7 @@ def error_message(err: Column) -> Column:
     coded = F.when(typed.present(err, "$.code"),
                    F.concat(message, F.lit(" (code "), F.try_variant_get(code, "$", "string"), F.lit(")")))
     return (F.when(typed.json_type(err) == "STRING", F.try_variant_get(err, "$", "string"))
-            .when(typed.json_type(err).startswith("OBJECT") & message.isNotNull(), F.coalesce(coded, message))
+            .when(message.isNotNull(), F.coalesce(coded, message))
             .otherwise(F.to_json(err)))
 
 
@@ -185,11 +185,10 @@ def block_text(content: Column) -> Column:
     parts = F.filter(
         F.transform(typed.items(content), lambda b: F.coalesce(typed.text(b), typed.text(b, "$.text"))),
         lambda t: t.isNotNull())
-    kind = typed.json_type(content)
-    return (F.when(content.isNull() | (kind == "VOID"), F.lit(""))
-            .when(kind == "STRING", F.try_variant_get(content, "$", "string"))
-            .when(kind.startswith("ARRAY"), F.array_join(parts, "\n"))
-            .otherwise(F.to_json(content)))
+    return (F.when(~typed.present(content), F.lit(""))
+            .when(typed.items(content).isNotNull(), F.array_join(parts, "\n"))
+            .when(typed.is_object(content), F.to_json(content))
+            .otherwise(F.try_variant_get(content, "$", "string")))
 
 
 def typed_text(content: Column, structured: Column | None = None) -> Column:

@@ -47,20 +47,25 @@ def flag(v: Column | str, path: str = "$") -> Column:
     return F.when(json_type(got) == "BOOLEAN", F.try_variant_get(got, "$", "boolean"))
 
 
+def is_object(v: Column) -> Column:
+    """An object reads as a struct of no fields; the schema of a large one is never worked out."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
 def obj(v: Column | str, path: str = "$") -> Column:
     got = at(v, path)
-    return F.when(json_type(got).startswith("OBJECT"), got)
+    return F.when(is_object(got), got)
 
 
 def items(v: Column | str, path: str = "$") -> Column:
-    got = at(v, path)
-    return F.when(json_type(got).startswith("ARRAY"), F.try_variant_get(got, "$", "array<variant>"))
+    """The elements of a JSON array; nothing else reads as an array."""
+    return F.try_variant_get(_col(v), path, "array<variant>")
 
 
 def present(v: Column | str, path: str = "$") -> Column:
     """True when the field exists and is not JSON null."""
     got = at(v, path)
-    return got.isNotNull() & (F.coalesce(json_type(got), F.lit("VOID")) != "VOID")
+    return got.isNotNull() & ~F.is_variant_null(got)
 
 
 def scalar(v: Column | str, path: str = "$") -> Column:

@@ -44,13 +44,13 @@ def task_payload(reply: Column) -> Column:
 def payload_tasks(replies: DataFrame, keys: Sequence[str], reply: str) -> DataFrame:
     """keys, position, task (variant): entries that are objects, in order."""
     rows = replies.select(*keys, F.posexplode(task_payload(F.trim(reply))).alias("entry", "task"))
-    good = rows.where(F.schema_of_variant("task").startswith("OBJECT"))
+    good = rows.where(typed.is_object(F.col("task")))
     return row_number(good, keys, ["entry"], "position").withColumn("position", F.col("position") - 1).drop("entry")
 
 
 def discarded_entries(replies: DataFrame, keys: Sequence[str], reply: str) -> DataFrame:
     tasks = task_payload(F.trim(F.col(reply)))
-    objects = F.filter(tasks, lambda t: F.schema_of_variant(t).startswith("OBJECT"))
+    objects = F.filter(tasks, typed.is_object)
     return replies.select(*keys, (F.size(tasks) - F.size(objects)).alias("entries_discarded"))
 
 

@@ -110,24 +110,25 @@ def rerun_summary(rows: DataFrame, server: Sequence[str], by: Sequence[str] = ()
 
 
 def unique_names(rows: DataFrame, base: str, order: str, name: str) -> DataFrame:
-    """Number repeated names: x, x-2, x-3 ... in order, stepping over names already taken.
+    """Number repeated names in order: x, x-2, x-3 ..., stepping over names already taken.
 
-    One pass names almost everything. A numbered name may meet a row that bears
-    it outright; those few are renumbered until nothing collides.
+    One pass over each base names almost everything. Only where a base looks
+    like a numbered name of another ("x-2") can two rows meet; then the earliest
+    keeps the name and the later ones count on, until nothing collides. Rows
+    still colliding are few, so the rounds stay short.
     """
-    out = row_number(rows, [base], [order], "__k").withColumn(
-        name, F.when(F.col("__k") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.col("__k").cast("string"))))
-    out = out.drop("__k")
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumn(name, F.when(F.col("__k") == 1, F.col(base)).otherwise(
+            F.concat_ws("-", base, F.col("__k").cast("string"))))
+
+    out = named(row_number(rows, [base], [order], "__k"))
     while True:
-        again = out.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__first")).where("n > 1")
+        again = out.groupBy(name).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first")).where("__n > 1")
         if again.isEmpty():
-            return out
-        clash = equi_join(out, again.select(name, "__first"), [name], "left")
-        later = clash.where(F.col("__first").isNotNull() & (F.col(order) > F.col("__first")))
-        kept = clash.where(F.col("__first").isNull() | (F.col(order) <= F.col("__first")))
-        bumped = row_number(later, [name], [order], "__k").withColumn(
-            name, F.concat_ws("-", name, (F.col("__k") + 1).cast("string"))).drop("__k")
-        out = kept.drop("__first").unionByName(bumped.drop("__first"))
+            return out.drop("__k")
+        clash = equi_join(out, again.drop("__n"), [name], "left")
+        moved = F.coalesce(F.col(order) > F.col("__first"), F.lit(False))
+        out = written(named(clash.withColumn("__k", F.col("__k") + moved.cast("long")).drop("__first")), "names")
 
 
 # --- refusals and families ---------------------------------------------------------------
@@ -384,7 +385,7 @@ def spend_entries(reports: DataFrame) -> DataFrame:
 
 def report_findings(reports: DataFrame) -> DataFrame:
     rows = reports.select("run_id", "slug", F.explode(typed.items("r", "$.probes.findings")).alias("f"))
-    return rows.where(F.schema_of_variant("f").startswith("OBJECT")).select(
+    return rows.where(typed.is_object(F.col("f"))).select(
         "run_id", "slug", typed.text("f", "$.id").alias("id"), typed.flag("f", "$.pass").alias("pass"))
 
 

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,15 +140,25 @@ def _size_guards(s: str, path: str, rules: Rules) -> str:
     return s
 
 
+@lru_cache(maxsize=1 << 16)
+def _secret_key(keys: re.Pattern, key: str) -> bool:
+    return keys.search(key) is not None
+
+
+@lru_cache(maxsize=1 << 16)
+def _secret_path(paths: tuple, path: str) -> bool:
+    return any(p.fullmatch(path) for p in paths)
+
+
 def _clean(value, rules: Rules, path: str, key: str, parent: dict | None, in_turn: bool):
     """One pass over a JSON value: size guards, paths, key names, value patterns."""
     if isinstance(value, str):
         if in_turn and key in OPAQUE and parent is not None and parent.get("type") in OPAQUE[key]:
             return value
         value = _size_guards(value, path, rules)
-    if path and any(p.fullmatch(path) for p in rules.paths):
+    if path and _secret_path(rules.paths, path):
         return MARK
-    if isinstance(value, (str, list, dict)) and key and rules.keys.search(key):
+    if isinstance(value, (str, list, dict)) and key and _secret_key(rules.keys, key):
         return MARK
     if isinstance(value, str):
         if len(value) >= BLOB_CHARS and BASE64.fullmatch(value):

@@ -46,7 +46,7 @@ def lines_of(spark: SparkSession, rows: list[tuple[str, str, int, str]]) -> Data
 
 def admitted(lines: DataFrame) -> DataFrame:
     """Lines that hold a JSON object or array; anything else is no record."""
-    return lines.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+    return lines.where(F.col("v").isNotNull() & F.regexp_like("raw_text", F.lit(r"^\s*[\[{]")))
 
 
 def skipped_lines(lines: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def reports_of(rows: DataFrame) -> DataFrame:
     synthesis = gate_record(F.col(r), "structural")
     first_try = F.struct(*[typed.num(r, f"$.score.firstTrySuccess.{f}").alias(f)
                            for f in ("rate", "low", "high", "k", "n")])
-    return rows.where(F.schema_of_variant(r).startswith("OBJECT")).select(
+    return rows.where(typed.is_object(F.col(r))).select(
         "file_order", r,
         F.coalesce(typed.text(r, "$.server.slug"), typed.text(r, "$.server.url"),
                    typed.scalar(r, "$.run.id"), F.lit("unnamed server")).alias("slug"),

@@ -46,9 +46,24 @@ def test_cohorts_and_names(spark, group_limit):
         (0, 2, 4), (1, 4, 4), (2, 1, 4), (3, 3, 4), (4, 1, 1)]
     r = board.rerun_summary(df, ["slug"]).first()
     assert (r.servers, r.rows, r.total_servers) == (1, 4, 2)
-    names = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a-2"), (3, "a"), (4, "b")], "seq int, base string")
-    got = [r.id for r in board.unique_names(names, "base", "seq", "id").orderBy("seq").collect()]
-    assert len(set(got)) == 5 and got[0] == "a" and got[1] == "a-2" and got[4] == "b"
+
+
+def greedy_names(bases):
+    taken, out = set(), []
+    for base in bases:
+        n, got = 2, base
+        while got in taken:
+            got, n = f"{base}-{n}", n + 1
+        taken.add(got)
+        out.append(got)
+    return out
+
+
+@pytest.mark.parametrize("bases", [
+    ["a", "a", "a-2", "a", "b"], ["a-2", "a", "a", "a"], ["a-2", "a-2", "a", "a", "a-2-2"], ["x"] * 6, ["a", "b", "a-3", "a", "a", "a"]])
+def test_names_stay_unique(spark, bases):
+    df = spark.createDataFrame(list(enumerate(bases)), "seq int, base string")
+    assert [r.id for r in board.unique_names(df, "base", "seq", "id").orderBy("seq").collect()] == greedy_names(bases)
 
 
 def run(id, outcome, refused=None, records=(), **extra):
