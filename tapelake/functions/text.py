@@ -154,30 +154,37 @@ def is_http_failure(status: Column) -> Column:
 
 def error_message(err: Column) -> Column:
     """Readable text of a JSON-RPC error value."""
-    message, code = typed.text(err, "$.message"), typed.at(err, "$.code")
-    coded = F.when(typed.present(err, "$.code"),
-                   F.concat(message, F.lit(" (code "), F.try_variant_get(code, "$", "string"), F.lit(")")))
-    return (F.when(typed.json_type(err) == "STRING", F.try_variant_get(err, "$", "string"))
-            .when(message.isNotNull(), F.coalesce(coded, message))
-            .otherwise(F.to_json(err)))
+    def read(e: Column) -> Column:
+        def coded(parts: Column) -> Column:
+            return F.when(parts["code"].isNull(), parts["message"]).otherwise(
+                F.concat(parts["message"], F.lit(" (code "), parts["code"], F.lit(")")))
+
+        parts = F.struct(typed.text(e, "$.message").alias("message"),
+                         F.try_variant_get(e, "$.code", "string").alias("code"))
+        return F.coalesce(typed.raw_text(e), typed.let(parts, coded), F.to_json(e))
+
+    return typed.let(err, read)
 
 
 def tool_error(raw: Column) -> Column:
     """The reason a successful response reports a failed tool; NULL when it does not."""
-    texts = F.filter(F.transform(typed.items(raw, "$.result.content"), lambda b: typed.text(b, "$.text")),
-                     lambda t: t.isNotNull())
-    joined = F.trim(F.array_join(texts, " "))
-    return F.when(typed.flag(raw, "$.result.isError"),
-                  F.coalesce(F.nullif(joined, F.lit("")), F.lit("tool reported an error")))
+    def read(result: Column) -> Column:
+        texts = F.filter(F.transform(typed.items(result, "$.content"), lambda b: typed.text(b, "$.text")),
+                         lambda t: t.isNotNull())
+        joined = F.nullif(F.trim(F.array_join(texts, " ")), F.lit(""))
+        return F.when(typed.flag(result, "$.isError"), F.coalesce(joined, F.lit("tool reported an error")))
+
+    return typed.let(typed.at(raw, "$.result"), read)
 
 
 def input_required(raw: Column) -> Column:
-    is_object = typed.obj(raw, "$.result").isNotNull()
-    failed = F.coalesce(typed.flag(raw, "$.result.isError"), F.lit(False))
-    asked = (typed.present(raw, "$.result.input_required")
-             | F.coalesce(typed.text(raw, "$.result.status") == "input_required", F.lit(False))
-             | (typed.present(raw, "$.result.requestState") & ~failed))
-    return F.coalesce(is_object & asked, F.lit(False))
+    def read(result: Column) -> Column:
+        failed = F.coalesce(typed.flag(result, "$.isError"), F.lit(False))
+        return (typed.present(result, "$.input_required")
+                | F.coalesce(typed.text(result, "$.status") == "input_required", F.lit(False))
+                | (typed.present(result, "$.requestState") & ~failed))
+
+    return F.coalesce(typed.let(typed.at(raw, "$.result"), read), F.lit(False))
 
 
 def block_text(content: Column) -> Column:

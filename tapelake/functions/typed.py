@@ -18,6 +18,11 @@ def at(v: Column | str, path: str = "$") -> Column:
     return F.try_variant_get(_col(v), path, "variant")
 
 
+def let(value: Column, body) -> Column:
+    """Work ``value`` out once and hand it to ``body``; keeps a repeated part out of the plan's code."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def json_type(v: Column) -> Column:
     return F.schema_of_variant(v)
 
