@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ASCII letters lower-cased, digits and every byte of a non-ASCII character kept, all else a gap.
@@ -75,3 +75,8 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         else pa.binary()
     for value in column.cast(kind):
         yield value.as_py() or b""
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, broadcast in the next join if it has at most `rows` rows; otherwise Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import byte_bpe, decontaminate, toxicity
+from tapelake.llm import byte_bpe, decontaminate, set_join, site_lines, toxicity
 from tapelake.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,12 +44,47 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM d),
+     e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS shared FROM e a JOIN e b USING (x)
+           WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL
+           HAVING 100 * count(*) >= 90 * (total - count(*))),
+     r AS (SELECT doc_id AS v, doc_id AS reached FROM documents UNION SELECT r.v, p.b FROM r JOIN p ON r.reached = p.a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT v, min(reached) AS component_id FROM r GROUP BY v) c ON s.doc_id = c.v""")
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return set_join.clusters(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_byte_level_bpe(spark, sf_dir):
     pieces = byte_bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     return byte_bpe.digests(table(spark, sf_dir, "documents"), pieces, public_tokenizers.PATTERN)
 
 
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, text FROM documents),
+     l AS (SELECT r, host, i, raw, trim(raw, E' \t\n\x0B\f\r') AS line
+           FROM (SELECT r, host, unnest(range(len(s))) AS i, s[i + 1] AS raw
+                 FROM (SELECT r, host, string_split(text, E'\n') AS s FROM d WHERE text IS NOT NULL))),
+     c AS (SELECT host, line, count(DISTINCT r) AS pages FROM l WHERE line <> '' GROUP BY ALL),
+     b AS (SELECT host, line FROM c JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) USING (host)
+           WHERE n >= 20 AND pages > 0.1 * n),
+     k AS (SELECT r, coalesce(string_agg(raw, E'\n' ORDER BY i) FILTER (b.line IS NULL), '') AS text,
+                  count(b.line) AS n_dropped FROM l LEFT JOIN b USING (host, line) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(k.text) AS text_sha256,
+       CAST(length(k.text) AS BIGINT) AS n_chars, k.text AS text FROM d LEFT JOIN k USING (r)""")
+def op6_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return site_lines.drop_lines(docs).select(
+        "doc_id", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.length("text").cast("long").alias("n_chars"), "text")
+
+
 @query()
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
