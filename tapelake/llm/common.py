@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ASCII letters lower-cased, digits and every byte of a non-ASCII character kept, all else a gap.
@@ -80,3 +81,21 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """A written table, broadcast in the next join if it has at most `rows` rows; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of at most `size` (a longer row aside) in the tables written here: memory stays bounded by bytes, not
+    by rows, where rows carry whole texts."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)

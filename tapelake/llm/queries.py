@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import byte_bpe, decontaminate, set_join, site_lines, toxicity
+from tapelake.llm import byte_bpe, capture_index, decontaminate, set_join, site_lines, toxicity, web_trust
 from tapelake.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,18 @@ def query(sql: str | None = None):
     return add
 
 
+@query("""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+     q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+     r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM r""")
+def op2_warc(spark, sf_dir):
+    return (capture_index.round_trip(table(spark, sf_dir, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 @query(r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -91,3 +103,8 @@ def op7_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return (toxicity.score(docs.select("doc_id", "text"), model)
             .select("doc_id", F.coalesce(toxicity.remainder() == 0, F.lit(False)).alias("held_out"), "score", "predicted"))
+
+
+@query()
+def op8_url_filters(spark, sf_dir):
+    return web_trust.judge(table(spark, sf_dir, "pages"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.llm.common import HASHES, mixed, shingle_hashes, small_side, texts
+from tapelake.llm.common import HASHES, mixed, shingle_hashes, small_batches, small_side, texts
 from tapelake.llm.components import components
 from tapelake.session import written
 
@@ -179,6 +179,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     """(sets, links): one row per document (row, id, text_hash, n, v, component) with v the vertex of its set (NULL
     for an empty one) and component the smallest vertex reached; and the links found between vertices, a spanning
     choice of them within each component."""
+    with small_batches(docs.sparkSession):
+        return _join(docs, key, text, k, percent)
+
+
+def _join(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     sets = written(_sets(docs, key, text, k, percent), "sets")
     vertices = written(sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("v")), "vertices")
     rows = sets.select("row", "keys", "n", "id", "text_hash").join(vertices.select(F.col("v").alias("row")), "row", "left_semi")
