@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHIFT = {b: 0x100 + b for b in range(256)}
-KEEP = 300_000  # pre-tokens that a worker remembers
+KEEP = 150_000  # pre-tokens that a worker remembers
 CHUNK = 16 << 20  # bytes of results in one Arrow batch, a single longer text aside
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import byte_bpe, capture_index, decontaminate, set_join, site_lines, toxicity, web_trust
+from tapelake.llm import byte_bpe, capture_index, decontaminate, personal_data, set_join, site_lines, toxicity, web_trust
 from tapelake.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op7_toxicity(spark, sf_dir):
 @query()
 def op8_url_filters(spark, sf_dir):
     return web_trust.judge(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_personal_data(spark, sf_dir):
+    return personal_data.report(table(spark, sf_dir, "documents"))
