@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import byte_bpe, capture_index, decontaminate, personal_data, set_join, site_lines, toxicity, web_trust
+from tapelake.llm import byte_bpe, capture_index, decontaminate, personal_data, set_join, site_lines, topk_search, toxicity, web_trust
 from tapelake.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,11 @@ def op8_url_filters(spark, sf_dir):
 @query()
 def op10_personal_data(spark, sf_dir):
     return personal_data.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_exact_topk_search(spark, sf_dir):
+    """Queries are the whole texts of the rows whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = topk_search.top_k(docs, docs.where("doc_id % 50 = 0"))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("doc").alias("doc_id"), "score")

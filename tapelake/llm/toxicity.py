@@ -29,17 +29,17 @@ from tapelake.llm.common import texts, words_of
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 16
 SIZES = (3, 4, 5)  # of the character n-grams
+WIDTH = 48  # features of a word at most; the n-grams of its first characters come first
 MAX_TOXIC, MAX_CLEAN = 2048, 4096  # rows of the training sample
-KEEP = 300_000  # words that a worker remembers
+KEEP = 200_000  # words that a worker remembers
 
 
 def features(word: bytes) -> list[int]:
     """Buckets of a word (bytes of lower case) and of its character n-grams."""
-    text = f"<{word.decode('utf-8', 'replace')}>"
+    text = f"<{word.decode('utf-8', 'replace')}>"[:WIDTH]
     out = [zlib.crc32(word) % BUCKETS]
-    for n in SIZES:
-        out += [zlib.crc32(text[i:i + n].encode()) % BUCKETS for i in range(len(text) - n + 1)]
-    return out[:64]  # a word of more characters says no more about toxicity
+    out += [zlib.crc32(text[i:i + n].encode()) % BUCKETS for i in range(len(text)) for n in SIZES if i + n <= len(text)]
+    return out[:WIDTH]
 
 
 def passages(values: np.ndarray) -> np.ndarray:
@@ -83,19 +83,30 @@ class WordValues(dict):
         return np.fromiter(map(self.__getitem__, words), np.complex128, len(words))
 
 
-def train(bags: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 4, steps: int = 220,
+class Vocabulary:
+    """The sample's words as numbers, and the buckets of each, padded with BUCKETS; the last row is padding."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+
+    def of(self, text: bytes) -> np.ndarray:
+        return np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)], np.int32)
+
+    def table(self) -> np.ndarray:
+        out = np.full((len(self.numbers) + 1, WIDTH), BUCKETS, np.int32)
+        for row, word in zip(out, self.numbers):
+            own = features(word)
+            row[:len(own)] = own
+        return out
+
+
+def train(ids: list[np.ndarray], labels: np.ndarray, table: np.ndarray, seed: int = 7, rounds: int = 4, steps: int = 220,
           batch: int = 192, rate: float = 2.0) -> Model:
-    """Embeddings and softmax over passages. The first round takes passages at random; later rounds take the strongest
-    passage of each document as well, since only some passages of a toxic document are toxic."""
+    """Embeddings and softmax over passages of the documents in `ids` (word numbers, none empty). The first round takes
+    passages at random; later rounds take the strongest passage of each document as well, since only some passages of a
+    toxic document are toxic."""
     rng = np.random.default_rng(seed)
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bag], np.int64) for bag in bags]
-    found = [features(w) for w in vocabulary]
-    width = max(map(len, found))
-    table = np.full((len(found) + 1, width), BUCKETS, np.int64)  # the last bucket and the last word are padding
-    for row, f in zip(table, found):
-        row[:len(f)] = f
-    counts = np.array([*map(len, found), 0], np.float64)
+    counts = (table < BUCKETS).sum(1).astype(np.float64)
     vectors = np.vstack([rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM, np.zeros((1, DIM))])
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     squares, squares_out = np.full(BUCKETS + 1, 1e-4), np.full((DIM, 2), 1e-4)
@@ -105,7 +116,7 @@ def train(bags: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: in
         for _ in range(steps):
             picked = np.concatenate([rng.choice(side, batch // 2) for side in sides])
             at = rng.random(batch)
-            words = np.full((batch, WINDOW), len(found), np.int64)
+            words = np.full((batch, WINDOW), len(table) - 1, np.int64)
             for row, (doc, x) in enumerate(zip(picked, at)):
                 n = len(ids[doc])
                 strongest = turn and (labels[doc] or x < 0.5)
@@ -134,12 +145,17 @@ def train(bags: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: in
             vectors[used] -= rate * 0.1 * grads / np.sqrt(squares[used])[:, None]
             vectors[BUCKETS] = 0
         model = Model(vectors[:BUCKETS] @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
-        sums = np.append(model.weights, 0.0)[table].sum(1)
+        sums = word_sums(model, table)
         for doc, own in enumerate(ids):  # the strongest passage of each document
             starts[doc] = int(passages(sums[own] + 1j * counts[own]).argmax())
     return model
 
 
+def word_sums(model: Model, table: np.ndarray) -> np.ndarray:
+    weights = np.append(model.weights, 0.0)
+    return np.concatenate([weights[table[i:i + 50_000]].sum(1) for i in range(0, len(table), 50_000)])
+
+
 def calibrate(model: Model, evidence: np.ndarray, labels: np.ndarray) -> Model:
     """Slope and shift of the logistic curve, by Newton's method on the standardised evidence."""
     mean, spread = evidence.mean(), evidence.std() or 1.0
@@ -155,18 +171,19 @@ def calibrate(model: Model, evidence: np.ndarray, labels: np.ndarray) -> Model:
 
 def fit_rows(rows: list[tuple[bytes, int, bool]]) -> Model:
     """A model from (text, label, kept for the curve) rows."""
-    bags = [words_of(text) for text, _, _ in rows]
+    words = Vocabulary()
+    ids = [words.of(text) for text, _, _ in rows]
     labels = np.array([int(y) for _, y, _ in rows], np.int64)
     curve = np.array([bool(c) for _, _, c in rows], bool)
-    full = np.array([bool(b) for b in bags], bool)
-    learn = ~curve & full
+    learn = ~curve & np.array([len(i) > 0 for i in ids], bool)
     if min((labels[learn] == y).sum() for y in (0, 1)) == 0:
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-9, 1 - 1e-9))
         return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share))))
-    model = train([b for b, keep in zip(bags, learn) if keep], labels[learn])
+    table = words.table()
+    model = train([i for i, keep in zip(ids, learn) if keep], labels[learn], table)
     rest = curve if len(set(labels[curve])) == 2 else np.ones(len(labels), bool)
-    values = WordValues(model)
-    evidence = np.array([model.evidence(values.of(b)) for b, keep in zip(bags, rest) if keep])
+    values = word_sums(model, table) + 1j * (table < BUCKETS).sum(1)
+    evidence = np.array([model.evidence(values[i]) for i, keep in zip(ids, rest) if keep])
     return calibrate(model, evidence, labels[rest])
 
 
@@ -187,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                                                 F.first("_rest").alias("_rest"))
             .select("_text", "_label", F.expr("_rest = 1").alias("_curve"), F.xxhash64(key).alias("_order")).collect())
     rows.sort(key=lambda r: (r["_order"], bytes(r["_text"] or b"")))
-    return fit_rows([(bytes(r["_text"] or b""), r["_label"], r["_curve"]) for r in rows])
+    return fit_rows([(r["_text"] or b"", r["_label"], r["_curve"]) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
