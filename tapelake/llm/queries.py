@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import byte_bpe, capture_index, decontaminate, personal_data, set_join, site_lines, topk_search, toxicity, web_trust
+from tapelake.llm import byte_bpe, capture_index, decontaminate, personal_data, set_join, site_lines, substring_chains, topk_search, toxicity, web_trust
 from tapelake.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_substring_dedup(spark, sf_dir):
+    return substring_chains.repeated(table(spark, sf_dir, "documents")).withColumnRenamed("ref", "ref_doc_id")
+
+
 @query("""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
      q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),

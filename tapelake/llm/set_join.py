@@ -112,8 +112,8 @@ def text_hash(text):
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The (key, v, n) entries whose key another vertex has as well.
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """The (key, v, ...) entries whose key comes again, most of them with another vertex.
 
     Entries come sorted by range; those of a partition's first and last key stay, as the list may go on elsewhere.
     """
@@ -188,13 +188,13 @@ def _join(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[D
     vertices = written(sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("v")), "vertices")
     rows = sets.select("row", "keys", "n", "id", "text_hash").join(vertices.select(F.col("v").alias("row")), "row", "left_semi")
     entries = rows.select(F.explode("keys").alias("key"), F.col("row").alias("v"), "n")
-    lists = written(_shared(entries), "lists")
+    lists = written(shared_entries(entries), "lists")
     leaders = written(lists.groupBy("key").agg(F.min(F.struct("v", "n")).alias("leader"), F.max("v").alias("last"))
                       .where("leader.v <> last").select("key", F.col("leader.v").alias("a"), F.col("leader.n").alias("n_a")), "leaders")
     members = lists.join(leaders, "key")
     first = members.where(F.col("v") != F.col("a")).where(_sizes_fit("n", "n_a", percent)).select("a", F.col("v").alias("b")).distinct()
     first = written(first, "pairs")
-    bodies = _bodies(docs, sets, lists, key, text)
+    bodies = bodies_of(docs, sets, lists.select(F.col("v").alias("row")).distinct(), key, text)
     star = written(_verified(first, bodies, k, percent), "star")
     links = star.where("linked").select("a", "b")
     parts = components(links)
@@ -221,9 +221,9 @@ def _join(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[D
     return done.select("row", "id", "text_hash", "n", "v", "component"), links
 
 
-def _bodies(docs: DataFrame, sets: DataFrame, lists: DataFrame, key: str, text: str) -> DataFrame:
-    """(v, text) of the vertices in any list. A vertex is found again by its id and text."""
-    needed = written(sets.select("row", "id", "text_hash").join(lists.select(F.col("v").alias("row")).distinct(), "row", "left_semi")
+def bodies_of(docs: DataFrame, sets: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(v, text) of the rows named in `rows` as a written table. A row is found again by its id and text."""
+    needed = written(sets.select("row", "id", "text_hash").join(rows, "row", "left_semi")
                      .groupBy("id", "text_hash").agg(F.min("row").alias("v")), "needed")
     here = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("text_hash", text_hash(F.col("text")))
     side = small_side(needed.withColumnsRenamed({"id": "id2", "text_hash": "hash2"}), BROADCAST_ROWS)
