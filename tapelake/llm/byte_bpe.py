@@ -4,7 +4,7 @@ Every byte is one character of the model (U+0100 plus the byte), a piece's score
 normaliser is the identity, so that the model merges exactly the pair of lowest rank. Texts are cut into pre-tokens
 by a pattern, each is encoded on its own, and decoding maps ids back to the bytes of their pieces.
 
-A pre-token that is itself a piece is that piece, as in the public rank-file tokenizers. NULL counts as the empty
+A column that has the name of a new one is replaced. A pre-token that is itself a piece is that piece, as in the public rank-file tokenizers. NULL counts as the empty
 text; the empty text has no ids. Rows are independent: repeated rows give repeated results, extra columns pass through.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapelake.llm.common import numbered
+
 SHIFT = {b: 0x100 + b for b in range(256)}
 KEEP = 150_000  # pre-tokens that a worker remembers
 CHUNK = 16 << 20  # bytes of results in one Arrow batch, a single longer text aside
@@ -102,10 +104,10 @@ def _encoder(model: bytes, pattern: str) -> Encoder:
     return Encoder(model, pattern)
 
 
-def _chunks(batch: pa.RecordBatch, column: str, make, name: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, column: int, make, name: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The batch with one binary column more, cut where the new values pass CHUNK bytes."""
     values, start, size = [], 0, 0
-    source = batch.column(batch.schema.get_field_index(column))
+    source = batch.column(column)
 
     def cut(end: int) -> pa.RecordBatch:
         part = batch.slice(start, end - start)
@@ -122,17 +124,17 @@ def _chunks(batch: pa.RecordBatch, column: str, make, name: str, schema: pa.Sche
 
 
 def _mapped(df: DataFrame, column: str, name: str, factory) -> DataFrame:
-    if name in df.columns:
-        raise ValueError(f"a column named {name} is there already")
+    df = df.drop(name)
+    at = df.columns.index(column)
     out = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = factory()
         for batch in batches:
-            schema = pa.schema([*batch.schema, pa.field(name, pa.binary())])
-            yield from _chunks(batch, column, make, name, schema)
+            schema = pa.schema([*(pa.field(n, f.type) for n, f in zip(out.names, batch.schema)), pa.field(name, pa.binary())])
+            yield from _chunks(batch, at, make, name, schema)
 
-    return df.mapInArrow(run, out)
+    return numbered(df).mapInArrow(run, out)
 
 
 def encode(df: DataFrame, pieces: list[bytes], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

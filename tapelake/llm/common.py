@@ -78,6 +78,28 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The table's columns by their exact names, dots included."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The table under the names c0, c1, ...: PySpark's Arrow functions look names up, and a dot in one would mislead them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """A written table, broadcast in the next join if it has at most `rows` rows; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.llm.common import words_column
+from tapelake.llm.common import columns, fresh, words_column
 
 N = 10
 BLOCK_WINDOWS = 100_000  # of some 100 to 300 bytes each
@@ -91,25 +91,30 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
                        (F.size("hit_words") > 0).alias("contaminated"))
 
 
+def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, n: int) -> tuple[DataFrame, Column]:
+    """(id, digest, hit_words) of documents with hits under names that `docs` has not, and the join condition."""
+    found = spans(hits(docs, windows(items, item_key, item_text, n), key, text, n).where("size(hits) > 0"))
+    names = {c: fresh(docs, f"_{c}") for c in ("id", "digest", "hit_words")}
+    found = found.select(*[F.col(c).alias(name) for c, name in names.items()])
+    body = F.coalesce(F.col(text), F.lit(""))
+    return found, F.col(key).eqNullSafe(F.col(names["id"])) & (F.xxhash64(body, F.length(body)) == F.col(names["digest"]))
+
+
 def remove_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                      item_text: str = "text", n: int = N) -> DataFrame:
     """The documents that hold no window, columns and rows as they came."""
-    found = hits(docs, windows(items, item_key, item_text, n), key, text, n).where("size(hits) > 0").select("id", "digest")
-    body = F.coalesce(docs[text], F.lit(""))
-    return docs.join(found, docs[key].eqNullSafe(found["id"])
-                     & (F.xxhash64(body, F.length(body)) == found["digest"]), "left_anti")
+    found, same = _found(docs, items, key, text, item_key, item_text, n)
+    return docs.join(found, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                  item_text: str = "text", n: int = N) -> DataFrame:
     """The documents with the words of each window found taken out, together with the gaps before them."""
-    found = spans(hits(docs, windows(items, item_key, item_text, n), key, text, n)).where("size(hits) > 0")
-    found = found.select("id", "digest", "hit_words")
-    body = F.coalesce(docs[text], F.lit(""))
-    kept = docs.join(found, docs[key].eqNullSafe(found["id"])
-                     & (F.xxhash64(body, F.length(body)) == found["digest"]), "left")
+    found, same = _found(docs, items, key, text, item_key, item_text, n)
+    gone = F.col(found.columns[2])
     gap, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(text, F.lit(f"({gap}(?:{word})?)"), 1)  # gap and word, in order; a last gap alone
-    left = F.filter(pieces, lambda p, i: ~F.array_contains("hit_words", i))
-    out = F.when(F.col("hit_words").isNull(), F.col(text)).otherwise(F.array_join(left, ""))
-    return kept.withColumn(text, out).select(*docs.columns)
+    left = F.filter(pieces, lambda p, i: ~F.array_contains(gone, i))
+    out = dict(zip(docs.columns, columns(docs)))
+    out[text] = F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(left, "")).alias(text)
+    return docs.join(found, same, "left").select(*out.values())

@@ -11,9 +11,10 @@ corpus, which moves more data than the corpus; the key of a segment is rare with
 (key, vertex), so one list of very many sets is spread over tasks; keys of one set go at once.
 
 Answers. Each list's first set is its leader and is compared with the rest: one comparison for each entry, not one for each
-pair. What the leader links is one component already, so a further comparison is made only between members of
-different components of a list, and only if their distances from the leader differ by at most the allowed distance
-(Jaccard distance is a metric): the leader's answers stand for those of the sets like it. No link between different components is lost.
+pair. What the leader links is one component already. For what is left, a set's answers come from its leader's: sets of one leader are compared
+through their differences from it, which are small and seldom shared. Two of them that link, but not both to the leader, must share so many
+differences that their first ones, rarest in the family first, meet; an index over those is joined and skipped by position
+(what is left of both lists after a match must be enough). Pairs that pass are compared in full, so no link between different components is lost.
 
 NULL and empty texts and texts without words have empty sets, which link with nothing and keep their own id. Repeated
 rows are equal sets. NULL ids take part; a component without any other id has the id NULL. Further columns are ignored.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.llm.common import HASHES, mixed, shingle_hashes, small_batches, small_side, texts
+from tapelake.llm.common import HASHES, fresh, mixed, shingle_hashes, small_batches, small_side, texts
 from tapelake.llm.components import components
 from tapelake.session import written
 
@@ -148,7 +149,7 @@ def shared_entries(entries: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with the sizes of both sets and of what they share, from their texts."""
+    """Pairs (a, b) with the sizes of both sets, of what they share, and the elements in one of them only, from their texts."""
     one = bodies.select(F.col("v").alias("a"), F.col("text").alias("text_a"))
     two = bodies.select(F.col("v").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
@@ -156,19 +157,55 @@ def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, left = None, None
         for batch in batches:
-            out = []
+            sizes, differ = [], []
             for a, text_a, text_b in zip(batch.column(0).to_pylist(), texts(batch.column(2)), texts(batch.column(3))):
                 if a != known:
                     known, left = a, shingles(text_a, k)
                 right = shingles(text_b, k)
-                out.append((len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))))
-            sizes = np.array(out, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, sizes.T.copy())],
-                                             ["a", "b", "n_a", "n_b", "shared"])
+                differ.append(np.setxor1d(left, right, assume_unique=True).view(np.int64))
+                sizes.append((len(left), len(right), (len(left) + len(right) - len(differ[-1])) // 2))
+            columns = np.array(sizes, np.int64).reshape(-1, 3).T.copy()
+            ends = pa.array(np.cumsum([0, *map(len, differ)]).astype(np.int32))
+            flat = pa.array(np.concatenate(differ) if differ else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), pa.ListArray.from_arrays(ends, flat)],
+                                             ["a", "b", "n_a", "n_b", "shared", "differ"])
 
-    done = both.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long")
-    whole = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return done.withColumn("linked", 100 * F.col("shared") >= percent * whole).withColumn("far", 1 - F.col("shared") / whole)
+    done = both.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long, differ array<long>")
+    return done.withColumn("linked", 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared")))
+
+
+def _within_families(star: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that may link, among the sets compared with one leader.
+
+    J(x, y) >= percent / 100 where |x xor y| <= c * (|x| + |y|), and x xor y is what only one of their differences from the leader has. So
+    they share at least (|dx| + |dy| - c * (|x| + |y|)) / 2 differences. If x links to the leader, y does not: then |dy| > c * (|leader| + |y|). If x
+    does not, |dy| >= |dx| - c * (|x| + |y|). Either way at least one difference is shared.
+    """
+    c, size = (100 - percent) / (100 + percent), F.size("differ")
+    placed = (star.join(parts.select(F.col("v").alias("b"), F.col("component").alias("part_b")), "b", "left")
+              .join(parts.select(F.col("v").alias("a"), F.col("component").alias("part_a")), "a", "left")
+              .withColumn("part", F.coalesce("part_b", "b")).withColumn("part_a", F.coalesce("part_a", "a")))
+    least = F.when(F.col("linked"), (size + c * (F.col("n_a") - F.col("n_b"))) / 2).otherwise(size - c * F.col("n_b") * (1 + 100 / percent))
+    placed = written(placed.select("a", F.col("b").alias("x"), F.col("n_b").alias("n"), "part", "part_a", size.alias("d"), "differ",
+                                   F.greatest(F.lit(1), F.ceil(least - 1e-9)).alias("least")), "placed")
+    open_ = written(placed.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+                    .where("low <> high").select("a"), "open")
+    members = placed.join(open_, "a", "left_semi")
+    each = members.select("a", "x", F.explode("differ").alias("e"))
+    often = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    met = each.join(often, ["a", "e"]).groupBy("a", "x").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("es"))
+    # differences that no other member has come first; they only take places
+    entries = (members.select("a", "x", "n", "part", "d", "least").join(met, ["a", "x"])
+               .select("a", "x", "n", "part", "d", (F.col("d") - F.size("es")).alias("before"), (F.col("d") - F.col("least") + 1).alias("first"),
+                       F.posexplode("es").alias("i", "t"))
+               .select("a", "x", "n", "part", "d", F.col("t.e").alias("e"), (F.col("before") + F.col("i")).alias("i"), "first").where("i < first"))
+    entries = written(entries.drop("first"), "entries")
+    x, y = entries.alias("x"), entries.alias("y")
+    left = F.least(F.col("x.d") - F.col("x.i"), F.col("y.d") - F.col("y.i"))
+    enough = 2 * left >= F.col("x.d") + F.col("y.d") - c * (F.col("x.n") + F.col("y.n")) - 1e-9
+    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.x") < F.col("y.x"))
+                   & (F.col("x.part") != F.col("y.part")) & _sizes_fit("x.n", "y.n", percent) & enough)
+    return pairs.select(F.col("x.x").alias("a"), F.col("y.x").alias("b")).distinct()
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -186,32 +223,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
 def _join(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     sets = written(_sets(docs, key, text, k, percent), "sets")
     vertices = written(sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("v")), "vertices")
-    rows = sets.select("row", "keys", "n", "id", "text_hash").join(vertices.select(F.col("v").alias("row")), "row", "left_semi")
-    entries = rows.select(F.explode("keys").alias("key"), F.col("row").alias("v"), "n")
+    rows = sets.select("row", "keys").join(vertices.select(F.col("v").alias("row")), "row", "left_semi")
+    entries = rows.select(F.explode("keys").alias("key"), F.col("row").alias("v"))
     lists = written(shared_entries(entries), "lists")
-    leaders = written(lists.groupBy("key").agg(F.min(F.struct("v", "n")).alias("leader"), F.max("v").alias("last"))
-                      .where("leader.v <> last").select("key", F.col("leader.v").alias("a"), F.col("leader.n").alias("n_a")), "leaders")
-    members = lists.join(leaders, "key")
-    first = members.where(F.col("v") != F.col("a")).where(_sizes_fit("n", "n_a", percent)).select("a", F.col("v").alias("b")).distinct()
+    leaders = written(lists.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("last")).where("a <> last").select("key", "a"), "leaders")
+    first = lists.join(leaders, "key").where(F.col("v") != F.col("a")).select("a", F.col("v").alias("b")).distinct()
     first = written(first, "pairs")
     bodies = bodies_of(docs, sets, lists.select(F.col("v").alias("row")).distinct(), key, text)
     star = written(_verified(first, bodies, k, percent), "star")
     links = star.where("linked").select("a", "b")
     parts = components(links)
-    # entries of lists that hold several components, each with its distance from the leader (0 for the leader itself)
-    far = members.join(star.select("a", F.col("b").alias("v"), "far"), ["a", "v"], "left") \
-        .select("key", "v", "n", F.when(F.col("v") == F.col("a"), 0.0).otherwise(F.col("far")).alias("far"), (F.col("v") == F.col("a")).alias("leads"))
-    placed = far.join(parts, "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component")
-    placed = written(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    open_ = written(placed.join(split, "key", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.where("NOT leads").alias("y")
-    apart = F.abs(F.col("x.far") - F.col("y.far"))
-    allowed = 1 - percent / 100 + 1e-9
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.v") < F.col("y.v"))
-                   & ~F.col("x.leads") & _sizes_fit("x.n", "y.n", percent) & (apart.isNull() | (apart <= allowed)))
-            .select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct())
-    rest = written(rest, "pairs")
+    rest = written(_within_families(star, parts, percent), "pairs")
     if not rest.isEmpty():
         more = written(_verified(rest, bodies, k, percent), "rest").where("linked").select("a", "b")
         links = links.unionByName(more)
@@ -253,12 +275,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     same = gone.alias("g").join(stays.alias("s"), F.col("g.text_hash").eqNullSafe(F.col("s.text_hash"))
                                 & F.col("g.id").eqNullSafe(F.col("s.id")), "left")
     gone = written(same.select("g.id", "g.text_hash", F.col("stays").isNotNull().alias("one_stays")), "gone")
-    side = small_side(gone.withColumnsRenamed({"id": "_id", "text_hash": "_hash"}), BROADCAST_ROWS)
-    match = text_hash(docs[text]).eqNullSafe(F.col("_hash")) & docs[key].eqNullSafe(F.col("_id"))
-    out = docs.join(side.where("NOT one_stays"), match, "left_anti")
+    names = {c: fresh(docs, f"_{c}") for c in gone.columns}
+    side, one_stays = small_side(gone.withColumnsRenamed(names), BROADCAST_ROWS), F.col(names["one_stays"])
+    match = text_hash(F.col(text)).eqNullSafe(F.col(names["text_hash"])) & F.col(key).eqNullSafe(F.col(names["id"]))
+    out = docs.join(side.where(~one_stays), match, "left_anti")
     if gone.where("one_stays").isEmpty():
         return out
     # repeated rows of one id and text, of which one stays
-    twice = docs.join(side.where("one_stays"), match, "left_semi")
-    return out.join(side.where("one_stays"), match, "left_anti").unionByName(
-        twice.withColumn("_hash", text_hash(F.col(text))).dropDuplicates([key, "_hash"]).drop("_hash"))
+    twice = docs.join(side.where(one_stays), match, "left_semi").withColumn(names["text_hash"], text_hash(F.col(text)))
+    return out.join(side.where(one_stays), match, "left_anti").unionByName(
+        twice.dropDuplicates([key, names["text_hash"]]).drop(names["text_hash"]))

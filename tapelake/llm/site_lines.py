@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapelake.llm.common import columns, fresh
 from tapelake.session import written
 
 RATIO, MIN_PAGES = 0.1, 20
@@ -55,18 +56,18 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
                min_pages: int = MIN_PAGES, dropped: str = "n_dropped") -> DataFrame:
-    """The pages with boilerplate lines taken out of `text`, and the number of lines that went in `dropped`."""
-    if dropped in pages.columns:
-        raise ValueError(f"a column named {dropped} is there already")
+    """The pages with boilerplate lines taken out of `text`, and the number of lines that went in `dropped` (a column of that name is replaced)."""
+    pages = pages.drop(dropped)
+    gone_in, host_of, kept_in = fresh(pages, "_gone"), fresh(pages, "_host"), fresh(pages, "_kept")
     found = written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
-    sets = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
+    sets = found.groupBy(F.col("host").alias(host_of)).agg(F.collect_set(F.struct("a", "b")).alias(gone_in))
     if found.count() <= BROADCAST_LINES:
         sets = F.broadcast(sets)
-    both = pages.join(sets, F.coalesce(pages[host], F.lit("")) == F.col("_host"), "left")
-    gone = F.col("_gone").isNotNull() & F.col(text).isNotNull()
-    kept = F.filter(_lines(F.col(text)), lambda line: ~F.array_contains("_gone", _known(_trimmed(line))))
-    both = both.withColumn("_kept", F.when(gone, kept))
-    out = {c: F.col(c) for c in pages.columns}
-    out[text] = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)).alias(text)
-    count = F.when(F.col("_kept").isNotNull(), F.size(_lines(F.col(text))) - F.size("_kept")).otherwise(0)
+    both = pages.join(sets, F.coalesce(pages[host], F.lit("")) == F.col(host_of), "left")
+    gone = F.col(gone_in).isNotNull() & F.col(text).isNotNull()
+    kept = F.filter(_lines(F.col(text)), lambda line: ~F.array_contains(F.col(gone_in), _known(_trimmed(line))))
+    both = both.withColumn(kept_in, F.when(gone, kept))
+    out = dict(zip(pages.columns, columns(pages)))
+    out[text] = F.when(F.col(kept_in).isNotNull(), F.array_join(F.col(kept_in), "\n")).otherwise(F.col(text)).alias(text)
+    count = F.when(F.col(kept_in).isNotNull(), F.size(_lines(F.col(text))) - F.size(F.col(kept_in))).otherwise(0)
     return both.select(*out.values(), count.cast("long").alias(dropped))

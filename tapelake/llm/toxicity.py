@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapelake.llm.common import texts, words_of
+from tapelake.llm.common import numbered, texts, words_of
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 16
 SIZES = (3, 4, 5)  # of the character n-grams
@@ -207,20 +207,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return fit_rows([(r["_text"] or b"", r["_label"], r["_curve"]) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows with `score` (0 to 1) and `predicted` (score >= 0.5)."""
-    clash = {"score", "predicted"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns named {sorted(clash)} are there already")
+def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The rows with `score` (0 to 1) and `predicted` (score >= 0.5); columns of these names are replaced."""
+    docs = docs.drop(score, predicted)
+    at = docs.columns.index(text)
+    out = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = WordValues(model)
         for batch in batches:
             found = [model.probability(model.evidence(values.of(words_of(t))))
-                     for t in texts(batch.column(batch.schema.get_field_index(text)))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())],
-                schema=pa.schema([*batch.schema, pa.field("score", pa.float64()), pa.field("predicted", pa.int32())]))
+                     for t in texts(batch.column(at))]
+            new = [pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], out.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()),
-                                              T.StructField("predicted", T.IntegerType())]))
+    return numbered(docs).mapInArrow(run, out)
