@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelake.llm import byte_bpe, decontaminate, set_join, site_lines, toxicity
+from tapelake.llm.common import columns, fresh
 from tapelake.llm.queries import RANK_FILE
 from tapelake.plans.registry import table
 from tapelake.session import written
@@ -20,14 +21,16 @@ from tapelake.session import written
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents predicted toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    score, predicted = fresh(docs, "_score"), fresh(docs, "_predicted")
+    return toxicity.score(docs, model, score=score, predicted=predicted).where(F.col(predicted) == 0).select(columns(docs))
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that too many of a source's documents hold; the documents stay."""
-    out = site_lines.drop_lines(docs)
-    changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(docs.columns)
+    dropped = fresh(docs, "_dropped")
+    out = site_lines.drop_lines(docs, dropped=dropped)
+    changed = F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
