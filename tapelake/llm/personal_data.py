@@ -244,9 +244,9 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def redacted(text: Column, found: Column) -> Column:
     """A text with each span replaced by its kind in brackets, from the last to the first. Spans that overlap an earlier replacement's
     rest are cut to what is left of it."""
-    last = F.array_sort(found, lambda a, b: b["start"] - a["start"])
-    begin = F.struct(text.alias("text"), F.length(text).alias("limit"))
+    last = F.array_sort(found, lambda a, b: (b["start"] - a["start"]).cast("int"))
+    begin = F.struct(text.alias("text"), F.length(text).cast("long").alias("limit"))
     done = F.aggregate(last, begin, lambda acc, s: F.struct(
-        F.overlay(acc["text"], F.concat(F.lit("["), s["kind"], F.lit("]")), s["start"] + 1,
-                  F.least(s["end"], acc["limit"]) - s["start"]).alias("text"), s["start"].cast("int").alias("limit")))
+        F.overlay(acc["text"], F.concat(F.lit("["), s["kind"], F.lit("]")), (s["start"] + 1).cast("int"),
+                  (F.least(s["end"], acc["limit"]) - s["start"]).cast("int")).alias("text"), s["start"].cast("long").alias("limit")))
     return done["text"]

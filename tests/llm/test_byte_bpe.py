@@ -5,7 +5,7 @@ import pytest
 import tiktoken
 
 from tapelake.llm import byte_bpe
-from tests.llm import cases
+import cases
 
 
 @pytest.fixture(scope="module")

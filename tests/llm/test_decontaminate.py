@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tapelake.llm import decontaminate
-from tests.llm import cases
+import cases
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

@@ -5,7 +5,7 @@ import pytest
 
 from tapelake.llm import set_join
 from tapelake.llm.components import components
-from tests.llm import cases
+import cases
 
 
 def expected(rows, k, percent):

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from tapelake.llm import site_lines
-from tests.llm import cases
+import cases
 
 
 def expected(rows, ratio=0.1, least=20):
