@@ -222,8 +222,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
 
 def _join(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     sets = written(_sets(docs, key, text, k, percent), "sets")
-    vertices = written(sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("v")), "vertices")
-    rows = sets.select("row", "keys").join(vertices.select(F.col("v").alias("row")), "row", "left_semi")
+    vertices = written(sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("v"), F.count(F.lit(1)).alias("copies")), "vertices")
+    rows = first_rows(sets.where("n > 0").select("row", "digest", "keys"), vertices)
     entries = rows.select(F.explode("keys").alias("key"), F.col("row").alias("v"))
     lists = written(shared_entries(entries), "lists")
     leaders = written(lists.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("last")).where("a <> last").select("key", "a"), "leaders")
@@ -238,11 +238,17 @@ def _join(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[D
         more = written(_verified(rest, bodies, k, percent), "rest").where("linked").select("a", "b")
         links = links.unionByName(more)
         parts = components(links)
-    done = (sets.drop("keys").join(vertices, "digest", "left").withColumn("v", F.when(F.col("n") > 0, F.col("v")))
+    done = (sets.drop("keys").join(vertices.drop("copies"), "digest", "left").withColumn("v", F.when(F.col("n") > 0, F.col("v")))
             .join(parts, "v", "left").withColumn("component", F.coalesce("component", "v")))
     return done.select("row", "id", "text_hash", "n", "v", "component"), links
 
 
+def first_rows(rows: DataFrame, vertices: DataFrame) -> DataFrame:
+    """One row for each digest: only rows that have copies meet the table of vertices."""
+    many = written(vertices.where("copies > 1").select("digest", F.col("v").alias("_first")), "copies")
+    return rows.join(small_side(many, BROADCAST_ROWS // 4), "digest", "left").where("_first IS NULL OR _first = row").drop("_first")
+
+
 def bodies_of(docs: DataFrame, sets: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """(v, text) of the rows named in `rows` as a written table. A row is found again by its id and text."""
     needed = written(sets.select("row", "id", "text_hash").join(rows, "row", "left_semi")
@@ -257,9 +263,9 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """Per document row: key, n_shingles, component_id (the smallest key its links reach, its own included)."""
     done, _ = join(docs, key, text, k, percent)
     done = written(done, "clusters")
-    least = done.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")) \
-        .where("rows > 1")
-    own = done.join(least, "component", "left")
+    least = done.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    least = written(least.where("rows > 1").drop("rows"), "least")
+    own = done.join(small_side(least, BROADCAST_ROWS), "component", "left")
     return own.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
