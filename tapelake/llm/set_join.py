@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,6 @@ from tapelake.session import written
 
 K, PERCENT = 3, 90
 RATIO = 1.45  # of the sizes in one class
-SPARE = 2  # segments more than needed, so that empty ones seldom count
 BROADCAST_ROWS = 1_000_000  # of two 64-bit columns
 
 
@@ -56,6 +56,23 @@ def _class_ends(percent: int) -> tuple[int, ...]:
     return tuple(ends)
 
 
+@functools.cache
+def _segments(size_class: int, percent: int) -> tuple[int, int]:
+    """(segments, spare) of a class. Linked sets differ in (1 - t) / (1 + t) * (|A| + |B|) elements at most, both sizes below the class's
+    end; with `spare` segments more than one beyond that, a set with up to `spare` empty segments needs only its full ones. The
+    spare are what a set of the class's least size leaves empty, with three deviations added."""
+    ends = _class_ends(percent)
+    least = ends[size_class - 1] if size_class else 1
+    differ = (100 - percent) * 2 * (ends[size_class] - 1) // (100 + percent)
+    spare = 1
+    while differ and spare < 2 + differ // 5:  # small sets leave some empty however they are cut
+        empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
+        if empty + 3 * math.sqrt(empty) <= spare:
+            break
+        spare += 1
+    return (differ + 1 + spare if differ else 0), spare
+
+
 @functools.cache
 def _cuts(segments: int) -> np.ndarray:
     return np.array([(i << 64) // segments for i in range(segments)], np.uint64)
@@ -71,16 +88,14 @@ def keys(found: np.ndarray, percent: int) -> np.ndarray:
         low = ends[c - 1] if c else 0
         if c > own and 100 * n < percent * low:
             break
-        # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|), both sizes below the class's end
-        differ = (100 - percent) * 2 * (ends[c] - 1) // (100 + percent)
-        if not differ:
+        segments, spare = _segments(c, percent)
+        if not segments:
             continue  # linked sets of this class are equal
-        segments = differ + 1 + SPARE
         at = np.append(np.searchsorted(found, _cuts(segments)), n)
         sums = np.append(np.zeros(1, np.uint64), np.cumsum(found, dtype=np.uint64))
         keyed = mixed((sums[at[1:]] - sums[at[:-1]]) ^ mixed(np.arange(segments, dtype=np.uint64) + np.uint64(c << 40)))
         full = at[1:] > at[:-1]
-        out.append(keyed[full] if (~full).sum() <= SPARE else keyed)
+        out.append(keyed[full] if (~full).sum() <= spare else keyed)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
