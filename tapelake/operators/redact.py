@@ -9,17 +9,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cache, lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.operators.containment import phrase_hits
-from tapelake.operators.ordered import equi_join
-
 MARK = "[REDACTED]"
 
 # Secret shapes, as written for a regular expression engine with
@@ -68,31 +66,67 @@ STEP = re.compile(r"\.\.(?P<deep>\w+)|\.(?P<name>\w+)|\[(?P<index>\d+|\*)\]")
 URL_PASSWORD = "(?<=://[^/\\s:@]{1,128}:)"
 
 
-def path_pattern(path: str) -> re.Pattern:
-    """A JSON path as a pattern over the slash-joined keys of a value."""
+# What `\\s`, `\\b` and `.` mean in the rules, spelled out so that Python and Java agree on them.
+BLANK = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+PIECE = re.compile(r"\\.|\[|\]|\.|[^\\\[\].]+", re.S)
+
+
+@cache
+def spelled(pattern: str) -> str:
+    """A rule with its blanks, word edges and dots spelled out: letters of other scripts are no word characters."""
+    out, inside = [], False
+    for piece in PIECE.findall(pattern):
+        if piece == "[":
+            inside = True
+        elif piece == "]":
+            inside = False
+        elif piece == r"\s":
+            piece = BLANK if inside else f"[{BLANK}]"
+        elif piece == r"\b" and not inside:
+            piece = EDGE
+        elif piece == "." and not inside:
+            piece = r"[^\n\r\u2028\u2029]"
+        out.append(piece)
+    return "".join(out)
+
+
+def path_steps(path: str) -> tuple[tuple[str, str], ...]:
+    """A JSON path as steps: a name, an index, any index, or a name at any depth."""
     if not path.startswith("$"):
         raise ValueError(f"path must start with $: {path}")
-    out, at = "", 1
+    out, at = [], 1
     while at < len(path):
         step = STEP.match(path, at)
         if not step:
             raise ValueError(f"cannot read path {path} at {at}")
-        if step["deep"]:
-            out += "(?:/[^/]*)*/" + re.escape(step["deep"])
-        elif step["name"]:
-            out += "/" + re.escape(step["name"])
-        else:
-            out += "/[^/]*" if step["index"] == "*" else "/" + step["index"]
+        kind = next(k for k in ("deep", "name", "index") if step[k])
+        out.append(("any", "") if step[kind] == "*" else (kind, step[kind]))
         at = step.end()
-    return re.compile(out)
+    return tuple(out)
+
+
+def fits(steps: tuple, path: tuple) -> bool:
+    """Whether the steps lead from the root to a value's keys, each taken as a whole."""
+    if steps and (not path or steps[-1][0] != "any" and steps[-1][1] != path[-1]):
+        return False
+    places = {0}
+    for kind, name in steps:
+        if kind == "deep":
+            places = {q + 1 for q in range(min(places), len(path)) if path[q] == name}
+        else:
+            places = {q + 1 for q in places if q < len(path) and (kind == "any" or path[q] == name)}
+        if not places:
+            return False
+    return len(path) in places
 
 
 def value_pattern(pattern: str) -> tuple[re.Pattern, str, str]:
     """A value rule for ``re``, which has no variable lookbehind: keep that part as a group."""
     hint = HINTS.get(pattern, "")
     if pattern.startswith(URL_PASSWORD):
-        return re.compile(r"(://[^/\s:@]{1,128}:)" + pattern[len(URL_PASSWORD):]), r"\1" + MARK, hint
-    return re.compile(pattern), MARK, hint
+        return re.compile(spelled(r"(://[^/\s:@]{1,128}:)" + pattern[len(URL_PASSWORD):]), re.ASCII), r"\1" + MARK, hint
+    return re.compile(spelled(pattern), re.ASCII), MARK, hint
 
 
 @dataclass(frozen=True)
@@ -103,7 +137,7 @@ class Rules:
     paths: tuple = ()
     cuts: tuple = ()
     media_bytes: int | None = None
-    keys: re.Pattern = field(default_factory=lambda: re.compile("|".join(TAPE_KEYS), re.I))
+    keys: re.Pattern = field(default_factory=lambda: re.compile("|".join(TAPE_KEYS), re.I | re.ASCII))
 
     @staticmethod
     def of(rules=DEFAULT_RULES, keys=TAPE_KEYS) -> Rules:
@@ -113,30 +147,35 @@ class Rules:
             if kind == "regex" and rule.get("pattern"):
                 values.append(value_pattern(rule["pattern"]))
             elif kind == "path" and rule.get("path"):
-                paths.append(path_pattern(rule["path"]))
+                paths.append(path_steps(rule["path"]))
             elif kind == "truncate" and rule.get("path") and rule.get("maxBytes", 0) > 0:
-                cuts.append((path_pattern(rule["path"]), rule["maxBytes"]))
+                cuts.append((path_steps(rule["path"]), rule["maxBytes"]))
             elif kind == "drop-media" and rule.get("minBytes", 0) > 0:
                 media = rule["minBytes"] if media is None else min(media, rule["minBytes"])
             else:
                 raise ValueError(f"unknown or incomplete redaction rule: {rule}")
-        return Rules(tuple(values), tuple(paths), tuple(cuts), media, re.compile("|".join(keys), re.I))
+        return Rules(tuple(values), tuple(paths), tuple(cuts), media, re.compile("|".join(keys), re.I | re.ASCII))
 
 
 BASE64 = re.compile(r"[A-Za-z0-9+/=\r\n]+")
 MEDIA = re.compile(r"[A-Za-z0-9+/=\r\n_-]+")
 
 
-def _size_guards(s: str, path: str, rules: Rules) -> str:
-    for pattern, limit in rules.cuts:
-        size = len(s.encode())
-        if size > limit and pattern.fullmatch(path):
-            s = f"{s[:limit]} [truncated, original {size} bytes]"
+def _bytes(s: str) -> int:
+    return len(s.encode("utf-8", "surrogatepass"))
+
+
+def _size_guards(s: str, path: tuple, rules: Rules) -> str:
+    for steps, limit in rules.cuts:
+        if fits(steps, path):  # the first rule for a path is the only one
+            size = _bytes(s)
+            if size > limit:
+                s = f"{s[:limit]} [truncated, original {size} bytes]"
             break
     if rules.media_bytes is not None and len(s) >= rules.media_bytes:
         uri = s.startswith("data:") and ";base64," in s[:256]
         if uri or (MEDIA.fullmatch(s[:512]) and MEDIA.fullmatch(s[-64:])):
-            return f"[media dropped: {len(s.encode())} bytes]"
+            return f"[media dropped: {_bytes(s)} bytes]"
     return s
 
 
@@ -145,48 +184,142 @@ def _secret_key(keys: re.Pattern, key: str) -> bool:
     return keys.search(key) is not None
 
 
-@lru_cache(maxsize=1 << 16)
-def _secret_path(paths: tuple, path: str) -> bool:
-    return any(p.fullmatch(path) for p in paths)
+def _secret_path(paths: tuple, path: tuple) -> bool:
+    return any(fits(p, path) for p in paths)
 
 
-def _clean(value, rules: Rules, path: str, key: str, parent: dict | None, in_turn: bool):
-    """One pass over a JSON value: size guards, paths, key names, value patterns."""
-    if isinstance(value, str):
-        if in_turn and key in OPAQUE and parent is not None and parent.get("type") in OPAQUE[key]:
-            return value
-        value = _size_guards(value, path, rules)
-    if path and _secret_path(rules.paths, path):
-        return MARK
-    if isinstance(value, (str, list, dict)) and key and _secret_key(rules.keys, key):
+def _clean_string(value: str, rules: Rules, path: tuple, key: str, holder: str | None, in_turn: bool) -> str:
+    """Size guards, paths, key names, value patterns. `holder` is the type of the object around the value."""
+    if in_turn and holder in OPAQUE.get(key, ()):
+        return value
+    value = _size_guards(value, path, rules)
+    if path and _secret_path(rules.paths, path) or key and _secret_key(rules.keys, key):
         return MARK
-    if isinstance(value, str):
-        if len(value) >= BLOB_CHARS and BASE64.fullmatch(value):
-            return value
-        for pattern, mark, hint in rules.values:
-            if hint in value:
-                value = pattern.sub(mark, value)
+    if len(value) >= BLOB_CHARS and BASE64.fullmatch(value):
         return value
-    if isinstance(value, list):
-        return [_clean(v, rules, f"{path}/{i}", key, parent, in_turn) for i, v in enumerate(value)]
-    if isinstance(value, dict):
-        return {k: _clean(v, rules, f"{path}/{k}", k, value, in_turn) for k, v in value.items()}
+    for pattern, mark, hint in rules.values:
+        if hint in value:
+            value = pattern.sub(mark, value)
     return value
 
 
+BODY = r'[^"\\\x00-\x1f]*'
+TOKEN = re.compile(r'[ \t\n\r]*(?:(?P<string>"' + BODY + r'(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})' + BODY + r')*")'
+                   r'|(?P<plain>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|(?P<sign>[\[\]{}:,]))')
+LONE = re.compile("[\ud800-\udfff]")
+
+
+def _tokens(line: str) -> tuple[list[str], dict[int, str | None]] | None:
+    """The tokens of a JSON text, and for each object (by its first token) its `type`; None if it is no JSON.
+
+    A state for each open bracket instead of recursion, so that depth has no limit.
+    """
+    tokens, types, stack, at = [], {}, [], 0
+    want, end = "value", len(line.rstrip(" \t\n\r"))
+    named = None  # the key whose value comes next
+    while at < end:
+        found = TOKEN.match(line, at)
+        if not found or found.end() > end or want == "nothing":
+            return None
+        kind, text, at = found.lastgroup, found[found.lastgroup], found.end()
+        closing = text == "}" and want in ("key or end", "comma") or text == "]" and want in ("value or end", "comma")
+        if kind == "sign" and closing and stack and tokens[stack[-1]] == ("{" if text == "}" else "["):
+            stack.pop()
+        elif want.startswith("value") and (kind != "sign" or text in "[{"):
+            if stack and named == "type" and tokens[stack[-1]] == "{":
+                types[stack[-1]] = json.loads(text) if kind == "string" else None
+            if kind == "sign":
+                stack.append(len(tokens))
+                tokens.append(text)
+                want = "key or end" if text == "{" else "value or end"
+                continue
+        elif want.startswith("key") and kind == "string":
+            named, want = json.loads(text), "colon"
+            tokens.append(text)
+            continue
+        elif want == "colon" and text == ":":
+            want = "value"
+            tokens.append(text)
+            continue
+        elif want == "comma" and text == "," and stack:
+            want = "key" if tokens[stack[-1]] == "{" else "value"
+            tokens.append(text)
+            continue
+        else:
+            return None
+        tokens.append(text)
+        want = "comma" if stack else "nothing"
+    return (tokens, types) if want == "nothing" else None
+
+
+def _written(value: str) -> str:
+    """A string as JSON; half of a surrogate pair goes back as its escape."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
+
+
+def clean_line(line: str, rules: Rules) -> str:
+    """A JSON text with every secret replaced. Numbers and untouched strings keep their text; a line that is no JSON is one string."""
+    parsed = _tokens(line)
+    if parsed is None:
+        return _clean_string(line, rules, (), "", None, False)
+    tokens, types = parsed
+    in_turn = tokens[0] == "{" and types.get(0) == "turn"
+    out, at = [], 0
+    stack = []  # of open brackets: first token, path, key that names the values, place in an array
+    path, key = (), ""
+    while at < len(tokens):
+        text = tokens[at]
+        if text in "]}":
+            stack.pop()
+            out.append(text)
+        elif text in ",:":
+            out.append(text)
+        elif stack and tokens[stack[-1][0]] == "{" and tokens[at + 1] == ":":
+            name = json.loads(text)
+            path, key = (*stack[-1][1], name), name
+            out += [text, ":"]
+            at += 1
+        else:
+            holder = next((types.get(f[0]) for f in reversed(stack) if tokens[f[0]] == "{"), None) if in_turn else None
+            if stack and tokens[stack[-1][0]] == "[":
+                frame = stack[-1]
+                path, key = (*frame[1], str(frame[3])), frame[2]
+                frame[3] += 1
+            if text[0] == '"':
+                value = json.loads(text)
+                clean = _clean_string(value, rules, path, key, holder, in_turn)
+                out.append(text if clean == value else _written(clean))
+            elif path and _secret_path(rules.paths, path) or text in "[{" and key and _secret_key(rules.keys, key):
+                out.append(_written(MARK))
+                depth = text in "[{"
+                while depth:
+                    at += 1
+                    depth += (tokens[at] in "[{") - (tokens[at] in "]}")
+            else:
+                out.append(text)
+                if text in "[{":
+                    stack.append([at, path, key, 0])
+        at += 1
+    return "".join(out)
+
+
+REFUSED = json.dumps(MARK)
+
+
 def redact_json(text: Column, rules: Rules) -> Column:
-    """A JSON text with every secret replaced; text that is not JSON is treated as one string."""
+    """A JSON text with every secret replaced; text that is not JSON is treated as one string.
+
+    A line that cannot be cleaned becomes REFUSED as a whole instead of failing the job; count `out = REFUSED` to see how many.
+    """
     @F.pandas_udf("string")
     def run(lines: pd.Series) -> pd.Series:
         def one(line):
             if line is None:
                 return None
             try:
-                value = json.loads(line)
-            except ValueError:
-                return _clean(line, rules, "", "", None, False)
-            turn = isinstance(value, dict) and value.get("type") == "turn"
-            return json.dumps(_clean(value, rules, "", "", None, turn), ensure_ascii=False, separators=(",", ":"))
+                return clean_line(line, rules)
+            except (ValueError, IndexError, KeyError, RecursionError, MemoryError, UnicodeError):
+                return REFUSED
         return lines.map(one)
     return run(text)
 
@@ -205,7 +338,7 @@ def redact_text(text: Column, patterns=VALUE_PATTERNS) -> Column:
     """Flat text, on the JVM."""
     def step(p: str):
         def run(t: Column) -> Column:
-            done = F.regexp_replace(t, p, MARK)
+            done = F.regexp_replace(t, spelled(p), MARK)
             return F.when(F.contains(t, F.lit(HINTS[p])), done).otherwise(t) if p in HINTS else done
         return run
 
@@ -218,38 +351,55 @@ def redact_text(text: Column, patterns=VALUE_PATTERNS) -> Column:
 
 
 def hits(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(spelled(pattern)))
 
 
-# Past this many, a secret list no longer rides along with every row.
-NEEDLES = 10_000
+NEEDLES = 100_000  # secrets that one pass carries, as a broadcast variable
 
 
-def scrub(df: DataFrame, column: str, secrets: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
+@lru_cache(maxsize=2)
+def _automaton(secrets: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for place, secret in enumerate(secrets):
+        found.add_word(secret, place)
+    found.make_automaton()
+    return found
+
+
+def scrub(df: DataFrame, column: str, secrets: DataFrame) -> DataFrame:
     """Replace known secret values, longest first, so one inside another is not left in half.
 
-    ``secrets`` has one column ``secret``. A list counted to be short is carried
-    in the plan. A longer one is joined: ``ids`` must then name the columns that
-    identify a row, and each row is given the secrets found in it.
+    ``secrets`` has one column ``secret``. Each text is searched once for all secrets of a pass and only those found are
+    replaced. Secrets travel as broadcast variables, never in the plan; a list of any length goes in passes of at most
+    NEEDLES, from the longest secrets to the shortest, with the same result.
     """
-    needles = secrets.where(F.length("secret") >= SECRET_CHARS).select("secret").distinct()
-    found = [r["secret"] for r in needles.limit(NEEDLES + 1).collect()]
+    spark = df.sparkSession
+    needles = secrets.where(F.length("secret") >= SECRET_CHARS).select(F.col("secret"), F.length("secret").alias("size")).distinct()
+    total = needles.count()
+    if not total:
+        return df
+    last = None
+    for _ in range(-(-total // NEEDLES)):
+        rest = needles if last is None else needles.where(
+            (F.col("size") < last[0]) | ((F.col("size") == last[0]) & (F.col("secret") > F.lit(last[1]))))
+        own = rest.orderBy(F.desc("size"), "secret").limit(NEEDLES).collect()
+        last = (own[-1]["size"], own[-1]["secret"])
+        df = _scrubbed(df, column, spark.sparkContext.broadcast(tuple(r["secret"] for r in own)))
+    return df
 
-    def replaced(listed: Column) -> Column:
-        return F.aggregate(listed, F.col(column), lambda text, s: F.replace(text, s, F.lit(MARK)))
 
-    if not found:
-        return df
-    if len(found) <= NEEDLES:
-        ordered = sorted(found, key=lambda s: (-len(s), s))
-        return df.withColumn(column, replaced(F.array(*[F.lit(s) for s in ordered])))
-    if not ids:
-        raise ValueError("name the id columns: the secret list is too long to carry")
-    named = needles.withColumn("__needle", F.col("secret"))
-    in_row = phrase_hits(named, df.select(*ids, column), ["secret"], list(ids), "__needle", column, SECRET_CHARS)
-    listed = in_row.groupBy(*ids).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.length("secret")).alias("l"), "secret"))), lambda e: e["secret"]
-    ).alias("__secrets"))
-    joined = equi_join(df, listed, list(ids), "left")
-    return joined.withColumn(column, F.when(F.col("__secrets").isNull(), F.col(column)).otherwise(
-        replaced(F.col("__secrets")))).select(*df.columns)
+def _scrubbed(df: DataFrame, column: str, secrets) -> DataFrame:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ordered = secrets.value
+        found = _automaton(ordered)
+
+        def one(text):
+            if text is None:
+                return None
+            for place in sorted({place for _, place in found.iter(text)}):
+                text = text.replace(ordered[place], MARK)
+            return text
+        for batch in batches:
+            yield batch.map(one)
+    return df.withColumn(column, run(F.col(column)))
