@@ -163,64 +163,80 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, entries.schema)
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with the sizes of both sets, of what they share, and the elements in one of them only, from their texts."""
+def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int, differ: bool = False) -> DataFrame:
+    """Pairs (a, b) with the sizes of both sets and of what they share, from their texts.
+
+    With `differ`, also the elements that only b has (`own`), and those that only a has (`other`) where the first of b's differences
+    can reach them: of all |b xor a|, own ones first, `first` must be indexed (see `_within_families`).
+    """
     one = bodies.select(F.col("v").alias("a"), F.col("text").alias("text_a"))
     two = bodies.select(F.col("v").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    c = (100 - percent) / (100 + percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, left = None, None
         for batch in batches:
-            sizes, differ = [], []
+            sizes, own, other = [], [], []
             for a, text_a, text_b in zip(batch.column(0).to_pylist(), texts(batch.column(2)), texts(batch.column(3))):
                 if a != known:
                     known, left = a, shingles(text_a, k)
                 right = shingles(text_b, k)
-                differ.append(np.setxor1d(left, right, assume_unique=True).view(np.int64))
-                sizes.append((len(left), len(right), (len(left) + len(right) - len(differ[-1])) // 2))
-            columns = np.array(sizes, np.int64).reshape(-1, 3).T.copy()
-            ends = pa.array(np.cumsum([0, *map(len, differ)]).astype(np.int32))
-            flat = pa.array(np.concatenate(differ) if differ else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), pa.ListArray.from_arrays(ends, flat)],
-                                             ["a", "b", "n_a", "n_b", "shared", "differ"])
-
-    done = both.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long, differ array<long>")
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                far = len(left) + len(right) - 2 * shared
+                linked = 100 * shared >= percent * (far + shared)
+                least = (far + c * (len(left) - len(right))) / 2 if linked else far - c * len(right) * (1 + 100 / percent)
+                first = far - max(1, math.ceil(least - 1e-9)) + 1
+                sizes.append((len(left), len(right), shared, first))
+                if differ:
+                    own.append(np.setdiff1d(right, left, assume_unique=True).view(np.int64))
+                    reached = first > len(own[-1])
+                    other.append(np.setdiff1d(left, right, assume_unique=True).view(np.int64) if reached else np.zeros(0, np.int64))
+            columns = [batch.column(0), batch.column(1), *map(pa.array, np.array(sizes, np.int64).reshape(-1, 4).T.copy())]
+            names = ["a", "b", "n_a", "n_b", "shared", "first"]
+            if differ:
+                columns += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, part)]).astype(np.int32)),
+                                                     pa.array(np.concatenate([np.zeros(0, np.int64), *part]))) for part in (own, other)]
+                names += ["own", "other"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    more = ", own array<long>, other array<long>" if differ else ""
+    done = both.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long, first long" + more)
     return done.withColumn("linked", 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
-def _within_families(star: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that may link, among the sets compared with one leader.
+def _within_families(star: DataFrame, parts: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that may link, among the sets that share a list of three or more with one leader.
 
     J(x, y) >= percent / 100 where |x xor y| <= c * (|x| + |y|), and x xor y is what only one of their differences from the leader has. So
     they share at least (|dx| + |dy| - c * (|x| + |y|)) / 2 differences. If x links to the leader, y does not: then |dy| > c * (|leader| + |y|). If x
-    does not, |dy| >= |dx| - c * (|x| + |y|). Either way at least one difference is shared.
+    does not, |dy| >= |dx| - c * (|x| + |y|). Either way at least one difference is shared, and it is among the `first` of both.
     """
-    c, size = (100 - percent) / (100 + percent), F.size("differ")
-    placed = (star.join(parts.select(F.col("v").alias("b"), F.col("component").alias("part_b")), "b", "left")
-              .join(parts.select(F.col("v").alias("a"), F.col("component").alias("part_a")), "a", "left")
-              .withColumn("part", F.coalesce("part_b", "b")).withColumn("part_a", F.coalesce("part_a", "a")))
-    least = F.when(F.col("linked"), (size + c * (F.col("n_a") - F.col("n_b"))) / 2).otherwise(size - c * F.col("n_b") * (1 + 100 / percent))
-    placed = written(placed.select("a", F.col("b").alias("x"), F.col("n_b").alias("n"), "part", "part_a", size.alias("d"), "differ",
-                                   F.greatest(F.lit(1), F.ceil(least - 1e-9)).alias("least")), "placed")
-    open_ = written(placed.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-                    .where("low <> high").select("a"), "open")
-    members = placed.join(open_, "a", "left_semi")
-    each = members.select("a", "x", F.explode("differ").alias("e"))
+    c = (100 - percent) / (100 + percent)
+    wide = (star.where("wide").join(parts.select(F.col("v").alias("b"), F.col("component").alias("part")), "b", "left")
+            .select("a", "b", F.coalesce("part", "b").alias("part")))
+    wide = written(wide, "wide")
+    open_ = wide.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("a")
+    pairs = written(wide.join(open_, "a", "left_semi"), "open")
+    near = written(_verified(pairs.select("a", "b"), bodies, k, percent, differ=True), "differences")
+    d = F.col("n_a") + F.col("n_b") - 2 * F.col("shared")
+    members = near.join(pairs, ["a", "b"]).select("a", F.col("b").alias("x"), F.col("n_b").alias("n"), "part", d.alias("d"), "first",
+                                                  (F.col("n_b") - F.col("shared")).alias("owned"), (F.col("n_a") - F.col("shared")).alias("missed"))
+    each = near.select("a", F.col("b").alias("x"), F.explode("own").alias("e"), F.lit(0).alias("side")).unionByName(
+        near.select("a", F.col("b").alias("x"), F.explode("other").alias("e"), F.lit(1).alias("side")))
     often = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    met = each.join(often, ["a", "e"]).groupBy("a", "x").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("es"))
-    # differences that no other member has come first; they only take places
-    entries = (members.select("a", "x", "n", "part", "d", "least").join(met, ["a", "x"])
-               .select("a", "x", "n", "part", "d", (F.col("d") - F.size("es")).alias("before"), (F.col("d") - F.col("least") + 1).alias("first"),
-                       F.posexplode("es").alias("i", "t"))
+    met = each.join(often, ["a", "e"]).groupBy("a", "x", "side").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("es"))
+    # own differences come first, on each side those that no other member has; they only take places
+    before = F.when(F.col("side") == 0, F.col("owned")).otherwise(F.col("owned") + F.col("missed")) - F.size("es")
+    entries = (members.join(met, ["a", "x"]).select("a", "x", "n", "part", "d", "first", before.alias("before"), F.posexplode("es").alias("i", "t"))
                .select("a", "x", "n", "part", "d", F.col("t.e").alias("e"), (F.col("before") + F.col("i")).alias("i"), "first").where("i < first"))
     entries = written(entries.drop("first"), "entries")
     x, y = entries.alias("x"), entries.alias("y")
     left = F.least(F.col("x.d") - F.col("x.i"), F.col("y.d") - F.col("y.i"))
     enough = 2 * left >= F.col("x.d") + F.col("y.d") - c * (F.col("x.n") + F.col("y.n")) - 1e-9
-    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.x") < F.col("y.x"))
+    found = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.x") < F.col("y.x"))
                    & (F.col("x.part") != F.col("y.part")) & _sizes_fit("x.n", "y.n", percent) & enough)
-    return pairs.select(F.col("x.x").alias("a"), F.col("y.x").alias("b")).distinct()
+    return found.select(F.col("x.x").alias("a"), F.col("y.x").alias("b")).distinct()
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -241,14 +257,15 @@ def _join(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[D
     rows = first_rows(sets.where("n > 0").select("row", "digest", "keys"), vertices)
     entries = rows.select(F.explode("keys").alias("key"), F.col("row").alias("v"))
     lists = written(shared_entries(entries), "lists")
-    leaders = written(lists.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("last")).where("a <> last").select("key", "a"), "leaders")
-    first = lists.join(leaders, "key").where(F.col("v") != F.col("a")).select("a", F.col("v").alias("b")).distinct()
+    leaders = written(lists.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("last"), F.count(F.lit(1)).alias("sets")).where("a <> last")
+                      .select("key", "a", "sets"), "leaders")
+    first = lists.join(leaders, "key").where(F.col("v") != F.col("a")).groupBy("a", F.col("v").alias("b")).agg(F.max(F.col("sets") > 2).alias("wide"))
     first = written(first, "pairs")
     bodies = bodies_of(docs, sets, lists.select(F.col("v").alias("row")).distinct(), key, text)
-    star = written(_verified(first, bodies, k, percent), "star")
+    star = written(_verified(first.select("a", "b"), bodies, k, percent), "star")
     links = star.where("linked").select("a", "b")
     parts = components(links)
-    rest = written(_within_families(star, parts, percent), "pairs")
+    rest = written(_within_families(star.join(first, ["a", "b"]), parts, bodies, k, percent), "pairs")
     if not rest.isEmpty():
         more = written(_verified(rest, bodies, k, percent), "rest").where("linked").select("a", "b")
         links = links.unionByName(more)
