@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,11 +89,46 @@ def test_longest_literal_run(spark, pattern, run):
 
 def test_pattern_validation(spark):
     cases = {"abc": True, "(?i)abc": True, "a++": False, "(?>a)": False, "(a": False, "(?P<n>x)": True, "(?<n>x)": True, "": False,
-             "(?R)": False, r"\(\?>": True, "a{1,3}+": False, "(?(1)a)": False}
+             "(?R)": False, r"\(\?>": True, "a{1,3}+": False, "(?(1)a)": False, '{"id":': True, r"(?P<user_id>\d+)": True, "(?P<a>x)(?P=a)": True,
+             "a{,3}": True, "(?#c)abc": True, "[[]": True, "(?a)": False, "[a&&b]": True, "(?'q'x)\\k<q>": True, "(?s)a.b": True, "(?m)^a": True,
+             "(?m)a$": False, "(a)?\\1": False, "(?<=a*)b": False, "[z-a]": False, "a{2,1}": False, "^*": False, "(" * 5000: False, "\\": False}
     df = spark.createDataFrame([(c,) for c in cases], "p string").select("p", patterns.validated("p").alias("v"))
     assert {r.p: r.v.ok for r in df.collect()} == cases
 
 
+def test_accepted_patterns_compile_in_java_and_match_alike(spark):
+    rng = random.Random(17)
+    pieces = ["a", "b", "{", "}", "]", "[", "(", ")", "|", "*", "+", "?", "{2}", "{,2}", "{1,}", "^", "$", ".", "\\d", "\\W", "\\b", "[ab]", "[^a", "&&", "-", "(?:",
+              "(?=", "(?<!", "(?P<n>", "(?P=n)", "\\1", "(?#x)", "(?i)", "\\x41", "\\u00e9", "\\.", "[\\s\\D]", '"id":', "(?>", "++", "\\k<n>", "😀", "\\q", "[]", "[^]"]
+    java, accepted = spark._jvm.java.util.regex.Pattern, 0
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9)))
+        ok, pattern, _ = patterns._verdict(text)
+        if ok:
+            accepted += 1
+            java.compile(pattern)  # must not raise
+    assert accepted > 400
+    shared = [p for p in pieces if p not in ("]", "}", "{", "[", "[^a", "{,2}", "^", "$", "[]", "[^]", "&&", "\\q", "(?#x)", "(?i)", "[\\s\\D]", "😀")]
+    rows = []
+    while len(rows) < 300:
+        text = "".join(rng.choice(shared) for _ in range(rng.randrange(1, 7)))
+        ok, pattern, _ = patterns._verdict(text)
+        if ok:
+            subject = "".join(rng.choice('ab1A"id: -.\n') for _ in range(8))
+            rows.append((text, pattern, subject, re.search(text, subject, re.ASCII) is not None))
+    df = spark.createDataFrame(rows, "text string, pattern string, subject string, want boolean")
+    assert df.where("(subject rlike pattern) <> want").collect() == []
+
+
+def test_numbers_of_answer_keys_print_as_in_javascript(spark):
+    cases = {"1e-7": "1e-7", "12345678901234567890": "12345678901234567000", "1e21": "1e+21", "0.000001": "0.000001", "-2.50": "-2.5", "5e-324": "5e-324",
+             "100.0": "100", "-0.0": "0", "1e400": "Infinity"}
+    df = spark.createDataFrame([(k,) for k in cases], "k string").select("k", patterns.answer_leaves("k").alias("l"))
+    assert {r.k: r.l for r in df.collect()} == {k: [v] for k, v in cases.items()}
+    deep = "[" * 5000 + "]" * 5000
+    assert spark.createDataFrame([(deep,)], "k string").select(patterns.answer_leaves("k").alias("l")).first().l == []
+
+
 def test_answer_leaves(spark):
     key = json.dumps({"a": "Hi", "b": [3, 2.5, True, None, {"c": 1.0}]})
     df = spark.createDataFrame([(key,), ("not json",), (None,)], "k string").select(patterns.answer_leaves("k").alias("l"))
