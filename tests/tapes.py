@@ -1,10 +1,10 @@
-"""A small recorded run, built line by line."""
+"""A booking desk's recorded run of five tasks, one line at a time; the expected figures in the tests follow from its timings and tokens."""
 
 import json
 
 
 def at(second):
-    return f"2026-08-19T10:00:{second}Z"
+    return f"2027-02-03T14:30:{second}Z"
 
 
 def ask(t, id, tool, corr, args=None, **extra):
@@ -32,45 +32,47 @@ def turn(t, corr, usage, blocks=(), **extra):
 
 
 TOOLS = [
-    {"name": "doc_search", "description": "search", "annotations": {"readOnlyHint": True}},
-    {"name": "get_invoice", "description": "fetch", "annotations": {"readOnlyHint": True}},
-    {"name": "transfer_funds", "description": "move money"},
-    {"name": "flaky_search", "description": "sometimes fails"},
-    {"name": "delete_record", "description": "delete", "annotations": {"destructiveHint": True}},
+    {"name": "seat_map", "description": "seats of a hall", "annotations": {"readOnlyHint": True}},
+    {"name": "find_slot", "description": "free hours of a room", "annotations": {"readOnlyHint": True}},
+    {"name": "book_room", "description": "reserves a room"},
+    {"name": "print_badge", "description": "prints a visitor badge"},
+    {"name": "purge_list", "description": "empties a waiting list", "annotations": {"destructiveHint": True}},
+]
+# (task, tool, request id, second of the request, milliseconds to the answer or None, error text or None)
+CALLS = [
+    ("v1", "seat_map", 101, 10.4, 40, None), ("v1", "seat_map", 102, 11.0, 650, None), ("v1", "seat_map", 103, 12.2, 90, None),
+    ("v2", "find_slot", 104, 20.0, 20, "room closed"), ("v2", "find_slot", 105, 20.5, 30, "room taken"), ("v2", "find_slot", 106, 21.1, 25, None),
+    ("v3", "seat_map", 107, 30.0, 55, None), ("v3", "book_room", 108, 31.0, 70, None),
+    ("v4", "print_badge", 109, 40.0, None, None),
+    ("v5", "find_slot", 110, 50.0, 35, None),
 ]
 
 
 def wire():
-    return [
-        {"v": 1, "type": "meta", "startedAt": at("00.000"), "label": "demo", "command": ["run", 7, "x"], "kind": "mcp",
-         "producer": {"name": "recorder", "version": "2"}},
-        {"t": at("00.100"), "dir": "in", "raw": {"jsonrpc": "2.0", "id": 1, "method": "tools/list", "params": {}}},
-        {"t": at("00.200"), "dir": "out", "raw": {"jsonrpc": "2.0", "id": 1, "result": {"tools": TOOLS}}},
-        ask("01.000", 10, "doc_search", "t1"), answer("01.100", 10, "t1"),
-        ask("01.200", 11, "doc_search", "t1"), answer("01.400", 11, "t1"),
-        ask("01.500", 12, "doc_search", "t1"), answer("01.800", 12, "t1"),
-        ask("02.000", 13, "doc_search", "t1"), answer("02.400", 13, "t1"),
-        ask("03.000", 20, "get_invoice", "t2"), failed("03.050", 20, "t2", "invoice not found"),
-        ask("03.100", 21, "get_invoice", "t2"), answer("03.150", 21, "t2"),
-        ask("04.000", 30, "transfer_funds", "t3"), answer("04.100", 30, "t3"),
-        ask("05.000", 40, "flaky_search", "t4"),
-        {"t": at("06.000"), "type": "end", "reason": "done", "durationMs": 6000, "exitCode": 0},
-    ]
+    out = [{"v": 1, "type": "meta", "startedAt": at("09.000"), "label": "desk", "command": ["serve", 3, "desk"], "kind": "mcp",
+            "producer": {"name": "logger", "version": "5"}},
+           {"t": at("09.100"), "dir": "in", "raw": {"jsonrpc": "2.0", "id": 100, "method": "tools/list", "params": {}}},
+           {"t": at("09.130"), "dir": "out", "raw": {"jsonrpc": "2.0", "id": 100, "result": {"tools": TOOLS}}}]
+    for task, tool, id, second, took, error in CALLS:
+        out.append(ask(f"{second:06.3f}", id, tool, task))
+        if took is not None:
+            back = f"{second + took / 1000:06.3f}"
+            out.append(failed(back, id, task, error) if error else answer(back, id, task))
+    return [*out, {"t": at("52.500"), "type": "end", "reason": "closed", "durationMs": 43500, "exitCode": 0}]
 
 
 def agent():
-    use = {"type": "tool_use", "id": "tu_1", "name": "doc_search", "input": {"q": "a"}}
+    use = {"type": "tool_use", "id": "u7", "name": "seat_map", "input": {"hall": 2}}
+    spent = {"v2": (410, 55), "v3": (380, 35), "v4": (290, 20), "v5": (700, 15)}
     return [
-        {"v": 1, "type": "meta", "startedAt": at("00.500"), "label": "demo", "kind": "llm"},
-        turn("00.900", "t1", {"input_tokens": 1000, "output_tokens": 100}, [use]),
-        {"t": at("01.150"), "type": "turn", "role": "user", "corr_id": "t1", "blocks": [
-            {"type": "tool_result", "tool_use_id": "tu_1", "content": "ok"}]},
-        turn("01.160", "t1", {"input_tokens": 1200, "output_tokens": 50}, [use], echoed=True),
-        turn("01.200", "t1", {"input_tokens": 1300, "output_tokens": 80}, [{"type": "text", "text": "the answer is 42"}]),
-        turn("02.900", "t2", {"input_tokens": 900, "output_tokens": 60}),
-        turn("03.900", "t3", {"input_tokens": 800, "output_tokens": 40}),
-        turn("04.900", "t4", {"input_tokens": 700, "output_tokens": 30}),
-        {"t": at("06.000"), "type": "end", "reason": "done", "durationMs": 5500},
+        {"v": 1, "type": "meta", "startedAt": at("09.050"), "label": "desk", "kind": "llm"},
+        turn("10.300", "v1", {"input_tokens": 500, "output_tokens": 40}, [use]),
+        {"t": at("10.475"), "type": "turn", "role": "user", "corr_id": "v1", "blocks": [
+            {"type": "tool_result", "tool_use_id": "u7", "content": "seven rows"}]},
+        turn("10.480", "v1", {"input_tokens": 900, "output_tokens": 70}, [use], echoed=True),
+        turn("13.000", "v1", {"input_tokens": 620, "output_tokens": 25}, [{"type": "text", "text": "row seven"}]),
+        *(turn(f"{n}9.000", task, {"input_tokens": i, "output_tokens": o}) for n, (task, (i, o)) in enumerate(spent.items(), 2)),
+        {"t": at("59.500"), "type": "end", "reason": "closed", "durationMs": 50000},
     ]
 
 
@@ -78,5 +80,6 @@ def lines(run, plane, records):
     return [(run, plane, i, r if isinstance(r, str) else json.dumps(r)) for i, r in enumerate(records)]
 
 
-OUTCOMES = [("t1", True, True, False, None), ("t2", False, True, False, None), ("t3", True, True, False, None),
-            ("t4", False, False, True, "flaky_search")]
+# (task, first try, success, budget exhausted, failing tool)
+OUTCOMES = [("v1", True, True, False, None), ("v2", False, True, False, None), ("v3", True, True, False, None),
+            ("v4", False, False, True, "print_badge"), ("v5", True, True, False, None)]

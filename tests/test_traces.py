@@ -19,29 +19,28 @@ def by(df, key):
     return {r[key]: r for r in df.collect()}
 
 
-def test_tool_stats_of_the_demo_run(spark, group_limit):
+def test_tool_stats_of_the_desk(spark, group_limit):
     recs, turns = load(spark)
     every = pairs.calls(recs, turns)
     stats = {(r["plane"], r["tool"]): r for r in calls.tool_stats(every).collect()}
-    assert (stats["mcp", "doc_search"].calls, stats["mcp", "doc_search"].p50_ms, stats["mcp", "doc_search"].p95_ms) == (4, 200, 400)
-    assert (stats["mcp", "get_invoice"].calls, stats["mcp", "get_invoice"].errors) == (2, 1)
-    assert (stats["mcp", "flaky_search"].pending, stats["mcp", "flaky_search"].p50_ms) == (1, None)
+    assert [(t, stats["mcp", t].calls, stats["mcp", t].errors, stats["mcp", t].pending, stats["mcp", t].p50_ms, stats["mcp", t].p95_ms)
+            for t in ("seat_map", "find_slot", "print_badge")] == [
+        ("seat_map", 4, 0, 0, 55, 650), ("find_slot", 4, 2, 0, 25, 35), ("print_badge", 1, 0, 1, None, None)]
     # the echoed repeat of the tool use is no second call
-    assert (stats["agent", "doc_search"].calls, stats["agent", "doc_search"].p50_ms) == (1, 250)
+    assert (stats["agent", "seat_map"].calls, stats["agent", "seat_map"].p50_ms) == (1, 175)
     chosen = sessions.merged_tools(calls.tool_stats(every))
     assert {r.plane for r in chosen.collect()} == {"mcp"}
-    ordered = [r.tool for r in calls.by_calls(chosen, "tool").collect()]
-    assert ordered == ["doc_search", "get_invoice", "flaky_search", "transfer_funds"]
+    assert [r.tool for r in calls.by_calls(chosen, "tool").collect()] == ["find_slot", "seat_map", "book_room", "print_badge"]
 
 
 def test_sessions_and_merge(spark):
     recs, _ = load(spark)
     one = {r.plane: r for r in sessions.sessions(recs).collect()}
-    assert (one["mcp"].total, one["mcp"].meta, one["mcp"].message, one["mcp"].end) == (19, 1, 17, 1)
-    assert (one["mcp"].duration_ms, one["mcp"].producer, one["mcp"].command) == (6000, "recorder@2", ["run", "x"])
-    assert (one["agent"].turn, one["agent"].kind) == (7, "llm")
+    assert (one["mcp"].total, one["mcp"].meta, one["mcp"].message, one["mcp"].end) == (23, 1, 21, 1)
+    assert (one["mcp"].duration_ms, one["mcp"].producer, one["mcp"].command) == (43500, "logger@5", ["serve", "desk"])
+    assert (one["agent"].turn, one["agent"].kind) == (8, "llm")
     merged = sessions.merged_sessions(sessions.sessions(recs)).first()
-    assert (merged.total, merged.started_at, merged.duration_ms, merged.producer) == (28, at("00.000"), 6000, "recorder@2")
+    assert (merged.total, merged.started_at, merged.duration_ms, merged.producer) == (33, at("09.000"), 50500, "logger@5")  # from the first start to the last end
 
 
 def test_model_usage_and_cost(spark):
@@ -49,11 +48,11 @@ def test_model_usage_and_cost(spark):
     prices = usage.price_table(spark)
     models = usage.priced(usage.model_usage(turns), prices)
     m = models.first()
-    assert (m.calls, m.input_tokens, m.output_tokens, m.cache_read_tokens) == (5, 4700, 310, None)
-    assert m.cost_usd == pytest.approx(4700 / 1e6 * 2 + 310 / 1e6 * 10)
+    assert (m.calls, m.input_tokens, m.output_tokens, m.cache_read_tokens) == (6, 2900, 190, None)
+    assert m.cost_usd == pytest.approx(2900 / 1e6 * 2 + 190 / 1e6 * 10)
     assert (m.cache_hit_rate, m.thinking_tokens) == (None, None)
     s = usage.model_summary(models, turns).first()
-    assert (s.turns, s.echoed_turns, s.assistant_turns, s.partial, s.unpriced_models) == (7, 1, 5, False, [])
+    assert (s.turns, s.echoed_turns, s.assistant_turns, s.partial, s.unpriced_models) == (8, 1, 6, False, [])
 
 
 def test_usage_nulls_cache_and_thinking(spark):
@@ -147,20 +146,20 @@ def test_odd_ids_and_sources(spark):
 
 def test_errors_listed_once(spark):
     more = wire() + [
-        rpc_error("07.000", 1, None, -1, "list broke"), rpc_error("07.500", 99, None, -2, "who"),
+        rpc_error("07.000", 100, None, -1, "list broke"), rpc_error("07.500", 99, None, -2, "who"),
         {"t": at("08.000"), "dir": "event", "kind": "llm.error", "data": {"status": 529, "url": "u"}},
         ask("09.000", 50, "x", "t9"), rpc_error("09.100", 50, "t9", -32601, "Method not found"),
     ]
     recs, turns = load(spark, more, [])
     got = {(r.source, r.name, r.message) for r in calls.error_list(recs, pairs.calls(recs, turns)).collect()}
     assert got == {
-        ("tool", "get_invoice", "invoice not found"), ("tool", "x", "Method not found (code -32601)"),
+        ("tool", "find_slot", "room closed"), ("tool", "find_slot", "room taken"), ("tool", "x", "Method not found (code -32601)"),
         ("jsonrpc", "tools/list", "list broke (code -1)"), ("jsonrpc", "id 99", "who (code -2)"), ("llm", "u", "HTTP 529")}
 
 
 def run_score(spark, mcp=None, agents=None, outcomes=OUTCOMES):
     recs, turns = load(spark, mcp, agents)
-    tasks = spark.createDataFrame([("r1", f"t{i}", i) for i in range(1, 5)], "run_id string, task_id string, position int")
+    tasks = spark.createDataFrame([("r1", f"v{i}", i) for i in range(1, 6)], "run_id string, task_id string, position int")
     told = spark.createDataFrame(
         [("r1", *o) for o in outcomes],
         "run_id string, task_id string, first_try boolean, success boolean, budget_exhausted boolean, failure_tool string"
@@ -172,67 +171,68 @@ def run_score(spark, mcp=None, agents=None, outcomes=OUTCOMES):
     return results, score.score_block(results).first(), by(score.tool_attribution(chosen, results, recs, catalogue), "tool")
 
 
-def test_score_of_the_demo_run(spark):
+# per task of the desk that succeeds: live input and output tokens, assistant turns
+SPENT = {"v1": (1120, 65, 2), "v2": (410, 55, 1), "v3": (380, 35, 1), "v5": (700, 15, 1)}
+OVERHEAD = 354  # fixed tokens of a request that are not the task's
+
+
+def test_score_of_the_desk(spark):
     results, block, tools = run_score(spark)
-    assert (block.first_try_k, block.eventual_k, block.n) == (2, 3, 4)
-    assert block.mean_calls == pytest.approx(7 / 3)
-    assert block.mean_tokens == pytest.approx((1772 + 606 + 486) / 3)
-    assert block.mean_cost_usd == pytest.approx((0.0064 + 0.0024 + 0.002) / 3)
-    assert block.unconfirmed_calls == 1
-    t = by(results, "task_id")
-    assert (t["t2"].failure, t["t4"].failure, t["t1"].failure) == ("execution-error-recovered", "budget-exhausted", None)
-    assert [t[k].unconfirmed_calls for k in ("t1", "t3", "t4")] == [0, 1, 0]
-    assert tools["get_invoice"].failure_classes == {"execution-error-recovered": 1}
-    assert tools["flaky_search"].failure_classes == {"budget-exhausted": 1}
-    assert tools["transfer_funds"].declared_destructive and not tools["doc_search"].declared_destructive
-
-
-def test_score_variants(spark):
-    missing, block, tools = run_score(spark, outcomes=[o for o in OUTCOMES if o[0] != "t4"])
-    assert (block.n, block.eventual_k, tools["flaky_search"].calls) == (4, 3, 1)
-    assert not by(missing, "task_id")["t4"].reported
-    _, none, _ = run_score(spark, outcomes=[(o[0], False, False, False, None) for o in OUTCOMES])
-    assert (none.mean_calls, none.mean_tokens, none.mean_cost_usd, none.first_try.rate) == (None, None, None, 0)
-    _, clamped, _ = run_score(spark, outcomes=[("t1", True, False, False, None)])
-    assert (clamped.first_try_k, clamped.eventual_k) == (0, 0)
-
-
-def test_unknown_model_has_no_cost(spark):
-    strange = [{**r, "model": "mystery-1"} if r.get("role") == "assistant" else r for r in agent()]
-    results, block, _ = run_score(spark, agents=strange)
+    assert (block.first_try_k, block.eventual_k, block.n, block.unconfirmed_calls) == (3, 4, 5, 1)
+    assert block.mean_calls == pytest.approx((3 + 3 + 2 + 1) / 4)
+    assert block.mean_tokens == pytest.approx(sum(i + o - n * OVERHEAD for i, o, n in SPENT.values()) / 4)
+    assert block.mean_cost_usd == pytest.approx(sum(i * 2 + o * 10 for i, o, _ in SPENT.values()) / 4e6)
+    tasks = by(results, "task_id")
+    assert {k: r.failure for k, r in tasks.items()} == {
+        "v1": None, "v2": "execution-error-recovered", "v3": None, "v4": "budget-exhausted", "v5": None}
+    assert {k: r.unconfirmed_calls for k, r in tasks.items() if r.unconfirmed_calls} == {"v3": 1}
+    assert set(tools["find_slot"].failure_classes) == {"execution-error-recovered"}
+    assert tools["print_badge"].failure_classes == {"budget-exhausted": 1}
+    assert {t: tools[t].declared_destructive for t in ("book_room", "seat_map")} == {"book_room": True, "seat_map": False}
+
+
+def test_outcomes_that_are_missing_or_contradict(spark):
+    unreported, block, _ = run_score(spark, outcomes=[o for o in OUTCOMES if o[0] != "v5"])
+    assert (block.n, block.first_try_k, block.eventual_k) == (5, 2, 3) and not by(unreported, "task_id")["v5"].reported
+    _, lost, _ = run_score(spark, outcomes=[(f"v{i}", False, False, False, None) for i in range(1, 6)])
+    assert [lost[c] for c in ("mean_calls", "mean_tokens", "mean_cost_usd")] == [None] * 3 and lost.first_try.rate == 0
+    _, odd, _ = run_score(spark, outcomes=[("v3", True, False, False, None), ("v5", True, True, False, None)])
+    assert (odd.first_try_k, odd.eventual_k) == (1, 1)  # a first try without success is none
+
+
+def test_a_model_without_price_has_tokens_but_no_cost(spark):
+    renamed = [{**r, "model": "desk-model"} if r.get("role") == "assistant" else r for r in agent()]
+    _, block, _ = run_score(spark, agents=renamed)
     assert block.mean_cost_usd is None
-    assert block.mean_tokens == pytest.approx((2480 + 960 + 840) / 3)
+    assert block.mean_tokens == pytest.approx(sum(i + o for i, o, _ in SPENT.values()) / 4)
+
 
+@pytest.mark.parametrize("tool,left", [("seat_map", 1), ("book_room", 0)])
+def test_a_confirmation_event_counts_for_its_tool(spark, tool, left):
+    event = {"t": at("30.500"), "dir": "event", "kind": "fitness.mrtr_round", "corr_id": "v3", "raw": {"tool": tool}}
+    assert run_score(spark, [*wire(), event])[1].unconfirmed_calls == left
 
-def test_confirmations_are_per_task_and_tool(spark):
-    def event(tool):
-        return {"t": at("03.060"), "dir": "event", "kind": "fitness.mrtr_round", "corr_id": "t3", "raw": {"tool": tool}}
 
-    assert run_score(spark, wire() + [event("lookup_user")])[1].unconfirmed_calls == 1
-    assert run_score(spark, wire() + [event("transfer_funds")])[1].unconfirmed_calls == 0
-    asked = wire() + [ask("03.900", 29, "transfer_funds", "t3"), answer(
-        "03.950", 29, "t3", {"input_required": {"message": "sure?"}, "requestState": "s"})]
+def test_a_round_of_questions_confirms_the_next_call(spark):
+    asked = [*wire(), ask("30.600", 300, "book_room", "v3"),
+             answer("30.700", 300, "v3", {"input_required": {"message": "room 4?"}, "requestState": "open"})]
     results, block, tools = run_score(spark, asked)
-    assert (block.unconfirmed_calls, tools["transfer_funds"].calls) == (0, 2)
-    assert by(results, "task_id")["t3"].mrtr_rounds == 1
+    assert (block.unconfirmed_calls, tools["book_room"].calls, by(results, "task_id")["v3"].mrtr_rounds) == (0, 2, 1)
 
 
-def test_protocol_errors_and_schema_rejects(spark):
-    broken = [rpc_error("04.100", 30, "t3", -32601, "Method not found")
-              if r.get("dir") == "out" and r["raw"].get("id") == 30 else r for r in wire()]
-    broken.append({"t": at("05.500"), "dir": "event", "kind": "fitness.schema_reject", "corr_id": "t4",
-                   "data": {"tool": "flaky_search"}})
-    told = [(o[0], False, False, False, None) if o[0] == "t3" else o for o in OUTCOMES]
-    results, block, tools = run_score(spark, broken, outcomes=told)
-    assert tools["transfer_funds"].failure_classes == {"protocol-error": 1}
-    assert tools["flaky_search"].failure_classes["schema-validation-reject"] == 1
-    assert (by(results, "task_id")["t3"].failure, block.unconfirmed_calls) == ("protocol-error", 0)
+def test_errors_of_the_protocol_and_of_schemas(spark):
+    refused = [rpc_error("31.010", 108, "v3", -32602, "no such room") if r.get("dir") == "out" and r["raw"]["id"] == 108 else r for r in wire()]
+    refused.append({"t": at("41.000"), "dir": "event", "kind": "fitness.schema_reject", "corr_id": "v4", "data": {"tool": "print_badge"}})
+    outcomes = [("v3", False, False, False, None) if o[0] == "v3" else o for o in OUTCOMES]
+    results, block, tools = run_score(spark, refused, outcomes=outcomes)
+    assert by(results, "task_id")["v3"].failure == "protocol-error" and tools["book_room"].failure_classes == {"protocol-error": 1}
+    assert tools["print_badge"].failure_classes["schema-validation-reject"] == 1 and block.unconfirmed_calls == 0
 
 
 def test_agent_plane_fills_in_for_a_missing_wire(spark):
     recs, turns = load(spark, [], None)
     chosen = score.chosen_calls(pairs.calls(recs, turns))
-    assert rows(chosen, "tool", "origin") == [("doc_search", "turn")]
+    assert rows(chosen, "tool", "origin") == [("seat_map", "turn")]
 
 
 def test_timeline_and_decisions(spark, group_limit):
@@ -240,8 +240,8 @@ def test_timeline_and_decisions(spark, group_limit):
     merged = records.timeline(recs.where("plane = 'mcp'"), recs.where("plane = 'agent'")).where("corr_id IS NOT NULL")
     numbered = records.decisions(merged)
     last = numbered.groupBy("corr_id").agg(F.max("decision").alias("d"), F.min("decision").alias("f"))
-    # t1 .. t4 follow one another, so every task is one stretch
-    assert rows(last, "corr_id", "f", "d") == [("t1", 1, 1), ("t2", 2, 2), ("t3", 3, 3), ("t4", 4, 4)]
+    # the tasks follow one another, so each is one stretch
+    assert rows(last, "corr_id", "f", "d") == [(f"v{i}", i, i) for i in range(1, 6)]
 
 
 def test_model_meter(spark):
