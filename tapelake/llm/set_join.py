@@ -60,12 +60,12 @@ def _class_ends(percent: int) -> tuple[int, ...]:
 def _segments(size_class: int, percent: int) -> tuple[int, int]:
     """(segments, spare) of a class. Linked sets differ in (1 - t) / (1 + t) * (|A| + |B|) elements at most, both sizes below the class's
     end; with `spare` segments more than one beyond that, a set with up to `spare` empty segments needs only its full ones. The
-    spare are what a set of the class's least size leaves empty, with three deviations added."""
+    spare are what the least set that is cut so leaves empty, with three deviations added."""
     ends = _class_ends(percent)
-    least = ends[size_class - 1] if size_class else 1
+    least = -(-(ends[size_class - 1] if size_class else 1) * percent // 100)  # of the class below that looks here
     differ = (100 - percent) * 2 * (ends[size_class] - 1) // (100 + percent)
     spare = 1
-    while differ and spare < 2 + differ // 5:  # small sets leave some empty however they are cut
+    while differ and spare < 2 + differ // 3:  # small sets leave some empty however they are cut
         empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
         if empty + 3 * math.sqrt(empty) <= spare:
             break
