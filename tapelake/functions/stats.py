@@ -184,7 +184,7 @@ def achieved_power(n: str, threshold: float, detectable: float, alpha: float = 0
 
 def plan(spark, threshold: float, detectable: float, alpha: float = 0.05, power: float = 0.8,
          max_n: int = 2000) -> DataFrame:
-    """One row: the smallest n from 5 up whose achieved power is enough (none: no row)."""
+    """One row: the smallest n from 5 to ``max_n`` whose achieved power is enough; n is NULL if there is none up to ``searched_to``."""
     if not 0 < detectable < threshold <= 1:
         raise ValueError("need 0 < detectable < threshold <= 1")
     sizes = spark.range(5, max_n + 1).select(F.col("id").alias("n"))
@@ -192,7 +192,7 @@ def plan(spark, threshold: float, detectable: float, alpha: float = 0.05, power:
         "n", critical_k("n", threshold, alpha).alias("fail_at_or_below"),
         achieved_power("n", threshold, detectable, alpha).alias("power"))
     best = graded.agg(F.min_by(F.struct(*graded.columns), F.when(F.col("power") >= power, F.col("n"))).alias("d"))
-    return best.select("d.*").where("n IS NOT NULL")
+    return best.select("d.*", F.lit(max_n).alias("searched_to"))
 
 
 def published(df: DataFrame, k: str, n: str, threshold: float, alpha: float = 0.05,

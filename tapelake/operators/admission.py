@@ -90,41 +90,19 @@ def canonical(value: Column) -> Column:
     return F.to_json(F.parse_json(value))
 
 
-HASH_ROWS = 10_000
-
-
-def ordered_body(rows: DataFrame, keys: Sequence[str], position: str, item: str, name: str,
-                 block: int = HASH_ROWS) -> DataFrame:
+def ordered_body(rows: DataFrame, keys: Sequence[str], position: str, item: str, name: str) -> DataFrame:
     """Each group's items joined by commas in the order of ``position``, ready to be hashed.
 
-    ``position`` counts from 1 without gaps. A group of up to ``block`` items
-    gives its items. A larger one gives the hashes of its blocks, or the hashes
-    of blocks of those, so no task holds more than ``block`` items of a group (up
-    to block to the power of 3 items).
+    One definition at every size. A group is what one published document holds (a suite's tasks, a listing's tools), so its
+    body is no longer than that document, which is one row already; groups of many documents have no such hash.
     """
-    def joined(place: Column, value: Column) -> Column:
-        return F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(place.alias("p"), value.alias("v")))), lambda e: e["v"]), ",")
+    listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(item).alias("v"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda e: e["v"]), ",").alias(name))
 
-    k = list(keys)
-    one = rows.groupBy(*k, F.floor((F.col(position) - 1) / block).alias("__b1")).agg(
-        joined(F.col(position), F.col(item)).alias("__t1"))
-    two = one.groupBy(*k, F.floor(F.col("__b1") / block).alias("__b2")).agg(
-        F.max("__b1").alias("__top1"), F.max(F.when(F.col("__b1") == 0, F.col("__t1"))).alias("__t1"),
-        joined(F.col("__b1"), F.sha2("__t1", 256)).alias("__t2"))
-    three = two.groupBy(*k).agg(
-        F.max("__top1").alias("__top1"), F.max("__b2").alias("__top2"), F.max("__t1").alias("__t1"),
-        F.max(F.when(F.col("__b2") == 0, F.col("__t2"))).alias("__t2"),
-        joined(F.col("__b2"), F.sha2("__t2", 256)).alias("__t3"))
-    body = F.when(F.col("__top1") == 0, F.col("__t1")).when(F.col("__top2") == 0, F.col("__t2")).otherwise(F.col("__t3"))
-    return three.select(*k, body.alias(name))
-
-
-def ordered_hash(rows: DataFrame, keys: Sequence[str], position: str, item: str, name: str,
-                 block: int = HASH_ROWS) -> DataFrame:
+
+def ordered_hash(rows: DataFrame, keys: Sequence[str], position: str, item: str, name: str) -> DataFrame:
     """sha256 over ``ordered_body``."""
-    return ordered_body(rows, keys, position, item, "__body", block).select(
-        *keys, F.sha2(F.col("__body"), 256).alias(name))
+    return ordered_body(rows, keys, position, item, "__body").select(*keys, F.sha2(F.col("__body"), 256).alias(name))
 
 
 def suite_hashes(tasks: DataFrame, suites: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -209,20 +187,17 @@ def context_leaks(phrases: DataFrame, context: DataFrame, on: Sequence[str], ids
 
 
 def corpus_leaks(phrases: DataFrame, corpus: DataFrame, phrase_ids: Sequence[str], text_ids: Sequence[str],
-                 floor: int = MIN_PHRASE, q: int = text.LONG_PHRASE) -> DataFrame:
+                 floor: int = MIN_PHRASE) -> DataFrame:
     """Every (phrase, text) pair where the text gives the phrase away.
 
-    phrases: ids, phrase. corpus: ids, text. Long keys go through squashed
-    grams, short ones through whole words. ``q`` may be raised to the shortest
-    key present.
+    phrases: ids, phrase. corpus: ids, text. Keys of LONG_PHRASE squashed characters or more go through squashed grams,
+    shorter ones, from ``floor`` up, through whole words.
     """
     keys = phrases.withColumn("__key", text.squash(F.col("phrase"))).withColumn(
         "__words", text.collapse(F.col("phrase"))).where(F.length("__key") >= floor)
-    long_ = phrase_hits(keys.where(F.length("__key") >= q), corpus.withColumn("__text", text.squash(F.col("text"))),
-                        phrase_ids, text_ids, "__key", "__text", q)
-    if q > text.LONG_PHRASE:
-        return long_
-    short = word_hits(keys.where(F.length("__key") < q), corpus.withColumn("__text", text.collapse(F.col("text"))),
+    long_ = phrase_hits(keys.where(F.length("__key") >= text.LONG_PHRASE), corpus.withColumn("__text", text.squash(F.col("text"))),
+                        phrase_ids, text_ids, "__key", "__text", text.LONG_PHRASE)
+    short = word_hits(keys.where(F.length("__key") < text.LONG_PHRASE), corpus.withColumn("__text", text.collapse(F.col("text"))),
                       phrase_ids, text_ids, "__words", "__text")
     return long_.unionByName(short)
 

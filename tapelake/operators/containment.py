@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapelake.session import written
 
-# A phrase side up to this many rows is shipped to every task; a larger one is shuffled.
-SHIPPED_ROWS = 200_000
+
+# A phrase side of up to so many bytes is shipped to every task; a larger one is shuffled, with the same result.
+SHIPPED_BYTES = 32 << 20
 
 
 def pieces(c: Column, q: int) -> Column:
@@ -32,8 +34,15 @@ def grams(c: Column, q: int) -> Column:
 
 
 def shipped(df: DataFrame) -> DataFrame:
-    """Broadcast a side that is counted to be small, else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(SHIPPED_ROWS + 1).count() <= SHIPPED_ROWS else df
+    """Broadcast a side that is measured to be small, else leave the join to Spark. The side is written first, so measuring
+    it does not compute it twice."""
+    df = written(df, "phrases")
+    size = F.lit(64)
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= SHIPPED_BYTES else df
 
 
 def phrase_hits(

@@ -58,27 +58,29 @@ phrases AS (SELECT item_id, CAST(i AS INTEGER) AS rank, s[i] AS phrase FROM (
 """
 
 
+WORD_MATCH = "regexp_matches(d.flat, '(^|[^a-z0-9])' || regexp_escape(k.words) || '($|[^a-z0-9])')"
+
+
 @query("WITH " + SENTENCES + f"""
-k AS (SELECT item_id, rank, {SQUASHED.format('phrase')} AS key FROM phrases),
-d AS (SELECT doc_id, {SQUASHED.format('text')} AS flat FROM documents)
-SELECT item_id, rank, doc_id FROM k JOIN d ON contains(d.flat, k.key) WHERE length(k.key) >= 16""")
+k AS (SELECT item_id, rank, {SQUASHED.format('phrase')} AS key, lower(trim(regexp_replace(phrase, '{SPACES}', ' ', 'g'))) AS words FROM phrases),
+d AS (SELECT doc_id, {SQUASHED.format('text')} AS squashed, {FLAT} AS flat FROM documents)
+SELECT item_id, rank, doc_id FROM k JOIN d ON contains(d.squashed, k.key) WHERE length(k.key) >= 6
+UNION ALL SELECT item_id, rank, doc_id FROM k JOIN d ON {WORD_MATCH} WHERE length(k.key) BETWEEN 3 AND 5""")
 def leak_scan(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("rank", "phrase"))
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return admission.corpus_leaks(
-        items.withColumn("rank", F.col("rank") + 1), docs, ["item_id", "rank"], ["doc_id"], floor=16, q=16).select(
+    return admission.corpus_leaks(items.withColumn("rank", F.col("rank") + 1), docs, ["item_id", "rank"], ["doc_id"]).select(
         "item_id", "rank", "doc_id")
 
 
 @query("WITH " + SENTENCES + f"""
-w AS (SELECT DISTINCT regexp_replace(lower(trim(regexp_replace(phrase, '{SPACES}', ' ', 'g'))), '^.* ', '') AS word FROM phrases),
-k AS (SELECT word FROM w WHERE length({SQUASHED.format('word')}) BETWEEN 3 AND 5),
+w AS (SELECT DISTINCT unnest(string_split(lower(trim(regexp_replace(phrase, '{SPACES}', ' ', 'g'))), ' ')) AS words FROM phrases),
+k AS (SELECT words FROM w WHERE length({SQUASHED.format('words')}) BETWEEN 3 AND 5),
 d AS (SELECT doc_id, {FLAT} AS flat FROM documents)
-SELECT word, doc_id FROM k JOIN d
-  ON regexp_matches(d.flat, '(^|[^a-z0-9])' || regexp_escape(k.word) || '($|[^a-z0-9])')""")
+SELECT words AS word, doc_id FROM k JOIN d ON {WORD_MATCH}""")
 def short_leaks(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\. ")).alias("phrase"))
-    words = items.select(F.regexp_replace(text.collapse(F.col("phrase")), "^.* ", "").alias("word")).distinct()
+    words = items.select(F.explode(F.split(text.collapse(F.col("phrase")), " ")).alias("word")).distinct()
     short = words.where(F.length(text.squash(F.col("word"))).between(3, 5))
     docs = _documents(spark, sf_dir).select("doc_id", text.collapse(F.col("text")).alias("text"))
     from tapelake.operators.containment import word_hits
@@ -234,6 +236,52 @@ def redact_docs(spark, sf_dir):
         F.sha2(redact.redact_text(body, FLAT_RULES), 256).alias("digest"))
 
 
+@query("""
+WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '鍵' WHEN 1 THEN 'clé' WHEN 2 THEN 'ключ' ELSE '' END AS before,
+           CASE doc_id % 3 WHEN 0 THEN 'sk-' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 24)
+                WHEN 1 THEN 'AKIA' || upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, 16)) ELSE 'ghp_' || md5(CAST(doc_id AS VARCHAR)) || 'abcd' END AS secret,
+           regexp_extract_all(text, '[a-z]+') AS w FROM documents)
+SELECT doc_id, before || '[REDACTED]' || ' ' || array_to_string(w, ' ') AS note, '[REDACTED]' AS token, CAST(doc_id AS VARCHAR) AS tokens,
+       len(w) AS words FROM s""")
+def redact_tape_json(spark, sf_dir):
+    key = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    before = F.element_at(F.array(F.lit("鍵"), F.lit("clé"), F.lit("ключ"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    secret = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("sk-"), F.substring(key, 1, 24))).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit("AKIA"), F.upper(F.substring(key, 1, 16)))).otherwise(F.concat(F.lit("ghp_"), key, F.lit("abcd")))
+    d = _documents(spark, sf_dir).withColumn("w", F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))
+    line = F.to_json(F.struct(F.lit("message").alias("type"), F.struct(
+        F.concat(before, secret, F.lit(" "), F.array_join("w", " ")).alias("note"), F.struct(secret.alias("deep")).alias("token"),
+        F.col("doc_id").alias("tokens")).alias("raw")))
+    clean = redact.redact_tapes(d.select("doc_id", F.size("w").cast("long").alias("words"), line.alias("raw_text")))
+    part = [F.get_json_object("raw_text", f"$.raw.{c}").alias(c) for c in ("note", "token", "tokens")]
+    return clean.select("doc_id", *part, "words")
+
+
+@query("""
+SELECT o_orderkey, 'paid by ref-' || o_custkey || ' for ' || CASE WHEN o_orderkey % 2 = 1 THEN '[REDACTED]' ELSE 'key-' || o_orderkey || '-' || o_custkey END
+       || '.' AS note FROM orders""")
+def scrub_many(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key = F.concat_ws("-", F.lit("key"), "o_orderkey", "o_custkey")
+    secrets = o.where("o_orderkey % 2 = 1").select(key.alias("secret"))
+    notes = o.select("o_orderkey", F.concat(F.lit("paid by ref-"), "o_custkey", F.lit(" for "), key, F.lit(".")).alias("note"))
+    return redact.scrub(notes, "note", secrets)
+
+
+@query("""
+SELECT p_partkey, p_partkey % 6 <> 5 AS ok, CASE WHEN p_partkey % 6 <> 5 THEN contains(lower(p_name || ' {"id": 7}' || p_type || p_type), CASE p_partkey % 6
+    WHEN 0 THEN lower(p_name) || ' {"id":' WHEN 1 THEN '7}' || lower(p_type) || lower(p_type) WHEN 2 THEN lower(p_name) WHEN 3 THEN '"id": 7}' ELSE '{,3}' END)
+    END AS matches FROM part""")
+def pattern_dialect(spark, sf_dir):
+    shapes = F.array(F.concat("p_name", F.lit(' {"id":')), F.concat(F.lit(r"(?P<digit_1>\d)\}(?P<kind>"), "p_type", F.lit(")(?P=kind)")),
+                     F.concat(F.lit("(?#the name)(?i)"), "p_name"), F.lit(r"(?'q'\W)id\k<q>: [0-9]}"), F.lit("{,3}"), F.concat("p_name", F.lit("++")))
+    subject = F.concat("p_name", F.lit(' {"id": 7}'), "p_type", "p_type")
+    p = table(spark, sf_dir, "part").select("p_partkey", subject.alias("subject"), F.get(shapes, (F.col("p_partkey") % 6).cast("int")).alias("pattern"))
+    seen = p.select("p_partkey", "subject", patterns.validated("pattern").alias("v"))
+    hit = F.regexp_like("subject", F.concat(F.lit("(?i)"), F.coalesce("v.java_pattern", F.lit(""))))
+    return seen.select("p_partkey", "v.ok", F.when(F.col("v.ok"), hit).alias("matches"))
+
+
 @query("""
 SELECT conv_id, turn, sha256(replace(replace(text, 'therou', '[REDACTED]'), 'leation', '[REDACTED]')) AS digest FROM conversations""")
 def scrub_secrets(spark, sf_dir):

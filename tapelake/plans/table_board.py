@@ -124,29 +124,28 @@ def spend_ledger(spark, sf_dir):
 
 
 @query("""
-WITH old AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
-     new AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01')
+WITH old AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+     new AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')
 SELECT o_orderkey, 'old' AS edition FROM old WHERE o_custkey NOT IN (SELECT o_custkey FROM new)
 UNION ALL SELECT o_orderkey, 'new' FROM new""")
 def board_upsert(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    old = o.where("o_orderdate < timestamp_ntz'1998-01-01'").withColumn("edition", F.lit("old"))
-    new = o.where("o_orderdate >= timestamp_ntz'2001-06-01'").withColumn("edition", F.lit("new"))
+    old = o.where("o_orderdate < timestamp_ntz'2000-01-01'").withColumn("edition", F.lit("old"))
+    new = o.where("o_orderdate >= timestamp_ntz'2000-01-01'").withColumn("edition", F.lit("new"))
     return sinks.upsert(old, new, ["o_custkey"]).select("o_orderkey", "edition")
 
 
 @query("""
-WITH have AS (SELECT DISTINCT o_custkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'mcp' ELSE 'agent' END AS plane FROM orders
-              WHERE o_totalprice > 100000),
-     want AS (SELECT c_custkey AS run_id, p AS plane FROM customer, (VALUES ('mcp'), ('agent')) v(p) WHERE c_acctbal > 0)
+WITH have AS (SELECT DISTINCT o_custkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'mcp' ELSE 'agent' END AS plane FROM orders),
+     want AS (SELECT c_custkey AS run_id, p AS plane FROM customer, (VALUES ('mcp'), ('agent')) v(p))
 SELECT run_id, plane, 'missing plane' AS fault FROM want WHERE NOT EXISTS (
    SELECT 1 FROM have WHERE have.run_id = want.run_id AND have.plane = want.plane)
 UNION ALL
 SELECT run_id, plane, 'no report' FROM have WHERE run_id NOT IN (SELECT run_id FROM want)""")
 def plane_gaps(spark, sf_dir):
-    have = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(
+    have = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "mcp").otherwise("agent").alias("plane"))
-    reports = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("run_id"))
+    reports = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"))
     return sinks.plane_gaps(reports, have)
 
 

@@ -140,7 +140,7 @@ def hygiene_counts(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)),
+WITH d AS (SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
      n AS (SELECT lang, source, CAST(count(*) FILTER (toxic = 1) AS DOUBLE) / count(*) AS rate FROM d GROUP BY ALL),
      f AS (SELECT lang, quantile_disc(rate, 0.95) AS noise, max(rate) AS top FROM n GROUP BY lang),
      w AS (SELECT n.lang, max(source) AS worst FROM n JOIN f ON n.lang = f.lang AND n.rate = f.top GROUP BY n.lang),
@@ -153,7 +153,7 @@ SELECT lang, round(noise, 9) AS noise, round(signal, 9) AS signal, round(0.5 * s
 FROM j""")
 def null_baseline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    d = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    d = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     nulls = gates.null_counts(d, ["lang"], "source", F.col("toxic") == 1).withColumnRenamed("source", "label")
     signals = d.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count(F.lit(1)).alias("n"))
     out = gates.null_baseline(nulls, signals, ["lang"])
@@ -357,10 +357,10 @@ def tool_attribution(spark, sf_dir):
 
 @query("""
 SELECT l_suppkey, list_aggregate(list_sort(list(l_returnflag || '=' || n)), 'string_agg', ',') AS classes FROM (
-  SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL) GROUP BY l_suppkey""")
+  SELECT l_suppkey, CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE 'open' END AS l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey""")
 def failure_classes(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(
-        "l_suppkey", F.col("l_returnflag").alias("failure"))
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")).otherwise("open").alias("failure"))
     out = score.class_counts(line, ["l_suppkey"])
     listed = F.array_sort(F.transform(F.map_entries("failure_classes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
     return out.select("l_suppkey", F.array_join(listed, ",").alias("classes"))

@@ -90,14 +90,16 @@ WHERE event_type = 'error' AND NOT EXISTS (
   SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id
      AND CAST(p.ts AS DATE) = CAST(e.ts AS DATE))
 UNION ALL
-SELECT event_id, 'llm', strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'signup'""")
+SELECT event_id, CASE event_type WHEN 'signup' THEN 'llm' ELSE event_type END, strftime(ts, '%Y-%m-%d') FROM events
+WHERE event_type NOT IN ('error', 'purchase')""")
 def error_list(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("day", day("ts"))
     loose = calls.unanswered_by(
         e.where("event_type = 'error'"), e.where("event_type = 'purchase'"), ["user_id", "day"])
-    other = e.where("event_type = 'signup'")
+    other = e.where("event_type NOT IN ('error', 'purchase')")
+    source = F.when(F.col("event_type") == "signup", "llm").otherwise(F.col("event_type"))
     return (loose.select("event_id", F.lit("tool").alias("source"), "day")
-            .unionByName(other.select("event_id", F.lit("llm").alias("source"), "day")))
+            .unionByName(other.select("event_id", source.alias("source"), "day")))
 
 
 @query("""
