@@ -59,17 +59,11 @@ def _class_ends(percent: int) -> tuple[int, ...]:
 @functools.cache
 def _segments(size_class: int, percent: int) -> tuple[int, int]:
     """(segments, spare) of a class. Linked sets differ in (1 - t) / (1 + t) * (|A| + |B|) elements at most, both sizes below the class's
-    end; with `spare` segments more than one beyond that, a set with up to `spare` empty segments needs only its full ones. The
-    spare are what the least set that is cut so leaves empty, with three deviations added."""
-    ends = _class_ends(percent)
-    least = -(-(ends[size_class - 1] if size_class else 1) * percent // 100)  # of the class below that looks here
-    differ = (100 - percent) * 2 * (ends[size_class] - 1) // (100 + percent)
-    spare = 1
-    while differ and spare < 2 + differ // 3:  # small sets leave some empty however they are cut
-        empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
-        if empty + 3 * math.sqrt(empty) <= spare:
-            break
-        spare += 1
+    end, so of one segment more and `spare` others they agree on spare + 1. Each set leaves out the `spare` segments that come first by
+    (elements, sum, place). The last of those that both agree on has `spare` before it in either set, so neither leaves it out. What
+    stays are full segments, which seldom meet by chance."""
+    differ = (100 - percent) * 2 * (_class_ends(percent)[size_class] - 1) // (100 + percent)
+    spare = differ // 2 + 1
     return (differ + 1 + spare if differ else 0), spare
 
 
@@ -92,10 +86,10 @@ def keys(found: np.ndarray, percent: int) -> np.ndarray:
         if not segments:
             continue  # linked sets of this class are equal
         at = np.append(np.searchsorted(found, _cuts(segments)), n)
-        sums = np.append(np.zeros(1, np.uint64), np.cumsum(found, dtype=np.uint64))
-        keyed = mixed((sums[at[1:]] - sums[at[:-1]]) ^ mixed(np.arange(segments, dtype=np.uint64) + np.uint64(c << 40)))
-        full = at[1:] > at[:-1]
-        out.append(keyed[full] if (~full).sum() <= spare else keyed)
+        totals = np.append(np.zeros(1, np.uint64), np.cumsum(found, dtype=np.uint64))
+        sums = totals[at[1:]] - totals[at[:-1]]
+        kept = np.lexsort((sums, np.diff(at)))[spare:]
+        out.append(mixed(sums[kept] ^ mixed(kept.astype(np.uint64) + np.uint64(c << 40))))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
