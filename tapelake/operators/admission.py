@@ -471,6 +471,11 @@ def drop_ledger(rows: DataFrame, keys: Sequence[str], reason: str) -> DataFrame:
         F.count(F.lit(1)).alias("dropped"))
 
 
+def by_dropped(ledger: DataFrame) -> DataFrame:
+    """Reading order of drop rules: most drops first, then the rule."""
+    return ledger.orderBy(F.desc("dropped"), "rule")
+
+
 def reconcile(rows: DataFrame, keys: Sequence[str], reason: str, trimmed: str) -> DataFrame:
     """candidates = admitted + dropped + trimmed, with the screen's deletions apart."""
     dropped = F.col(reason).isNotNull()

@@ -29,6 +29,11 @@ def by_calls(df: DataFrame, name: str) -> DataFrame:
     return df.orderBy(F.desc("calls"), F.collate(F.col(name), "UNICODE"))
 
 
+def by_time(df: DataFrame, t: str = "t") -> DataFrame:
+    """Reading order of errors: by time, those without one first."""
+    return df.orderBy(F.coalesce(F.col(t), F.lit("")))
+
+
 def unanswered_by(failures: DataFrame, excused: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Failures whose key has no excuse. Excuses are reduced to their keys first."""
     return equi_join(failures, excused.select(*keys).distinct(), keys, "left_anti")

@@ -136,3 +136,13 @@ def test_word_hits_need_edges(spark):
     p = spark.createDataFrame([(1, "307"), (2, "a-b c"), (3, "x.y")], "pid int, phrase string")
     t = spark.createDataFrame([(1, "code 307."), (2, "13075"), (3, "see a-b c"), (4, "a-b cd"), (5, "xzy x.y")], "tid int, body string")
     assert rows(word_hits(p, t, ["pid"], ["tid"], "phrase", "body"), "pid", "tid") == [(1, 1), (2, 3), (3, 5)]
+
+
+def test_reading_orders_and_an_unreached_plan(spark):
+    from tapelake.operators import admission, calls
+    errors = spark.createDataFrame([("2027-01-02", 1), (None, 2), ("2027-01-01", 3)], "t string, i int")
+    assert [r.i for r in calls.by_time(errors).collect()] == [2, 3, 1]
+    ledger = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "rule string, dropped int")
+    assert [r.rule for r in admission.by_dropped(ledger).collect()] == ["c", "a", "b"]
+    none = stats.plan(spark, 0.9, 0.8, max_n=20).first()
+    assert (none.n, none.searched_to) == (None, 20)
