@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,8 +11,10 @@ from pyspark.sql import types as T
 from tapelake.functions import typed
 
 # Rows within one input split are numbered in the low 33 bits; the split's
-# start in MiB sits above them. Splits of one file start at least 4 MiB apart.
-ROW_BITS = 33
+# start in units of 64 KiB sits above them, so splits of one file must start that
+# far apart, and a file may have 64 TiB.
+ROW_BITS, SPLIT_BITS = 33, 16
+SPLIT_KEYS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
 TAPE_PATH = r"([^/]+)/([^/]+)\.jsonl$"
 
 
@@ -23,9 +27,12 @@ def tape_lines(spark: SparkSession, *paths: str) -> DataFrame:
     position to order by, not a consecutive number. ``v`` is NULL for a line
     that is not JSON.
     """
+    for key in SPLIT_KEYS:  # the least size of a split is the smaller of the two
+        if _bytes(spark.conf.get(key)) < 1 << SPLIT_BITS:
+            raise ValueError(f"{key} must be 64 KiB or more: line numbers come from the splits' offsets")
     scan = spark.read.text(list(paths))
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    split = F.shiftright(F.col("_metadata.file_block_start"), 20)
+    split = F.shiftright(F.col("_metadata.file_block_start"), SPLIT_BITS)
     placed = scan.select(
         F.regexp_extract("_metadata.file_path", TAPE_PATH, 1).alias("run_id"),
         F.regexp_extract("_metadata.file_path", TAPE_PATH, 2).alias("plane"),
@@ -34,6 +41,11 @@ def tape_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return parsed(placed.where(F.trim("raw_text") != ""))
 
 
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"([0-9]+)([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit.removesuffix("b")]
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     return once(lines, F.try_parse_json("raw_text"), "v")
 
@@ -95,7 +107,7 @@ def report_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Run reports stored one per line: the splittable form for a large corpus."""
     scan = spark.read.text(list(paths)).where(F.trim("value") != "")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    split = F.shiftright(F.col("_metadata.file_block_start"), 20)
+    split = F.shiftright(F.col("_metadata.file_block_start"), SPLIT_BITS)
     placed = scan.select((F.shiftleft(split, ROW_BITS) + row).alias("file_order"), "value")
     return reports_of(once(placed, F.try_parse_json("value"), "r"))
 
