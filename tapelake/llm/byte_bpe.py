@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapelake.llm.common import numbered
+from tapelake.llm.common import bound_batches, numbered
 
 SHIFT = {b: 0x100 + b for b in range(256)}
 KEEP = 150_000  # pre-tokens that a worker remembers
@@ -124,6 +124,7 @@ def _chunks(batch: pa.RecordBatch, column: int, make, name: str, schema: pa.Sche
 
 
 def _mapped(df: DataFrame, column: str, name: str, factory) -> DataFrame:
+    bound_batches(df.sparkSession)
     df = df.drop(name)
     at = df.columns.index(column)
     out = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])

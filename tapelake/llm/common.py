@@ -36,7 +36,7 @@ def words_of(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    KEEP = 400_000
+    KEEP = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.KEEP:
@@ -121,3 +121,13 @@ def small_batches(spark: SparkSession, size: str = "8m"):
             spark.conf.unset(BATCH_BYTES)
         else:
             spark.conf.set(BATCH_BYTES, before)
+
+
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """The same for tables that the caller writes later: the session's bound is lowered to `size` and stays so, as a plan reads it
+    when it runs."""
+    text = (spark.conf.get(BATCH_BYTES, None) or "").lower().removesuffix("b")
+    if text:
+        now = int(text[:-1]) << {"k": 10, "m": 20, "g": 30}[text[-1]] if text[-1].isalpha() else int(text)
+        if now <= 0 or now > size:
+            spark.conf.set(BATCH_BYTES, str(size))

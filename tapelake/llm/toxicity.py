@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapelake.llm.common import numbered, texts, words_of
+from tapelake.llm.common import bound_batches, numbered, texts, words_of
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 16
 SIZES = (3, 4, 5)  # of the character n-grams
 WIDTH = 48  # features of a word at most; the n-grams of its first characters come first
 MAX_TOXIC, MAX_CLEAN = 2048, 4096  # rows of the training sample
-KEEP = 200_000  # words that a worker remembers
+KEEP = 120_000  # words that a worker remembers
 
 
 def features(word: bytes) -> list[int]:
@@ -209,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """The rows with `score` (0 to 1) and `predicted` (score >= 0.5); columns of these names are replaced."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop(score, predicted)
     at = docs.columns.index(text)
     out = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
