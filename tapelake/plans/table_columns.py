@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapelake.functions import patterns, stats, text
-from tapelake.operators import admission, board, records
+from tapelake.operators import admission, board, gates, records
 from tapelake.plans.registry import query, table
 
 
@@ -87,3 +87,33 @@ def producer_labels(spark, sf_dir):
                               F.when(kind.isin(1, 2), F.struct(F.col("c_name").alias("name"), F.when(kind == 1, nation).alias("version"))).alias("producer"),
                               F.when(kind == 3, nation).alias("mcpTapVersion")))
     return c.select("c_custkey", records.producer_label(F.parse_json(meta)).alias("label"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'compromised' WHEN '2' THEN 'ok' WHEN '3' THEN 'below_min_rate'
+                  ELSE 'under_resolved' END AS reason, o_custkey % 3 AS consumed, o_orderkey % 4 AS size, o_custkey % 4 AS most,
+                  o_orderstatus = 'F' AS blocked FROM orders),
+     p AS (SELECT *, reason = 'under_resolved' AS u, reason = 'under_resolved' AND size > 0 AND most > consumed AS go,
+                  most = 0 OR size = 0 AS never FROM o)
+SELECT o_orderkey, go AND NOT blocked AS extend, u AND NOT go AND NOT never AS resolved_to_fail,
+       CASE WHEN go AND blocked THEN 'under_resolved_not_extended' WHEN u AND NOT go AND NOT never THEN 'unresolved_after_max_extensions'
+            ELSE reason END AS reason,
+       CASE WHEN reason = 'compromised' THEN 'COMPROMISED' WHEN reason = 'below_min_rate' THEN 'GATE_FAILED' WHEN NOT u OR go THEN NULL
+            WHEN never THEN 'EXTEND_EXHAUSTED' ELSE 'GATE_FAILED' END AS outcome FROM p""")
+def extension_branches(spark, sf_dir):
+    o, first = table(spark, sf_dir, "orders"), F.substring("o_orderpriority", 1, 1)
+    reason = (F.when(first == "1", "compromised").when(first == "2", "ok").when(first == "3", "below_min_rate").otherwise("under_resolved"))
+    next_ = gates.resolve_extension(reason, F.col("o_custkey") % 3, F.col("o_orderkey") % 4, F.col("o_custkey") % 4, F.col("o_orderstatus") == "F")
+    return o.select("o_orderkey", next_.alias("next")).select("o_orderkey", "next.extend", "next.resolved_to_fail", "next.reason", "next.outcome")
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Output schema is invalid: ' ELSE '' END || text AS body, 150 + turn * 50 AS status FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(body) > 40 THEN left(body, 40) || '... [' || (length(body) - 40) || ' more characters]' ELSE body END AS snippet,
+       regexp_matches(body, '(?i)output ?schema|structured ?content') AND regexp_matches(body, '(?i)match|valid|invalid|reject') AS schema_reject,
+       status NOT BETWEEN 200 AND 299 AS http_failure FROM c""")
+def response_classes(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    body = F.concat(F.when(F.col("turn") % 3 == 0, "Output schema is invalid: ").otherwise(""), "text")
+    return c.select("conv_id", "turn", text.snippet(body, 40).alias("snippet"), text.is_schema_reject(body).alias("schema_reject"),
+                    text.is_http_failure(150 + F.col("turn") * 50).alias("http_failure"))
