@@ -1,7 +1,8 @@
 """Toxicity scores from a bag of subword vectors and a linear softmax, trained jointly in numpy.
 
 A word's features are itself and its character n-grams, hashed into buckets of one embedding table, so that an unseen
-misspelling or inflection shares vectors with known words. The features of a passage of WINDOW words are averaged and
+misspelling or inflection shares vectors with known words. Words longer than PIECE characters (clauses of scripts without
+blanks among them) count as overlapping pieces, each a word of the passage. The features of a passage of WINDOW words are averaged and
 a linear softmax over two classes follows; a document's evidence is that of its strongest passage, turned into a
 probability by a logistic curve fitted on labelled rows that the embeddings have not seen.
 
@@ -29,17 +30,29 @@ from tapelake.llm.common import bound_batches, numbered, texts, words_of
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 16
 SIZES = (3, 4, 5)  # of the character n-grams
-WIDTH = 48  # features of a word at most; the n-grams of its first characters come first
+WIDTH = 48  # features of a word at most, enough for all n-grams of PIECE characters
+PIECE, OVERLAP = 16, 4  # longer words count as pieces of so many characters; an n-gram of the word lies in a piece
 MAX_TOXIC, MAX_CLEAN = 2048, 4096  # rows of the training sample
 KEEP = 120_000  # words that a worker remembers
 
 
+def tokens(text: bytes) -> list[bytes]:
+    """The words of a text, those of more than PIECE characters cut into overlapping pieces."""
+    out = []
+    for word in words_of(text):
+        if len(word) <= PIECE or len(chars := word.decode("utf-8", "replace")) <= PIECE:
+            out.append(word)
+        else:
+            out += [chars[i:i + PIECE].encode() for i in range(0, len(chars) - OVERLAP, PIECE - OVERLAP)]
+    return out
+
+
 def features(word: bytes) -> list[int]:
-    """Buckets of a word (bytes of lower case) and of its character n-grams."""
-    text = f"<{word.decode('utf-8', 'replace')}>"[:WIDTH]
+    """Buckets of a word (bytes of lower case, PIECE characters at most) and of its character n-grams."""
+    text = f"<{word.decode('utf-8', 'replace')}>"
     out = [zlib.crc32(word) % BUCKETS]
     out += [zlib.crc32(text[i:i + n].encode()) % BUCKETS for i in range(len(text)) for n in SIZES if i + n <= len(text)]
-    return out[:WIDTH]
+    return out
 
 
 def passages(values: np.ndarray) -> np.ndarray:
@@ -90,7 +103,7 @@ class Vocabulary:
         self.numbers: dict[bytes, int] = {}
 
     def of(self, text: bytes) -> np.ndarray:
-        return np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)], np.int32)
+        return np.array([self.numbers.setdefault(w, len(self.numbers)) for w in tokens(text)], np.int32)
 
     def table(self) -> np.ndarray:
         out = np.full((len(self.numbers) + 1, WIDTH), BUCKETS, np.int32)
@@ -217,7 +230,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = WordValues(model)
         for batch in batches:
-            found = [model.probability(model.evidence(values.of(words_of(t))))
+            found = [model.probability(model.evidence(values.of(tokens(t))))
                      for t in texts(batch.column(at))]
             new = [pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], out.names)

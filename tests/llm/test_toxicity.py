@@ -66,3 +66,14 @@ def test_without_both_classes(spark):
     assert {r["predicted"] for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0}
     empty = cases.frame(spark, [])
     assert toxicity.score(empty, toxicity.fit(empty, none)).count() == 0
+
+
+def test_every_character_of_long_words_counts(spark, fitted):
+    word = "".join(chr(0x4E00 + i) for i in range(101))
+    pieces = [p.decode() for p in toxicity.tokens(word.encode())]
+    assert all(any(word[i:i + n] in p for p in pieces) for n in toxicity.SIZES for i in range(len(word) - n + 1))
+    assert toxicity.tokens(b"Short words") == [b"short", b"words"]
+    assert max(len(toxicity.features(p.encode())) for p in pieces) <= toxicity.WIDTH
+    _, _, model = fitted
+    plain, glued = (toxicity.score(cases.frame(spark, [(1, t, "en", "s", 0)]), model).first()["score"] for t in ("q" * 120, "q" * 60 + "blorkish" * 6 + "q" * 12))
+    assert glued > plain
