@@ -189,9 +189,13 @@ def thresholds(rows: list[tuple], model: tuple[float, list[tuple]]) -> dict[str,
         return s
     out = {}
     for kind in KINDS:
-        own = sorted(((score(x), n, p) for x, n, p in rows if x[0] == kind), key=lambda r: -r[0])
+        tied: dict[float, list[int]] = {}  # rows of equal scores are accepted together
+        for x, more, positive in rows:
+            if x[0] == kind:
+                group = tied.setdefault(round(score(x), 9), [0, 0])
+                group[0], group[1] = group[0] + more, group[1] + positive
         n = p = 0
-        for s, more, positive in own:
+        for s, (more, positive) in sorted(tied.items(), reverse=True):
             n, p = n + more, p + positive
             if p >= PRECISION * n:
                 out[kind] = s
@@ -209,6 +213,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     # equal feature rows are few: the product of the features' values bounds them
     table = [(tuple(r[f] for f in FEATURES), r["n"], r["p"]) for r in
              found.where("label IS NOT NULL").groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()]
+    table.sort(key=repr)
     model = train(table)
     accepted = F.lit(False)
     for kind, least in thresholds(table, model).items():

@@ -81,3 +81,10 @@ def test_trees_fall_back_without_labels(spark):
     assert personal_data.train([]) == (0.0, [])
     got = personal_data.report(cases.frame(spark, [(1, "plain text", "", "", 0)])).collect()
     assert got[0]["spans"] == "" and got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_rows_of_equal_scores_are_accepted_together_in_any_order():
+    good, bad, worse = [("card", 3, v, 0, 0, 0, side, 1, 0) for v, side in ((1, 1), (0, 1), (0, 2))]
+    rows = [(good, 100, 100), (bad, 5, 0), (worse, 500, 0)]
+    model = (0.0, [((2, "=", 1), (None, 1.0, 1.0), (None, -1.0, -1.0))])
+    assert personal_data.thresholds(rows, model) == personal_data.thresholds(rows[::-1], model) == {"card": 1.0}
