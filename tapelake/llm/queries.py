@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import byte_bpe, capture_index, decontaminate, personal_data, set_join, site_lines, substring_chains, topk_search, toxicity, web_trust
+from tapelake.llm import byte_bpe, capture_index, decontaminate, personal_data, piece_bpe, set_join, site_lines, substring_chains, topk_search, toxicity, web_trust
 from tapelake.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 RANK_FILE = "byte_bpe_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def query(sql: str | None = None):
@@ -126,3 +127,8 @@ def op9_exact_topk_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = topk_search.top_k(docs, docs.where("doc_id % 50 = 0"))
     return found.select(F.col("query").alias("query_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+@query()
+def op11_sentencepiece(spark, sf_dir):
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), piece_bpe.read_model(public_tokenizers.path(PIECE_FILE)))
