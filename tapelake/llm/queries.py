@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import byte_bpe, capture_index, decontaminate, personal_data, piece_bpe, set_join, site_lines, substring_chains, topk_search, toxicity, web_trust
+from tapelake.llm import byte_bpe, capture_index, decontaminate, pair_search, personal_data, piece_bpe, set_join, site_lines, substring_chains, topk_search, toxicity, web_trust, whitening
 from tapelake.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,27 @@ def op9_exact_topk_search(spark, sf_dir):
 @query()
 def op11_sentencepiece(spark, sf_dir):
     return piece_bpe.digests(table(spark, sf_dir, "documents"), piece_bpe.read_model(public_tokenizers.path(PIECE_FILE)))
+
+
+@query()
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     g AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS words FROM t WHERE len(w) > 0),
+     d AS (SELECT r, doc_id, 100 - 90 + (90 * len(w) * n) // words AS m, w FROM t, g WHERE len(w) > 0),
+     p AS (SELECT r, doc_id, m, term, count(*) AS tf FROM (SELECT r, doc_id, m, unnest(w) AS term FROM d) GROUP BY ALL),
+     f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, g GROUP BY term),
+     q AS (SELECT DISTINCT item_id, text FROM benchmark),
+     a AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term, sha256(coalesce(text, '')) AS digest FROM q),
+     s AS (SELECT item_id, digest, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM a JOIN p USING (term) JOIN f USING (term) GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY item_id, digest ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s) WHERE rank <= 10""")
+def op13_ranked_lexical_search(spark, sf_dir):
+    found = pair_search.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
