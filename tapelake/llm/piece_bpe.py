@@ -6,9 +6,9 @@ a prefix is the encoding of a shorter prefix and one piece more. So one piece a
 names the pieces that end at a place, the only one compatible with the last piece of the prefix before it is stored, and the
 pieces are recovered from the end backwards. The work grows with the text's length, whatever its words are.
 
-Pieces never reach over a character the model doesn't know (it becomes its UTF-8 bytes as byte pieces, or the unknown id) and, in models
-whose pieces hold the blank sign only in front, never over a blank that follows another character. Texts are cut there and the parts' ids
-remembered up to a bound. Normalisation and decoding are the model's own.
+Pieces never reach over a character the model doesn't know (it becomes its UTF-8 bytes as byte pieces, or the unknown id). In most models they
+never reach either from another character to a blank sign, or from a letter to another sign; the vocabulary tells. Texts are cut there and the
+parts' ids remembered up to a bound. Normalisation and decoding are the model's own.
 
 A column that has the name of a new one is replaced. NULL counts as the empty text; the empty text has only its begin and end ids, as far as
 they are asked for. Rows are independent: repeated rows give repeated results, extra columns pass through. Models that are no BPE models or
@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from tapelake.llm.common import bound_batches, numbered
 
 BLANK = "▁"
-KEEP = 250_000  # parts of texts that a worker remembers (and as many old ones), and answers about pairs
+KEEP = 200_000  # parts of texts that a worker remembers (and as many old ones), and answers about pairs
+NEVER = float("-inf")
 CHUNK = 16 << 20  # bytes of results in one Arrow batch, a single longer text aside
 
 
@@ -55,48 +56,78 @@ class Encoder(dict):
         self.scores = {p: m.get_score(i) for p, i in self.ids.items()}
         self.old: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        self.pieces = {i: p for p, i in self.ids.items()}
-        self.adjacent = {a + b for p in self.ids for a, b in zip(p, p[1:])}
+        self.steps: dict[int, list[tuple[float, str, str]]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            if self.merged(piece) == [piece]:  # others never come out of merging
+            parts, steps = self.merges(piece)
+            if len(parts) == 1:  # others never come out of merging
                 self.automaton.add_word(piece, (i, len(piece)))
+                self.steps[i] = steps
         self.automaton.make_automaton()
         known = {p for p in self.ids if len(p) == 1}
         if not set("".join(self.ids)) <= known:
             raise ValueError("pieces must be made of characters that are pieces")
-        letters = "".join(map(re.escape, sorted(known - {BLANK})))
-        part = f"{BLANK}*[{letters}]+|{BLANK}+" if not any(BLANK in p.lstrip(BLANK) for p in self.ids) else f"[{BLANK}{letters}]+"
-        self.cut = re.compile(f"{part}|.", re.DOTALL)
+        self.cut = re.compile(self.parts(known), re.DOTALL)
         self.bytes = {m.id_to_piece(i): i for i in range(m.get_piece_size()) if m.is_byte(i)}
         self.check()
 
+    def parts(self, known: set[str]) -> str:
+        """A pattern for the longest parts that pieces can reach over, as the vocabulary shows, and for single unknown characters."""
+        def kind(c: str) -> str:
+            return "blank" if c == BLANK else "letter" if c.isalpha() else "other"
+
+        seen = {(kind(a), kind(b)) for p in self.ids for a, b in zip(p, p[1:])}
+        chars = {k: "".join(map(re.escape, sorted(c for c in known if kind(c) == k))) or "^\\s\\S" for k in ("letter", "other")}
+        letters, others = f"[{chars['letter']}]", f"[{chars['other']}]"
+        blank, word = f"{BLANK}+", f"(?:{letters}|{others})"
+        if seen & {("letter", "blank"), ("other", "blank")}:
+            return f"(?:{BLANK}|{word})+|."
+        if ("letter", "other") in seen:
+            return f"{blank}{word}*|{word}+|."
+        return f"{blank}{others}*{letters}*|{others}+{letters}*|{letters}+|."
+
     def check(self) -> None:
         """Refuses models of another kind: a unigram model cuts some piece in another way than merging does."""
         sample = "".join(p for p in list(self.ids)[:: max(1, len(self.ids) // 500)])
         if self.encode(sample) != np.array(self.model.encode(sample), "<u4").tobytes():
             raise ValueError("not a model of plain BPE merges")
 
-    def merged(self, text: str, border: int = 0) -> list[str] | None:
-        """The pieces that merging makes of a short text; None as soon as a merge reaches over `border`."""
-        parts = list(text)
+    def merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """The pieces that merging makes of a short text, and each step's score with the first and the last part before it."""
+        parts, steps = list(text), []
         while len(parts) > 1:
-            score, at = max((self.scores.get(parts[i] + parts[i + 1], -np.inf), -i) for i in range(len(parts) - 1))
-            if score == -np.inf:
+            score, at = max((self.scores.get(parts[i] + parts[i + 1], NEVER), -i) for i in range(len(parts) - 1))
+            if score == NEVER:
                 break
-            at = -at
-            if border and at == border - 1:
-                return None
-            border -= at < border - 1
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            steps.append((score, parts[0], parts[-1]))
+            parts[-at:2 - at] = [parts[-at] + parts[1 - at]]
+        return parts, [*steps, (NEVER, parts[0], parts[-1])]
 
     def compatible(self, first: int, second: int) -> bool:
-        """Whether merging the two pieces' text gives the two pieces."""
+        """Whether merging the two pieces' text gives the two pieces.
+
+        Both pieces' own steps are played in the order of their scores (the left piece's first of equals); a merge of the parts beside the
+        border must never come before the next of them.
+        """
         if len(self.pairs) >= KEEP:
             self.pairs.clear()
-        one, two = self.pieces[first], self.pieces[second]
-        known = self.pairs[first << 32 | second] = self.merged(one + two, len(one)) == [one, two]
+        left, right, scores = self.steps[first], self.steps[second], self.scores
+        i = j = 0
+        while True:
+            one, _, last = left[i]
+            two, start, _ = right[j]
+            over = scores.get(last + start, NEVER)
+            if over > one and over >= two and over > NEVER:
+                known = False
+                break
+            if one >= two:
+                i += 1
+            else:
+                j += 1
+            if one == two == NEVER:
+                known = True
+                break
+        self.pairs[first << 32 | second] = known
         return known
 
     def __missing__(self, part: str) -> bytes:
@@ -105,12 +136,8 @@ class Encoder(dict):
             if part[0] not in self.ids:
                 ids = [self.bytes[f"<0x{b:02X}>"] for b in part.encode()] if self.bytes else [self.model.unk_id()]
                 value = np.array(ids, "<u4").tobytes()
-            else:  # no piece reaches over two characters that are neighbours in none
-                cuts = [i for i in range(1, len(part)) if part[i - 1:i + 1] not in self.adjacent]
-                if cuts:
-                    value = b"".join([self[part[i:j]] for i, j in zip([0, *cuts], [*cuts, len(part)])])
-                else:
-                    value = np.array(self.along(part), "<u4").tobytes()
+            else:
+                value = np.array(self.along(part), "<u4").tobytes()
         if len(part) <= 64:  # long ones seldom come again
             if len(self) >= KEEP:
                 self.old = dict(self)

@@ -77,3 +77,17 @@ def test_a_model_without_byte_pieces(spark):
 
 def test_empty_table(spark, model):
     assert piece_bpe.digests(cases.frame(spark, []), model).collect() == []
+
+
+def test_compatible_pairs_merge_to_themselves(model):
+    rng, encoder = random.Random(4), piece_bpe.Encoder(model)
+    names = {i: p for p, i in encoder.ids.items()}
+    known = sorted(encoder.steps)
+    short = [i for i in known if len(names[i]) < 4]
+    found = set()
+    for _ in range(6000):
+        a, b = rng.choice(rng.choice([known, short])), rng.choice(rng.choice([known, short]))
+        found.add(encoder.compatible(a, b))
+        parts, _ = encoder.merges(names[a] + names[b])
+        assert encoder.compatible(a, b) == (parts == [names[a], names[b]]), (names[a], names[b])
+    assert found == {True, False}
