@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.functions import text, typed
+from tapelake.functions import documents, text, typed
 from tapelake.functions.patterns import answer_leaves, longest_literal_run, validated
-from tapelake.operators.containment import phrase_hits, word_hits
+from tapelake.operators.containment import phrase_hits, shipped, word_hits
 from tapelake.operators.ordered import equi_join, row_number
 from tapelake.operators.pairs import is_destructive
 from tapelake.session import written
@@ -22,12 +22,13 @@ MIN_LITERAL_RUN = 3
 JUDGE_CHECKS = 1
 SERVER_REQUIREMENTS = ("volatile", "long-tail", "server-minted", "verbatim-quote", "cross-reference")
 SUITE_TASKS = 12
+EXCERPT = 200
 
 # --- reading model output ----------------------------------------------------------
 
 
-def task_payload(reply: Column) -> Column:
-    """The JSON list in a model reply (bare, fenced or inside prose) as array<variant>."""
+def payload_text(reply: Column) -> Column:
+    """The JSON text in a model reply (bare, fenced or inside prose) that holds a list of tasks; NULL without one."""
     fenced = F.nullif(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
 
     def listed(candidate: Column) -> Column:
@@ -35,12 +36,29 @@ def task_payload(reply: Column) -> Column:
         tail = F.substring(candidate, start, F.length(candidate))
         closer = F.when(tail.startswith("["), F.lit("]")).otherwise(F.lit("}"))
         last = F.length(tail) + 1 - F.position(closer, F.reverse(tail))
-        parsed = F.when(start > 0, F.try_parse_json(F.substring(tail, F.lit(1), last.cast("int"))))
-        return F.coalesce(typed.items(parsed), typed.items(parsed, "$.tasks"))
+        body = F.when(start > 0, F.substring(tail, F.lit(1), last.cast("int")))
+        return F.when(_listed(F.try_parse_json(body)).isNotNull(), body)
 
     return F.coalesce(listed(fenced), listed(reply))
 
 
+def _listed(parsed: Column) -> Column:
+    return F.coalesce(typed.items(parsed), typed.items(parsed, "$.tasks"))
+
+
+def task_payload(reply: Column) -> Column:
+    """The list of tasks in a model reply as array<variant>."""
+    return _listed(F.try_parse_json(payload_text(reply)))
+
+
+def task_rows(replies: DataFrame, keys: Sequence[str], reply: str) -> DataFrame:
+    """keys, position, task (variant), source (JSON text as written): entries that are objects, in order."""
+    sources = replies.select(*keys, documents.entry_sources(payload_text(F.trim(reply))).alias("sources"))
+    rows = sources.select(*keys, F.posexplode("sources").alias("entry", "source")).withColumn("task", F.try_parse_json("source"))
+    good = rows.where(typed.is_object(F.col("task")))
+    return row_number(good, keys, ["entry"], "position").withColumn("position", F.col("position") - 1).drop("entry")
+
+
 def payload_tasks(replies: DataFrame, keys: Sequence[str], reply: str) -> DataFrame:
     """keys, position, task (variant): entries that are objects, in order."""
     rows = replies.select(*keys, F.posexplode(task_payload(F.trim(reply))).alias("entry", "task"))
@@ -85,9 +103,15 @@ def keep_first(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return first.select(*key, *[F.col(f"__first.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 
+# What VARIANT would sort, print or refuse in another way than an ECMAScript program: signs beyond ASCII, escapes, unusual numbers,
+# fields that are array indexes. Only such documents leave the JVM.
+UNUSUAL = r'[^\x20-\x7E]|\\[^"\\nt]|[0-9][eE]|[0-9.]{16}|-0|"[0-9]+"\s*:'
+
+
 def canonical(value: Column) -> Column:
-    """JSON text with sorted keys."""
-    return F.to_json(F.parse_json(value))
+    """JSON text with fields sorted by UTF-16 units and numbers as ECMAScript prints them."""
+    unusual = F.regexp_like(value, F.lit(UNUSUAL))
+    return F.coalesce(documents.canonical_text(F.when(unusual, value)), F.to_json(F.parse_json(F.when(~unusual, value))))
 
 
 def ordered_body(rows: DataFrame, keys: Sequence[str], position: str, item: str, name: str) -> DataFrame:
@@ -337,69 +361,217 @@ def check_reason(check: Column, prompt: Column, error_path: Column, tool_known:
             .when(kind == "judge", judge).otherwise(invalid))
 
 
-def screen(raw: DataFrame, tools: DataFrame, context: DataFrame, chains: DataFrame,
+TOOLS = "array<struct<name:string,risky:boolean>>"
+CHAINS = "array<struct<tool:string,param:string,required:boolean,producers:array<string>>>"
+CONTEXT = "array<struct<text_no:bigint,squashed:string>>"
+REPAIR = "array<struct<rule:string,place:string,before:string,after:string>>"
+
+
+def surfaces(tools: DataFrame, context: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """One row per run of what its candidates are checked against: tools, handle chains and context texts.
+
+    A run's row holds one published listing and the texts shown beside it, which were one document each before. tools: run_id, name,
+    description, read_only, destructive_hint, input_schema (JSON text); a name listed twice counts once. context: run_id, text_no, text.
+    chains: edges as ``handle_chains`` gives them; without them they are read from the listing.
+    """
+    schema = F.try_parse_json("input_schema")
+    needed = F.transform(F.coalesce(typed.items(schema, "$.required"), F.array().cast("array<variant>")), lambda r: typed.raw_text(r))
+    params = F.map_keys(F.try_variant_get(typed.obj(schema, "$.properties"), "$", "map<string,variant>"))
+    wanted = F.filter(
+        F.transform(F.filter("params", is_handle), lambda p: F.struct(
+            p.alias("param"), F.array_contains("needed", p).alias("required"), entity(p).alias("entity"))),
+        lambda w: w["entity"] != "")
+    listed = tools.where(F.col("name").isNotNull()).select(
+        "run_id", "name", is_destructive(F.col("read_only"), F.col("destructive_hint")).alias("risky"),
+        is_producer(F.col("name"), F.col("description")).alias("makes"), needed.alias("needed"), params.alias("params"))
+    listed = listed.withColumn("wanted", F.coalesce(wanted, F.array()))
+    once = listed.groupBy("run_id", "name").agg(
+        F.bool_or("risky").alias("risky"), F.bool_or("makes").alias("makes"), F.flatten(F.collect_list("wanted")).alias("wanted"))
+    tool = once.schema
+    kind = "struct<name:string,risky:boolean,makes:boolean,wanted:array<struct<param:string,required:boolean,entity:string>>>"
+    edge = "struct<tool:string,param:string,required:boolean,producers:array<string>>"
+    said = "struct<text_no:bigint,squashed:string>"
+
+    def part(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select("run_id", *[(value if n == name else F.lit(None)).cast(t).alias(n)
+                                     for n, t in (("tool", kind), ("edge", edge), ("said", said))])
+
+    rows = part(once, "tool", F.struct(*[c for c in tool.names if c != "run_id"])).unionByName(
+        part(context, "said", F.struct(F.col("text_no").cast("long"), text.squash(F.col("text")))))
+    if chains is not None:
+        each = chains.groupBy("run_id", "consumer", "param").agg(
+            F.bool_or("required").alias("required"), F.array_sort(F.collect_set("producer")).alias("producers"))
+        rows = rows.unionByName(part(each, "edge", F.struct("consumer", "param", "required", "producers")))
+    per = rows.groupBy("run_id").agg(*[F.array_sort(F.collect_list(c)).alias(f"{c}s") for c in ("tool", "edge", "said")])
+
+    def edges(consumer: Column) -> Column:
+        found = F.transform(consumer["wanted"], lambda w: F.struct(
+            consumer["name"].alias("tool"), w["param"].alias("param"), w["required"].alias("required"),
+            F.transform(F.filter("tools", lambda t: t["makes"] & (t["name"] != consumer["name"]) & F.contains(F.lower(t["name"]), w["entity"])),
+                        lambda t: t["name"]).alias("producers")))
+        return F.filter(found, lambda e: F.size(e["producers"]) == 1)
+
+    own = F.col("edges") if chains is not None else F.flatten(F.transform("tools", edges))
+    return per.select("run_id", F.transform("tools", lambda t: F.struct(t["name"], t["risky"])).cast(TOOLS).alias("surface"),
+                      F.array_sort(own.cast(CHAINS)).alias("chains"), F.col("saids").cast(CONTEXT).alias("context"))
+
+
+def surface_edges(surface: DataFrame) -> DataFrame:
+    """The handle chains of ``surfaces`` as edges: run_id, consumer, param, required, producer."""
+    rows = surface.select("run_id", F.explode("chains").alias("c"))
+    return rows.select("run_id", F.col("c.tool").alias("consumer"), "c.param", "c.required", F.explode("c.producers").alias("producer"))
+
+
+def chained(expected: Column, chains: Column) -> Column:
+    """Expected tools with the producers of their required handles in front: struct(tools, repairs, unchained).
+
+    Tools are taken in order and a tool's parameters by name. A handle whose producer is there needs nothing; one that a single tool makes gets
+    that tool put in front; one that several could make stops the pass, and names its tool and parameter.
+    """
+    needs = F.flatten(F.transform(expected, lambda tool: F.filter(chains, lambda c: (c["tool"] == tool) & c["required"])))
+    start = F.struct(expected.alias("tools"), F.array().cast(REPAIR).alias("repairs"), F.lit(None).cast("string").alias("unchained"))
+
+    def step(acc: Column, need: Column) -> Column:
+        there = F.forall(need["producers"], lambda p: F.array_contains(acc["tools"], p))
+        maker = F.get(need["producers"], F.lit(0))
+        place = F.concat_ws(".", need["tool"], need["param"])
+        repair = F.struct(F.lit("handle-chain").alias("rule"), place.alias("place"),
+                          F.lit(None).cast("string").alias("before"), maker.alias("after"))
+        return (F.when(acc["unchained"].isNotNull() | there, acc)
+                .when(F.size(need["producers"]) > 1, F.struct(acc["tools"], acc["repairs"], place.alias("unchained")))
+                .otherwise(F.struct(F.concat(F.array(maker), acc["tools"]).alias("tools"),
+                                    F.concat(acc["repairs"], F.array(repair)).alias("repairs"), acc["unchained"])))
+
+    return F.aggregate(needs, start, step)
+
+
+def first_leak(prompt: Column, params: Column, context: Column, phrases: Column) -> Column:
+    """The first phrase that is given away: struct(phrase, source). First by place (prompt, parameters, context texts), then by phrase.
+
+    phrases: array of struct(phrase, key, words); params: array of struct(name, value); context: array of squashed texts.
+    """
+    def inside(body: Column) -> Column:
+        both = F.struct(text.squash(body).alias("squashed"), text.collapse(body).alias("words"))
+        return typed.let(both, lambda b: F.filter(phrases, lambda p: F.when(
+            F.length(p["key"]) >= text.LONG_PHRASE, F.contains(b["squashed"], p["key"])).otherwise(text.has_word(b["words"], p["words"]))))
+
+    def first(found: Column, source: str) -> Column:
+        return F.when(F.size(found) > 0, F.struct(F.get(found, F.lit(0))["phrase"].alias("phrase"), F.lit(source).alias("source")))
+
+    said = F.flatten(F.transform(context, lambda c: F.filter(
+        phrases, lambda p: (F.length(p["key"]) >= MIN_CONTEXT_PHRASE) & F.contains(c["squashed"], p["key"]))))
+    return F.coalesce(first(inside(prompt), "prompt"), first(F.flatten(F.transform(params, lambda p: inside(p["value"]))), "params"),
+                      first(said, "context"))
+
+
+def screen(raw: DataFrame, tools: DataFrame, context: DataFrame, chains: DataFrame | None = None,
            exclude_destructive: bool = False) -> DataFrame:
-    """The rules that look at one candidate alone: ``before`` and ``after`` the judge count.
+    """The rules that look at one candidate alone, in one pass: ``before`` and ``after`` the judge count, with what they changed and saw.
 
-    raw: run_id, position, task (variant). tools: run_id, name, read_only,
-    destructive_hint. context: run_id, text_no, text. ``before`` is the first
-    failing rule up to the check policy, ``after`` the first one behind it.
+    raw: run_id, position, task (variant), and if it is there source, the task's JSON text as written, which decides the order of
+    parameters and answer leaves. tools, context, chains: see ``surfaces``. ``before`` is the first failing rule up to the check policy, ``after``
+    the first one behind it. Every candidate meets its run's surface once; all rules are expressions over that row. ``repairs`` lists
+    what was mended before the check rule, ``late_repairs`` behind it; ``evidence`` what a refused candidate is refused on.
     """
     t = F.col("task")
     listed = F.filter(F.transform(F.coalesce(typed.items(t, "$.expectedTools"), F.array().cast("array<variant>")),
                                   lambda e: typed.raw_text(e)), lambda e: e.isNotNull())
-    template = F.coalesce(typed.text(t, "$.promptTemplate"), typed.text(t, "$.prompt"), F.lit(""))
-    answer = F.when(typed.present(t, "$.answerKey"), F.to_json(typed.at(t, "$.answerKey")))
+    template = F.coalesce(typed.text(t, "$.promptTemplate"), typed.raw_text(t, "$.prompt"), F.lit(""))
+    source = F.col("source") if "source" in raw.columns else F.to_json("task")
+    check = typed.at(t, "$.check")
     rows = raw.select(
         "run_id", "position", text.task_slug(typed.raw_text(t, "$.id"), F.col("position")).alias("task_id"),
-        bound_params(typed.at(t, "$.params")).alias("params"), template.alias("template"),
-        F.array_distinct(listed).alias("expected_tools"), (F.size(listed) - F.size(F.array_distinct(listed))).alias("deduped"),
-        typed.text(t, "$.serverRequiredBecause").alias("requirement"), typed.at(t, "$.check").alias("check"),
+        template.alias("template"), listed.alias("listed"), F.array_distinct(listed).alias("expected_tools"),
+        typed.text(t, "$.serverRequiredBecause").alias("requirement"), check.alias("check"),
         typed.raw_text(t, "$.check.tool").alias("check_tool"),
         F.coalesce(typed.flag(t, "$.errorPath"), F.lit(False)).alias("error_path"),
-        F.coalesce(typed.flag(t, "$.destructive"), F.lit(False)).alias("flagged"), answer.alias("answer_key"),
+        F.coalesce(typed.flag(t, "$.destructive"), F.lit(False)).alias("flagged"),
+        F.when(typed.present(t, "$.answerKey"), F.to_json(typed.at(t, "$.answerKey"))).alias("answer_key"),
+        documents.task_source(source).alias("read"),
         validated(F.coalesce(typed.text(t, "$.check.pattern"), F.lit(""))).alias("pattern"))
-    rows = rows.withColumn("prompt", F.trim(text.render_prompt(F.col("template"), F.col("params")))).withColumn(
-        "phrases", F.coalesce(leak_phrases(F.col("answer_key")), F.array().cast("array<string>")))
-    rows = written(rows, "candidates")  # read once per rule below; parsed and rendered only here
-    keys = ["run_id", "position"]
-
-    surface = tools.select("run_id", F.col("name").alias("tool"), "read_only", "destructive_hint")
-    named = rows.select(*keys, F.explode(F.array_distinct(F.concat(
-        "expected_tools", F.array("check_tool")))).alias("tool")).where("tool IS NOT NULL")
-    known = named.join(surface.select("run_id", "tool"), ["run_id", "tool"], "left_semi").groupBy(*keys).agg(
-        F.collect_set("tool").alias("known"))
-    rows = rows.join(known, keys, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
-
-    phrases = rows.select(*keys, F.posexplode("phrases").alias("rank", "phrase"))
-    rows = rows.join(context_leaks(phrases, context, ["run_id"], ["position"]), keys, "left")
-    rows = rows.withColumn("own", own_leak(F.col("prompt"), F.col("params"), F.col("phrases")))
-
-    chained = chain_tools(rows.select(*keys, "expected_tools"), chains).select(*keys, "chained_tools", "unchained")
-    rows = rows.join(chained, keys, "left")
-    every = rows.select(*keys, F.explode("chained_tools").alias("tool")).join(surface, ["run_id", "tool"], "left")
-    risky = every.groupBy(*keys).agg(
-        F.bool_or(is_destructive(F.col("read_only"), F.col("destructive_hint"))).alias("risky"))
-    rows = rows.join(risky, keys, "left").withColumn(
-        "destructive", F.coalesce("risky", F.lit(False)) | F.col("flagged"))
-
-    tool_known = F.coalesce(F.array_contains("known", F.col("check_tool")), F.lit(False))
+    params = F.map_from_entries(F.transform(F.coalesce("read.params", F.array().cast("array<struct<name:string,value:string>>")),
+                                            lambda p: F.struct(p["name"], p["value"])))
+    phrases = F.filter(F.transform(F.coalesce("read.leaves", F.array().cast("array<string>")), lambda p: F.struct(
+        p.alias("phrase"), text.squash(p).alias("key"), text.collapse(p).alias("words"))), lambda p: F.length(p["key"]) >= MIN_PHRASE)
+    rows = rows.withColumn("prompt", F.trim(text.render_prompt(F.col("template"), params))).withColumn("phrases", phrases)
+    rows = written(rows, "candidates")  # parsed and rendered only here
+
+    rows = rows.join(shipped(surfaces(tools, context, chains)), "run_id", "left")
+    names = F.transform(F.coalesce("surface", F.array().cast(TOOLS)), lambda s: s["name"])
+    rows = rows.withColumn("unknown", F.array_except("expected_tools", names)).withColumn(
+        "tool_known", F.coalesce(F.array_contains(names, F.col("check_tool")), F.lit(False))).withColumn(
+        "leak", first_leak(F.col("prompt"), F.coalesce("read.params", F.array()), F.coalesce("context", F.array().cast(CONTEXT)),
+                           F.col("phrases"))).withColumn(
+        "chained", chained(F.col("expected_tools"), F.coalesce("chains", F.array().cast(CHAINS))))
+    # a tool that the surface lacks counts as destructive
+    safe = F.transform(F.filter(F.coalesce("surface", F.array().cast(TOOLS)), lambda s: ~s["risky"]), lambda s: s["name"])
+    rows = rows.withColumn("destructive", (F.size(F.array_except(F.col("chained.tools"), safe)) > 0) | F.col("flagged"))
+    refused = check_reason(F.col("check"), F.col("prompt"), F.col("error_path"), F.col("tool_known"),
+                           F.coalesce("pattern.ok", F.lit(False)), F.coalesce("pattern.java_pattern", F.lit("")))
     before = (
         F.when(F.col("prompt") == "", "malformed")
         .when(F.size("expected_tools") == 0, "no-expected-tools")
-        .when(F.size(F.array_except("expected_tools", "known")) > 0, "unknown-tool")
+        .when(F.size("unknown") > 0, "unknown-tool")
         .when(~F.coalesce(F.col("requirement").isin(*SERVER_REQUIREMENTS), F.lit(False)), "no-server-requirement")
-        .when(F.col("own.source") == "prompt", "answer-leak")
-        .when(F.col("own").isNotNull() | F.col("context_phrase").isNotNull(), "context-answer-leak")
-        .otherwise(check_reason(F.col("check"), F.col("prompt"), F.col("error_path"), tool_known,
-                                F.coalesce("pattern.ok", F.lit(False)), F.coalesce("pattern.java_pattern", F.lit("")))))
-    after = F.when(F.col("unchained"), "unchained-handle").when(
-        F.col("destructive") & F.lit(exclude_destructive), "destructive-excluded")
+        .when(F.col("leak.source") == "prompt", "answer-leak")
+        .when(F.col("leak").isNotNull(), "context-answer-leak")
+        .otherwise(refused))
+    rows = rows.withColumn("before", before).withColumn("after", F.when(F.col("chained.unchained").isNotNull(), "unchained-handle").when(
+        F.col("destructive") & F.lit(exclude_destructive), "destructive-excluded"))
+
+    none = F.lit(None).cast("string")
+    lost = F.size("listed") - F.size("expected_tools")
+    twice = F.filter("expected_tools", lambda e: F.size(F.filter("listed", lambda x: x == e)) > 1)
+    deduped = F.struct(F.lit("expected-tools-dedupe").alias("rule"), F.array_join(twice, ", ").alias("place"),
+                       F.size("listed").cast("string").alias("before"), F.size("expected_tools").cast("string").alias("after"))
+    kind = typed.text("check", "$.kind")
+    translated = F.struct(F.lit("check-pattern-dialect").alias("rule"), F.array_join("pattern.foreign", ", ").alias("place"),
+                          typed.text("check", "$.pattern").alias("before"), F.col("pattern.repaired").alias("after"))
+    foreign = kind.isin("regex", "tool_result_matches") & (F.size("pattern.foreign") > 0)
+    empty = F.array().cast(REPAIR)
+    repairs = F.when((F.col("prompt") != "") & (lost > 0), F.array(deduped)).otherwise(empty)
+    late = F.concat(F.when(F.coalesce(foreign, F.lit(False)), F.array(translated)).otherwise(empty), F.col("chained.repairs"))
+
+    unknown = F.coalesce(F.col("before") == "unknown-tool", F.lit(False))
+    leaked = F.coalesce(F.col("before").isin("answer-leak", "context-answer-leak"), F.lit(False))
+    by_check = refused.isNotNull() & F.coalesce(F.col("before") == refused, F.lit(False)) & ~leaked
+    evidence = F.struct(
+        F.when(leaked, F.col("leak.phrase")).alias("phrase"), F.when(leaked, F.col("leak.source")).alias("source"),
+        F.when(unknown, F.col("expected_tools")).alias("expected_tools"), F.when(unknown, F.col("unknown")).alias("unknown_tools"),
+        F.when(by_check, F.coalesce(typed.raw_text("check", "$.kind"), F.lit("none"))).alias("check_kind"),
+        *[F.when(by_check, typed.raw_text("check", f"$.{c}")).alias(f"check_{c}") for c in ("pattern", "value", "tool")],
+        F.when(by_check & (F.size("pattern.foreign") > 0), F.col("pattern.repaired")).alias("check_pattern_repaired"),
+        F.when(F.col("before").isNull() & (F.col("after") == "unchained-handle"), F.col("chained.unchained")).alias("unchained"),
+        F.when(unknown | leaked | by_check | (F.col("before") == "no-server-requirement"), F.substring("prompt", 1, EXCERPT)).alias("prompt_excerpt"))
     return rows.select(
-        *keys, "task_id", "prompt", "expected_tools", "chained_tools", "deduped", "check", "answer_key", "destructive",
-        F.coalesce("own.phrase", "context_phrase").alias("leak_phrase"),
-        F.coalesce(typed.text("check", "$.kind") == "judge", F.lit(False)).alias("is_judge"),
-        before.alias("before"), after.alias("after"))
+        "run_id", "position", "task_id", "prompt", "expected_tools", F.col("chained.tools").alias("chained_tools"), lost.alias("deduped"),
+        "check", "answer_key", "destructive", F.col("leak.phrase").alias("leak_phrase"),
+        F.coalesce(kind == "judge", F.lit(False)).alias("is_judge"), "before", "after",
+        repairs.cast(REPAIR).alias("repairs"), late.cast(REPAIR).alias("late_repairs"), evidence.alias("evidence"), none.alias("__none")).drop("__none")
+
+
+def repair_rows(admitted: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """keys, position, task_id, repair_no, rule, place, before, after: what was mended, as far as each candidate got.
+
+    admitted: what ``admit`` returns for screened candidates. A repeated id and an empty prompt end a candidate before any repair, a check
+    that is refused before those behind it.
+    """
+    behind = F.col("before").isNull() & ~F.coalesce(F.col("reason") == "check-too-permissive", F.lit(False))
+    made = F.when(F.coalesce(F.col("reason") == "duplicate-id", F.lit(False)), F.array().cast(REPAIR)).when(
+        behind, F.concat("repairs", "late_repairs")).otherwise(F.col("repairs"))
+    rows = admitted.select(*keys, "position", "task_id", F.posexplode(made).alias("repair_no", "r"))
+    return rows.select(*keys, "position", "task_id", "repair_no", "r.*")
+
+
+def drop_rows(admitted: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """keys, position, task_id, reason and the evidence of every candidate that was dropped; a repeated id is dropped before it is looked at."""
+    second_judge = F.col("before").isNull() & (F.col("reason") == "check-too-permissive")
+    excerpt = F.substring("prompt", 1, EXCERPT)
+    seen = F.when(second_judge, F.col("evidence").withField("check_kind", F.lit("judge")).withField("prompt_excerpt", excerpt)).otherwise(
+        F.col("evidence"))
+    own = F.when(F.coalesce(F.col("reason") != "duplicate-id", F.lit(False)), seen)
+    rows = admitted.where(F.col("reason").isNotNull()).select(*keys, "position", "task_id", "reason", own.alias("e"))
+    return rows.select(*keys, "position", "task_id", "reason", "e.*")
 
 
 def admit(screened: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -62,8 +62,7 @@ def suite_admission(raw: DataFrame, tools: DataFrame, context: DataFrame, cold:
                     target: int = admission.SUITE_TASKS, exclude_destructive: bool = False) -> DataFrame:
     """The synthesis ledger: one row per candidate with its fate. Written before it is
     returned, so it exists whatever happens to the suite afterwards."""
-    chains = admission.handle_chains(tools)
-    screened = admission.screen(raw, tools, context, chains, exclude_destructive)
+    screened = admission.screen(raw, tools, context, exclude_destructive=exclude_destructive)
     admitted = admission.null_screen(admission.admit(screened), cold)
     return written(admission.trim(admitted, target), "ledger")
 

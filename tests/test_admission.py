@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tapelake.functions import patterns, text
+from tapelake.functions import documents, patterns, text
 from tapelake.operators import admission
 
 
@@ -296,3 +296,64 @@ def test_suite_and_surface_hashes(spark):
     tools = spark.createDataFrame([("r", t["name"], json.dumps(t)) for t in listing], "run_id string, name string, definition string")
     want = sha([{"name": "a", "inputSchema": {"b": 1, "a": []}}, {"name": "z", "description": "d"}])
     assert rows(admission.surface_digests(tools), "digest") == [(want,)]
+
+
+def test_repairs_and_evidence(spark):
+    wanted = [
+        candidate(id="a", expectedTools=["get_record", "get_record"], check={"kind": "regex", "where": "final_text", "pattern": "(?i)(?P<n>Rott)er"}),
+        candidate(id="b", expectedTools=["get_record", "nope", "gone"]),
+        candidate(id="c", answerKey={"z": "harbour", "a": "ferry"}),
+        candidate(id="a"),
+        candidate(id="e", check={"kind": "regex", "where": "final_text", "pattern": "(?P<n>a"}),
+        candidate(id="f", check={"kind": "judge", "rubric": "good?"}),
+        candidate(id="g", expectedTools=["get_record", "get_record"], check={"kind": "judge", "rubric": "good?"}),
+        candidate(id="h", expectedTools=["move_it"])]
+    raw = spark.createDataFrame([("r", i, json.dumps(c)) for i, c in enumerate(wanted)], "run_id string, position int, source string")
+    raw = raw.withColumn("task", F.parse_json("source"))
+    more = [("r", "move_it", None, True, None, '{"properties": {"box_id": {}}, "required": ["box_id"]}')]
+    tools = tools_of(spark).unionByName(spark.createDataFrame(more, tools_of(spark).schema))
+    context = spark.createDataFrame([], "run_id string, text_no int, text string")
+    edges = admission.surface_edges(admission.surfaces(tools, context))
+    two = spark.createDataFrame([("r", "move_it", "box_id", True, p) for p in ("make_box", "open_box")], edges.schema)
+    got = admission.admit(admission.screen(raw, tools, context, edges.unionByName(two)))
+    repairs = rows(admission.repair_rows(got), "task_id", "repair_no", "rule", "place", "before", "after")
+    assert repairs == sorted([
+        ("a", 0, "expected-tools-dedupe", "get_record", "2", "1"),
+        ("a", 1, "check-pattern-dialect", "flags (?i), group (?P<name>)", "(?i)(?P<n>Rott)er", "(?<n>Rott)er"),
+        ("a", 2, "handle-chain", "get_record.record_id", None, "create_record"),
+        ("c", 0, "handle-chain", "get_record.record_id", None, "create_record"),
+        ("f", 0, "handle-chain", "get_record.record_id", None, "create_record"),
+        ("g", 0, "expected-tools-dedupe", "get_record", "2", "1")][:3] + [
+        ("f", 0, "handle-chain", "get_record.record_id", None, "create_record"), ("g", 0, "expected-tools-dedupe", "get_record", "2", "1")], key=repr)
+    drops = {(r.task_id, r.position): r for r in admission.drop_rows(got).collect()}
+    assert {k[0]: v.reason for k, v in drops.items() if k[1] != 3} == {
+        "b": "unknown-tool", "c": "answer-leak", "e": "invalid-check", "g": "check-too-permissive", "h": "unchained-handle"}
+    assert (drops["b", 1].unknown_tools, drops["b", 1].expected_tools) == (["nope", "gone"], ["get_record", "nope", "gone"])
+    assert (drops["c", 2].phrase, drops["c", 2].source) == ("harbour", "prompt")  # as written, not by name
+    assert (drops["e", 4].check_kind, drops["e", 4].check_pattern, drops["g", 6].check_kind) == ("regex", "(?P<n>a", "judge")
+    assert drops["h", 7].unchained == "move_it.box_id" and drops["a", 3].prompt_excerpt is None
+
+
+def test_listings_give_the_same_chains_as_edges(spark):
+    context = spark.createDataFrame([("r", 0, "x")], "run_id string, text_no int, text string")
+    own = admission.surface_edges(admission.surfaces(tools_of(spark), context))
+    assert rows(own, "consumer", "param", "required", "producer") == rows(
+        admission.handle_chains(tools_of(spark)), "consumer", "param", "required", "producer")
+
+
+def test_documents_are_read_as_written(spark):
+    task = '{"params": {"b": 1, "10": "x", "a": true, "2": 2.50}, "answerKey": {"z": "u", "1": ["v", 1e21], "a": null, "z": "w"}}'
+    df = spark.createDataFrame([(task,), ('{"params": [{"name": "q", "value": 1}, {"name": "q", "value": "2"}]}',), ("[1]",), ("no",), (None,)], "t string")
+    got = [(r.s.leaves, r.s.params and [tuple(p) for p in r.s.params]) for r in df.select(documents.task_source("t").alias("s")).collect()]
+    assert got == [(["v", "1e+21", "w"], [("2", "2.5"), ("10", "x"), ("b", "1"), ("a", "true")]), ([], [("q", "2")]), ([], []), ([], []), (None, None)]
+    replies = spark.createDataFrame([("r", 'x [ {"b": 1, "a": [2]} , 3, {"c": "]"}] y'), ("s", '{"z": {"tasks": 1}, "tasks": [{"d": 1}]}')], "run_id string, reply string")
+    assert rows(admission.task_rows(replies, ["run_id"], "reply"), "run_id", "position", "source") == [
+        ("r", 0, '{"b": 1, "a": [2]}'), ("r", 1, '{"c": "]"}'), ("s", 0, '{"d": 1}')]
+
+
+def test_canonical_documents(spark):
+    cases = {'{"b": 1.0, "a": [2, null, {"d": false, "c": "\\u001f"}]}': '{"a":[2,null,{"c":"\\u001f","d":false}],"b":1}',
+             '{"\uff5e": 1, "😀": 2, "é": 3, "z": 4, "Z": 5, "10": 6, "9": 7, "010": 8}': '{"9":7,"10":6,"010":8,"Z":5,"z":4,"é":3,"😀":2,"\uff5e":1}',
+             '[1e-7, 9007199254740993, -0.0, 1e400, 1E2, 0.1, "\\/", "\\ud800", "\u2028"]': '[1e-7,9007199254740992,0,null,100,0.1,"/","\\ud800","\u2028"]'}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c for r in df.select("t", admission.canonical(F.col("t")).alias("c")).collect()} == cases
