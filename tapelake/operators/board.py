@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelake.functions import text, typed
-from tapelake.operators.ordered import equi_join, fits, neighbour, row_number, running_sum
+from tapelake.operators.ordered import equi_join, neighbour, row_number, running_sum, with_running
 from tapelake.session import written
 from tapelake.sources.tapes import gate_record, gate_records
 
@@ -21,47 +21,22 @@ def rankable(outcome: Column, rate: Column, low: Column, high: Column, n: Column
     return F.coalesce((outcome == "SCORED") & present & (n > 0), F.lit(False))
 
 
-def _end_counts(rows: DataFrame, keys: Sequence[str], low: str, high: str) -> tuple[DataFrame, DataFrame]:
-    """Per interval end, how many ends lie below it.
+def dominance_rank(rows: DataFrame, band: Sequence[str], low: str, high: str) -> DataFrame:
+    """rank = 1 + how many intervals of the band lie wholly above; tied and group_size count the rows that share the rank.
 
-    Returns (keys, high, lows_to_high): lows at or below each high end, and
-    (keys, low, highs_below): highs below each low end. Equal ends are counted
-    together first, so a large band shrinks to its distinct values, and the
-    counts run over sorted ends instead of pairs of rows.
+    One sweep over the sorted ends: a row's high end carries the row and learns how many low ends lie at or below it, which leaves the others
+    above. Of equal ends the low ones come first, and a hash of the row spreads equal ones over slices. Rows that share a rank all overlap: no
+    low end lies between their high ends, so each one's low end is at or below every other's high end. Low ends may not exceed high ends.
     """
-    ends = rows.select(*keys, F.explode(F.array(
-        F.struct(F.col(low).alias("v"), F.lit(0).alias("is_high")),
-        F.struct(F.col(high).alias("v"), F.lit(1).alias("is_high")))).alias("e"))
-    distinct = ends.groupBy(*keys, F.col("e.v").alias("__v"), F.col("e.is_high").alias("__hi")).agg(
-        F.count(F.lit(1)).alias("__c"))
-    run = running_sum(distinct, keys, ["__v", "__hi"], {
-        "lows_to_high": F.when(F.col("__hi") == 0, F.col("__c")).otherwise(0),
-        "highs_below": F.when(F.col("__hi") == 1, F.col("__c")).otherwise(0)})
-    at_high = run.where("__hi = 1").select(*keys, F.col("__v").alias(high), "lows_to_high")
-    at_low = run.where("__hi = 0").select(*keys, F.col("__v").alias(low), "highs_below")
-    return at_high, at_low
-
-
-def dominance_rank(rows: DataFrame, band: Sequence[str], low: str, high: str) -> DataFrame:
-    """rank = 1 + how many intervals of the band lie wholly above; tied and group_size
-    count the overlapping rows that share the rank. The intervals (one row per run) are
-    read several times, so they are written once."""
-    rows = written(rows, "intervals")
-    total = rows.groupBy(*band).agg(F.count(F.lit(1)).alias("__n"))
-    at_high, _ = _end_counts(rows, band, low, high)
-    ranked = equi_join(equi_join(rows, at_high, [*band, high], "inner", nulls=False), total, band, "inner")
-    ranked = ranked.withColumn("rank", 1 + F.col("__n") - F.col("lows_to_high")).drop("__n", "lows_to_high")
-    return _ties(written(ranked, "ranked"), band, low, high)
-
-
-def _ties(ranked: DataFrame, band: Sequence[str], low: str, high: str) -> DataFrame:
-    peers = [*band, "rank"]
-    at_high, at_low = _end_counts(ranked, peers, low, high)
-    rows = equi_join(equi_join(ranked, at_high, [*peers, high], "inner", nulls=False), at_low, [*peers, low], "inner",
-                     nulls=False)
-    # Lows up to my high end, less the highs that end before I start: those that overlap me, me included.
-    return rows.withColumn("group_size", F.col("lows_to_high") - F.col("highs_below")).withColumn(
-        "tied", F.col("group_size") > 1).drop("lows_to_high", "highs_below")
+    fields = F.struct(*[F.col(c) for c in rows.columns])
+    tie = F.xxhash64(*rows.columns)
+    ends = rows.select(*band, F.inline(F.array(
+        F.struct(F.col(low).alias("__v"), F.lit(0).alias("__hi"), tie.alias("__tie"), F.lit(None).cast(rows.schema).alias("__row")),
+        F.struct(F.col(high).alias("__v"), F.lit(1).alias("__hi"), tie.alias("__tie"), fields.alias("__row")))))
+    counted = with_running(ends, band, ["__v", "__hi", "__tie"], F.col("__hi") == 0, "__below", "__all")
+    ranked = counted.where("__hi = 1").select("__row.*", (1 + F.col("__all") - F.col("__below")).alias("rank"))
+    shared = ranked.groupBy(*band, "rank").agg(F.count(F.lit(1)).alias("group_size"))
+    return equi_join(ranked, shared, [*band, "rank"], "inner").withColumn("tied", F.col("group_size") > 1)
 
 
 def display_order(rows: DataFrame, band: Sequence[str], rate: str, name: str, low: str, high: str) -> DataFrame:
@@ -92,10 +67,7 @@ def cohorts(rows: DataFrame, server: Sequence[str], started: str, tie: str) -> D
     Runs with no start come after the dated ones, in file order.
     """
     keyed = rows.withColumn("__undated", F.col(started).isNull())
-    fit = fits(rows, server)
-    placed = row_number(keyed, server, ["__undated", started, tie], "attempt", fit).drop("__undated")
-    if fit:  # the window is there already
-        return placed.withColumn("runs", F.count(F.lit(1)).over(Window.partitionBy(*server)))
+    placed = row_number(keyed, server, ["__undated", started, tie], "attempt").drop("__undated")
     totals = rows.groupBy(*server).agg(F.count(F.lit(1)).alias("runs"))
     return equi_join(placed, totals, server, "inner", nulls=False)
 

@@ -15,11 +15,12 @@ from tapelake.operators.records import messages
 def tool_stats(call_rows: DataFrame, keys: Sequence[str] = ("run_id", "plane"), tool: str = "tool") -> DataFrame:
     """Calls, errors, pending, p50/p95 of the timed calls and the pairing they came from."""
     origin = F.when(F.min("origin") != F.max("origin"), "mixed").otherwise(F.min("origin"))
+    narrow = call_rows.select(*keys, tool, "latency_ms", F.col("error").isNotNull().alias("failed"), "pending", "origin")
     return nearest_rank(
-        call_rows, [*keys, tool],
+        narrow, [*keys, tool],
         {"p50_ms": ("latency_ms", 0.5), "p95_ms": ("latency_ms", 0.95)},
         [F.count(F.lit(1)).alias("calls"),
-         F.count("error").alias("errors"),
+         F.count_if("failed").alias("errors"),
          F.count_if("pending").alias("pending"),
          origin.alias("origin")])
 

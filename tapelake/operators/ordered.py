@@ -1,12 +1,11 @@
 """Ordered passes over groups of any size.
 
 A window whose partition key is a run, a server or a suite puts the whole group
-into one task. These helpers do that only after counting: while the largest
-group stays within the session's row limit a plain window is the best plan.
-Beyond it, the rows are range-partitioned on (keys, order) so a large group is
-cut into many slices, the slices are written once (slice numbers must not
-change if an executor is lost), each slice is scanned on its own, and one row
-per slice carries the running state across.
+into one task. Here the rows are range-partitioned on (keys, order) instead, so a
+large group is cut into slices of a partition's size each, the slices are written
+once (slice numbers must not change if an executor is lost), each slice is
+scanned on its own, and one row per slice carries the state across. Groups of
+every size take this one way.
 
 ``order`` must identify a row within its group, so that ties cannot pile up in
 one slice.
@@ -18,46 +17,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapelake.session import group_rows, written
+from tapelake.session import slices, written
 
 SLICE = "__slice"
 
 
-def _sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(largest group, all rows): one row comes back to the driver."""
-    row = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("most"), F.sum("n").alias("rows"))
-        .first()
-    )
-    return row["most"] or 0, row["rows"] or 0
-
-
-def fits(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Does every group fit into one task?
-
-    The first key alone is tried before all of them: it has far fewer groups, so
-    its counts combine on the map side, and if they fit the finer groups do too.
-    """
-    limit = group_rows(df.sparkSession)
-    if len(keys) > 1 and _sizes(df, keys[:1])[0] <= limit:
-        return True
-    return _sizes(df, keys)[0] <= limit
-
-
-def sliced(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], fit: bool | None = None
-) -> DataFrame | None:
-    """None while every group fits into one task, else the rows with slice numbers.
-
-    A caller that has counted the groups already passes the answer as ``fit``.
-    """
-    if fit or (fit is None and fits(df, keys)):
-        return None
-    limit = group_rows(df.sparkSession)
-    rows = _sizes(df, keys[:1])[1]
-    ranged = df.repartitionByRange(max(2, -(-rows // limit)), *keys, *order)
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with slice numbers, written. Their number follows the session's shuffle partitions, or `spark.tapelake.slices`."""
+    cut = slices(df.sparkSession)
+    ranged = df.repartitionByRange(cut, *keys, *order) if cut else df.repartitionByRange(*keys, *order)
     return written(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
@@ -81,14 +51,10 @@ def _join_slices(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column],
-    fit: bool | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` within each group."""
     exprs = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
-    cut = sliced(df, keys, order, fit)
-    if cut is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()])
+    cut = sliced(df, keys, order)
     w = Window.partitionBy(*_on(keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()])
     totals = cut.groupBy(*_on(keys)).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in exprs.items()])
@@ -103,14 +69,22 @@ def running_sum(
           .otherwise(F.coalesce(n, zero) + F.coalesce(f"__b_{n}", zero)).alias(n) for n in exprs])
 
 
-def row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, fit: bool | None = None
-) -> DataFrame:
+def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], test: Column, before: str, total: str) -> DataFrame:
+    """Add how many rows of the group up to this one pass ``test``, and how many of the whole group."""
+    cut = sliced(df, keys, order)
+    one = F.when(test, 1).otherwise(0).cast("long")
+    w = Window.partitionBy(*_on(keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumn("__own", F.sum(one).over(w))
+    per = cut.groupBy(*_on(keys)).agg(F.sum(one).alias("__t"))
+    ahead = _edges(per, keys).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(*_on(keys), F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__b"),
+                         F.sum("__t").over(Window.partitionBy(*keys)).alias(total))
+    return _join_slices(local, carried, keys).select(*df.columns, (F.col("__own") + F.col("__b")).alias(before), total)
+
+
+def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Add the 1-based position of each row within its group."""
-    cut = sliced(df, keys, order, fit)
-    if cut is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
+    cut = sliced(df, keys, order)
     local = cut.withColumn(
         "__rn", F.row_number().over(Window.partitionBy(*_on(keys)).orderBy(*order)).cast("long"))
     sizes = cut.groupBy(*_on(keys)).agg(F.count(F.lit(1)).alias("__n"))
@@ -122,15 +96,11 @@ def row_number(
 
 def neighbour(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], step: int,
-    fit: bool | None = None,
 ) -> DataFrame:
     """Add the previous (step=-1) or next (step=1) row's values within the group."""
     assert step in (-1, 1)
     shift = F.lag if step < 0 else F.lead
-    cut = sliced(df, keys, order, fit)
-    if cut is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[shift(c).over(w).alias(n) for n, c in values.items()])
+    cut = sliced(df, keys, order)
     w = Window.partitionBy(*_on(keys)).orderBy(*order)
     payload = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     local = cut.select("*", shift(payload).over(w).alias("__near"))
@@ -143,47 +113,95 @@ def neighbour(
     return out.select(*df.columns, *[near[n].alias(n) for n in values])
 
 
+DIGIT = 16  # bits of a value that one pass of the selection settles
+
+
+def ordered_bits(value: Column, kind: T.DataType) -> Column:
+    """A long that orders, bit by bit from the top and without sign, as the values do. Integers, decimals of up to 18 digits,
+    timestamps, dates and floating-point numbers; -0.0 counts as 0.0."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        size = F.abs(value.cast("double"))
+        near = F.floor(F.log2(size)).cast("int")
+        up, down = F.pow(F.lit(2.0), near + 1) <= size, F.pow(F.lit(2.0), near) > size
+        power = F.greatest(F.lit(-1022), F.when(up, near + 1).when(down, near - 1).otherwise(near))
+        whole = ((power + 1022).cast("long") * (1 << 52)) + (size / F.pow(F.lit(2.0), power) * float(1 << 52)).cast("long")
+        bits = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(whole)
+        signed = F.when(value < 0, -bits).otherwise(bits)
+    elif isinstance(kind, T.DecimalType):
+        if kind.precision > 18:
+            raise ValueError("decimals of more than 18 digits")
+        signed = (value * F.lit(10 ** kind.scale).cast("decimal(19,0)")).cast("long")
+    elif isinstance(kind, T.TimestampType):
+        signed = F.unix_micros(value)
+    elif isinstance(kind, T.DateType):
+        signed = F.unix_date(value).cast("long")
+    else:
+        signed = value.cast("long")
+    return signed.bitwiseXOR(F.lit(-1 << 63))
+
+
+def _select(rows: DataFrame, keys: Sequence[str], value: str, bits: str, top: int, wanted: Mapping[str, float]) -> DataFrame:
+    """(keys, a column per wanted fraction): exact nearest ranks by radix selection.
+
+    The values share all bits above the lowest `top`. A pass counts them by their next DIGIT bits, combined on the map side, finds the bucket
+    that holds each rank in at most 2^DIGIT counts of a group, and the next pass looks into that bucket only.
+    """
+    picks, name, rank, before = None, "__name", "__rank", "__before"
+    for done in range(0, max(top, 1), DIGIT):
+        shift = max(0, top - done - DIGIT)
+        prefix = F.shiftrightunsigned(bits, shift)
+        first = F.struct(F.col("__p"), (F.col("__cum") - F.col("__c")).alias(before), F.col("__v"))
+        if picks is None:
+            counted = rows.groupBy(*keys, prefix.alias("__p")).agg(F.count(F.lit(1)).alias("__c"), F.min(value).alias("__v"))
+            w = Window.partitionBy(*keys)
+            counted = counted.select("*", F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)).alias("__cum"),
+                                     F.sum("__c").over(w).alias("__n"))
+            ranks = {n: F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(float(p)) * F.col("__n")).cast("long")) for n, p in wanted.items()}
+            found = counted.groupBy(*keys).agg(*[F.min(F.when(F.col("__cum") >= r, F.struct(r.alias(rank), first.alias("at")))).alias(n)
+                                                 for n, r in ranks.items()])
+            found = found.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias(name), F.col(n).alias("f")) for n in wanted])).alias("e"))
+            picks = found.select(*keys, f"e.{name}", f"e.f.{rank}", "e.f.at.*")
+        else:
+            inside = rows.withColumn("__p", F.shiftrightunsigned(bits, shift + min(DIGIT, top - done)))
+            inside = equi_join(inside, picks.drop("__v"), [*keys, "__p"], "inner")
+            counted = inside.groupBy(*keys, name, rank, before, prefix.alias("__p")).agg(F.count(F.lit(1)).alias("__c"), F.min(value).alias("__v"))
+            w = Window.partitionBy(*keys, name).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+            counted = counted.withColumn("__cum", F.col(before) + F.sum("__c").over(w))
+            found = counted.groupBy(*keys, name, rank).agg(F.min(F.when(F.col("__cum") >= F.col(rank), first)).alias("at"))
+            picks = found.select(*keys, name, rank, "at.*")
+    return picks.groupBy(*keys).agg(*[F.max(F.when(F.col(name) == n, F.col("__v"))).alias(n) for n in wanted])
+
+
 def nearest_rank(
     df: DataFrame,
     keys: Sequence[str],
     ranks: Mapping[str, tuple[str, float]],
     aggs: Sequence[Column] = (),
 ) -> DataFrame:
-    """Group by ``keys`` with ``aggs`` plus nearest-rank percentiles.
+    """Group by ``keys`` with ``aggs`` plus nearest-rank percentiles, exact for groups of any size.
 
-    ``ranks`` maps an output name to (value column, fraction). NULL and NaN
-    values do not count; a group without values gives NULL. ``percentile_disc``
-    keeps one entry per distinct value of a group, so beyond the row limit the
-    values are counted first and the rank is found on a running count.
+    ``ranks`` maps an output name to (value column, fraction). NULL and NaN values do not count; a group without values gives NULL. The
+    rows are written once, so select what is needed before; one more job finds how many bits the values differ in, which sets the number of
+    passes (one for values within 2^16 of each other, at most four).
     """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    columns = list(dict.fromkeys(c for c, _ in ranks.values()))
+
     def finite(c: str) -> Column:
-        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) if isinstance(types[c], (T.DoubleType, T.FloatType)) else F.col(c)
 
-    types = {f.name: f.dataType for f in df.schema.fields}
-    if fits(df, keys):
-        disc = [
-            F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __v_{n})").cast(types[c]).alias(n)
-            for n, (c, p) in ranks.items()
-        ]
-        valued = df.select("*", *[finite(c).alias(f"__v_{n}") for n, (c, _) in ranks.items()])
-        return valued.groupBy(*keys).agg(*aggs, *disc)
-
-    out = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__rows"))
-    for column in {c for c, _ in ranks.values()}:
+    rows = written(df.withColumns({f"__b{i}": ordered_bits(finite(c), types[c]) for i, c in enumerate(columns)}), "ranked")
+    ends = rows.agg(*[f(f"__b{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("low", F.min), ("high", F.max))]).first()
+    out = rows.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__rows"))
+    for i, column in enumerate(columns):
+        low, high = ends[f"low{i}"], ends[f"high{i}"]
         wanted = {n: p for n, (c, p) in ranks.items() if c == column}
-        counted = (
-            df.select(*keys, finite(column).alias("__v")).where(F.col("__v").isNotNull())
-            .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-        )
-        cum = running_sum(counted, keys, ["__v"], {"__cum": "__c"})
-        total = counted.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-        ranked = equi_join(cum, total, keys, "inner")
-        picks = ranked.groupBy(*keys).agg(*[
-            F.min(F.when(F.col("__cum") >= F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("__n"))),
-                         F.col("__v"))).alias(n)
-            for n, p in wanted.items()
-        ])
-        out = equi_join(out, picks, keys, "left")
+        if low is None:
+            out = out.withColumns({n: F.lit(None).cast(types[column]) for n in wanted})
+            continue
+        top = ((low ^ high) & ((1 << 64) - 1)).bit_length()
+        valued = rows.where(F.col(f"__b{i}").isNotNull())
+        out = equi_join(out, _select(valued, keys, column, f"__b{i}", top, wanted), keys, "left")
     return out.drop("__rows")
 
 

@@ -7,11 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of one group that a single task may be given. Operators that need an
-# ordered pass over a group look at the largest group first and cut it into
-# slices beyond this size.
-GROUP_ROWS_KEY = "spark.tapelake.groupRows"
-GROUP_ROWS = 2_000_000
+# Slices that an ordered pass cuts its rows into; unset, Spark's shuffle partitions and AQE decide.
+SLICES_KEY = "spark.tapelake.slices"
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,8 +28,8 @@ def build_session(app: str = "tapelake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def group_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(GROUP_ROWS_KEY, str(GROUP_ROWS)))
+def slices(spark: SparkSession) -> int:
+    return int(spark.conf.get(SLICES_KEY, "0"))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tapelake.session import GROUP_ROWS_KEY, build_session  # noqa: E402
+from tapelake.session import SLICES_KEY, build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,11 +20,11 @@ def spark():
 
 @pytest.fixture(params=["whole", "sliced"])
 def group_limit(spark, request):
-    """Run a test twice: groups in one task, and groups cut into slices of a few rows."""
+    """Run a test twice: with the slices that Spark chooses, and with slices of a few rows."""
     if request.param == "sliced":
-        spark.conf.set(GROUP_ROWS_KEY, "3")
+        spark.conf.set(SLICES_KEY, "17")
     yield request.param
-    spark.conf.unset(GROUP_ROWS_KEY)
+    spark.conf.unset(SLICES_KEY)
 
 
 def rows(df, *columns):

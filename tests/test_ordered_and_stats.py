@@ -1,9 +1,13 @@
+import datetime
+import decimal
 import math
 import random
+import struct
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import rows
 from tapelake.functions import stats
@@ -146,3 +150,30 @@ def test_reading_orders_and_an_unreached_plan(spark):
     assert [r.rule for r in admission.by_dropped(ledger).collect()] == ["c", "a", "b"]
     none = stats.plan(spark, 0.9, 0.8, max_n=20).first()
     assert (none.n, none.searched_to) == (None, 20)
+
+
+def test_bits_order_as_the_values(spark):
+    rng = random.Random(3)
+    values = [0.0, -0.0, 1.0, 2.0, 4.0, 0.1, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 1e22, 2.0 ** 52 + 1]
+    values += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)] + [2.0 ** k * f for k in range(-1070, 1020, 7) for f in (1, 1.0000000000000002, 1.9999999999999998)]
+    values = [v for v in values if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("b", ordered.ordered_bits(F.col("v"), T.DoubleType()))
+    for r in df.collect():
+        raw = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.b ^ (-1 << 63) == (-raw if r.v < 0 else raw), r.v
+    more = spark.createDataFrame([(5, datetime.date(2020, 1, 1), decimal.Decimal("-1.25"))], "i int, d date, m decimal(10,2)")
+    kinds = {f.name: f.dataType for f in more.schema}
+    got = more.select(*[ordered.ordered_bits(F.col(c), k).bitwiseXOR(F.lit(-1 << 63)).alias(c) for c, k in kinds.items()]).first()
+    assert tuple(got) == (5, 18262, -125)
+
+
+def test_percentiles_of_wide_values_take_several_passes(spark):
+    rng = random.Random(11)
+    data = [(rng.choice(["a", "a", "a", None]), rng.choice([rng.uniform(-1e9, 1e9), rng.gauss(0, 1e-9), float(rng.randrange(5))]), rng.randrange(1 << 40))
+            for _ in range(3000)]
+    df = spark.createDataFrame(data, "g string, x double, n long")
+    got = {r.g: r for r in ordered.nearest_rank(df, ["g"], {"a": ("x", 0.5), "b": ("x", 0.99), "c": ("n", 0.0), "d": ("n", 1.0), "e": ("n", 0.37)}).collect()}
+    for g in ("a", None):
+        xs, ns = sorted(x for k, x, _ in data if k == g), sorted(n for k, _, n in data if k == g)
+        pick = lambda v, p: v[max(1, math.ceil(p * len(v))) - 1]
+        assert tuple(got[g])[1:] == (pick(xs, .5), pick(xs, .99), pick(ns, 0), pick(ns, 1), pick(ns, .37))
