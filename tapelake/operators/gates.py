@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapelake.functions import stats
+from tapelake.functions import stats, typed
 from tapelake.operators.ordered import equi_join, nearest_rank, row_number, running_sum
 from tapelake.session import written
 
@@ -171,7 +174,7 @@ def structural(candidates: DataFrame, keys: Sequence[str], generated: Column, ho
 
 # --- order invariance -----------------------------------------------------------
 
-# Up to this many answers per item the maximum is taken over answer subsets.
+# Up to this many answers per item the maximum is taken over answer subsets; a bound on the arrays inside a row, not on the result.
 SUBSET_ANSWERS = 12
 
 
@@ -205,60 +208,60 @@ def order_invariance(answers: DataFrame, item: Sequence[str], ordering: str, key
 
 
 def max_variation(counts: DataFrame, item: Sequence[str], ordering: str, key: str) -> DataFrame:
-    """Largest total variation between any two orderings of an item.
+    """Largest total variation between any two orderings of an item, whose distinct distributions (orderings times answers) one row holds.
 
-    Total variation is the largest difference two distributions can have on a
-    subset of answers, so the maximum over all pairs is, per subset, the highest
-    minus the lowest probability any ordering gives it. No pair of orderings is
-    ever formed. Items with many distinct answers would need too many subsets;
-    there every answer's own range bounds the pairs worth comparing.
+    Total variation is the largest difference two distributions can have on a subset of answers, so the maximum over all pairs is, per subset,
+    the highest minus the lowest probability any ordering gives it. The sums over all subsets are built inside the row, answer by answer, and
+    highest and lowest are kept element by element, so no pair of orderings is formed. A subset and its complement differ alike, which leaves one
+    answer out. Items of more than SUBSET_ANSWERS answers would need too many subsets; see ``farthest``.
     """
-    sizes = counts.groupBy(*item, ordering).agg(F.sum("c").alias("__n"))
-    width = counts.select(*item, key).distinct().groupBy(*item).agg(F.count(F.lit(1)).alias("__d"))
-    shares = equi_join(equi_join(counts, sizes, [*item, ordering], "inner", nulls=False), width, item, "inner", nulls=False)
-    shares = written(shares.select(*item, ordering, key, (F.col("c") / F.col("__n")).alias("p"), "__d"), "shares")
-    few = shares.where(F.col("__d") <= SUBSET_ANSWERS)
-    listed = few.select(*item, key).distinct().groupBy(*item).agg(F.array_sort(F.collect_list(key)).alias("__keys"))
-    masks = equi_join(few, listed, item, "inner", nulls=False).select(
-        *item, ordering, "p", "__d", (F.array_position("__keys", F.col(key)) - 1).alias("__bit"))
-    # The complement of a subset gives the same difference, so the last answer is never in one.
-    vectors = masks.groupBy(*item, ordering, "__d").agg(
-        F.map_from_entries(F.collect_list(F.struct("__bit", "p"))).alias("__p"))
-    top = F.pow(F.lit(2), F.col("__d") - 1).cast("int")
-    subsets = vectors.select(
-        *item, ordering, "__p", F.explode(F.sequence(F.lit(0), top - 1)).alias("__mask"))
-    weight = F.aggregate(
-        F.map_entries("__p"), F.lit(0.0),
-        lambda s, e: s + F.when(_bit(F.col("__mask"), e["key"]), e["value"]).otherwise(0.0))
-    per_subset = subsets.groupBy(*item, "__mask").agg((F.max(weight) - F.min(weight)).alias("d"))
-    exact = per_subset.groupBy(*item).agg(F.max("d").alias("dispersion"))
-
-    wide = shares.where(F.col("__d") > SUBSET_ANSWERS)
-    return exact if wide.isEmpty() else exact.unionByName(_pairwise(wide.drop("__d"), item, ordering, key))
-
-
-def _bit(mask: Column, bit: Column) -> Column:
-    return F.pmod(F.floor(mask / F.pow(F.lit(2.0), bit.cast("double"))), F.lit(2)) == 1
-
-
-def _pairwise(shares: DataFrame, item: Sequence[str], ordering: str, key: str) -> DataFrame:
-    """Exact maximum for items with many answers: 1 minus the smallest shared mass.
-
-    Orderings of one item meet only on answers they share, so the join is on
-    (item, answer); a pair with no shared answer is at distance 1 and is found by
-    counting the pairs that did meet. A probe tries a handful of orderings per
-    item, so the pairs of an item stay few however many items there are.
+    shares = counts.groupBy(*item, ordering).agg(F.sum("c").alias("__n"), F.array_sort(F.collect_list(F.struct(key, "c"))).alias("__c"))
+    shares = shares.select(*item, F.transform("__c", lambda e: F.struct(e[key].alias("k"), (e["c"] / F.col("__n")).alias("p"))).alias("__d"))
+    rows = shares.groupBy(*item).agg(F.collect_set("__d").alias("__ds"))  # equal distributions count once
+    rows = rows.withColumn("__keys", F.array_sort(F.array_distinct(F.flatten(F.transform("__ds", lambda d: F.transform(d, lambda e: e["k"]))))))
+
+    def aligned(keys: Column) -> Column:
+        return F.transform("__ds", lambda d: typed.let(F.map_from_entries(d), lambda m: F.transform(
+            keys, lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))))
+
+    def sums(vector: Column) -> Column:
+        return F.aggregate(vector, F.array(F.lit(0.0)), lambda acc, p: F.concat(acc, F.transform(acc, lambda x: x + p)))
+
+    def widest(vectors: Column) -> Column:
+        first = sums(F.get(vectors, F.lit(0)))
+        ends = F.aggregate(vectors, F.struct(first.alias("low"), first.alias("high")), lambda acc, v: typed.let(sums(v), lambda s: F.struct(
+            F.zip_with(acc["low"], s, lambda a, b: F.least(a, b)).alias("low"), F.zip_with(acc["high"], s, lambda a, b: F.greatest(a, b)).alias("high"))))
+        return typed.let(ends, lambda e: F.array_max(F.zip_with(e["high"], e["low"], lambda h, n: h - n)))
+
+    few = F.size("__keys") <= SUBSET_ANSWERS
+    rows = rows.withColumn("__v", aligned(F.when(few, F.slice("__keys", F.lit(1), F.greatest(F.size("__keys") - 1, F.lit(0)))).otherwise(F.col("__keys"))))
+    wide = farthest(F.when(~few, F.col("__v")))
+    return rows.select(*item, F.when(few, widest(F.col("__v"))).otherwise(wide).alias("dispersion"))
+
+
+@F.pandas_udf(T.DoubleType())
+def farthest(distributions: pd.Series) -> pd.Series:
+    """Largest total variation within each list of distributions, by branch and bound.
+
+    Two distributions are no farther apart than their distances from the mean together. Taken by falling distance, a distribution is compared with
+    those before it whose distances can still beat the best pair, and the rest is left out once no pair of it can.
     """
-    left = shares.select(*item, key, F.col(ordering).alias("a"), F.col("p").alias("pa"))
-    right = shares.select(*item, key, F.col(ordering).alias("b"), F.col("p").alias("pb"))
-    met = equi_join(left, right, [*item, key], "inner").where("a < b").groupBy(*item, "a", "b").agg(
-        F.sum(F.least("pa", "pb")).alias("shared"))
-    by_item = met.groupBy(*item).agg(F.count(F.lit(1)).alias("pairs"), F.min("shared").alias("least"))
-    size = shares.select(*item, ordering).distinct().groupBy(*item).agg(F.count(F.lit(1)).alias("m"))
-    out = equi_join(size, by_item, item, "left")
-    every = F.col("m") * (F.col("m") - 1) / 2
-    return out.select(*item, F.when(F.col("m") < 2, 0.0).when(
-        F.coalesce("pairs", F.lit(0)) < every, 1.0).otherwise(1 - F.col("least")).alias("dispersion"))
+    def one(rows) -> float | None:
+        if rows is None:
+            return None
+        p = np.stack([np.asarray(r, float) for r in rows])
+        radius = np.abs(p - p.mean(axis=0)).sum(axis=1) / 2
+        order = np.argsort(-radius, kind="stable")
+        p, radius = p[order], radius[order]
+        best = 0.0
+        for i in range(1, len(p)):
+            if radius[i] + radius[0] <= best:
+                break
+            near = int(np.searchsorted(-radius[:i], radius[i] - best, side="left"))  # those with radius + radius[i] > best
+            if near:
+                best = max(best, float(np.abs(p[:near] - p[i]).sum(axis=1).max() / 2))
+        return best
+    return distributions.map(one)
 
 
 # --- ledger -----------------------------------------------------------------------

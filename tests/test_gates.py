@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,26 @@ def test_first_rows_are_bounded(spark, group_limit):
     df = spark.createDataFrame([("g", i, f"d{i}") for i in range(20)] + [("h", 1, "x")], "g string, i int, d string")
     got = {r.g: [(e.i, e.d) for e in r.few] for r in gates.first_rows(df, ["g"], ["i"], 3, ["d"], "few").collect()}
     assert got == {"g": [(0, "d0"), (1, "d1"), (2, "d2")], "h": [(1, "x")]}
+
+
+def test_many_answers_and_orderings(spark):
+    rng = random.Random(21)
+    data, counts = [], {}
+    for item, (answers, orderings) in enumerate([(40, 200), (12, 60), (13, 1), (2, 90)]):
+        for o in range(orderings):
+            for s in range(rng.randrange(1, 30)):
+                key = f"k{rng.choice([rng.randrange(answers), o % answers])}"
+                data.append((item, o, s, key))
+                c = counts.setdefault(item, {}).setdefault(o, {})
+                c[key] = c.get(key, 0) + 1
+    df = spark.createDataFrame(data, "item int, o int, seq int, key string")
+    got = {r.item: r.dispersion for r in gates.order_invariance(df, ["item"], "o", "key", "seq").collect()}
+    assert got == {item: pytest.approx(variation(by_order)) for item, by_order in counts.items()}
+
+
+def test_farthest_distributions_equal_all_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        p = rng.dirichlet(np.full(rng.integers(2, 30), rng.choice([0.05, 0.5, 5])), rng.integers(1, 40))
+        want = max([np.abs(a - b).sum() / 2 for a in p for b in p])
+        assert gates.farthest.func(pd.Series([[list(x) for x in p], None])).tolist()[0] == pytest.approx(want)
