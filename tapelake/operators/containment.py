@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapelake.session import written
 
 
 # A phrase side of up to so many bytes is shipped to every task; a larger one is shuffled, with the same result.
 SHIPPED_BYTES = 32 << 20
-
-
-def pieces(c: Column, q: int) -> Column:
-    """Cut a text into stretches that overlap by q - 1, so no gram is lost.
-
-    Taking a substring costs its distance from the start, so grams are cut from
-    stretches and not from the text itself; a stretch grows with the root of the
-    text, which keeps the whole cost at n to the power of 1.5.
-    """
-    size = F.greatest(F.lit(256), F.sqrt(F.length(c)).cast("int"))
-    spots = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), size)
-    return F.transform(spots, lambda i: F.substring(c, i, size + (q - 1)))
-
-
-def grams(c: Column, q: int) -> Column:
-    """Substrings of ``q`` characters of a short text."""
-    spots = F.sequence(F.lit(1), F.length(c) - (q - 1))
-    cut = F.transform(spots, lambda i: F.substring(c, i, F.lit(q)))
-    return F.when(F.length(c) >= q, cut).otherwise(F.array().cast("array<string>"))
+GRAM = 8  # bytes of a phrase that it is looked up by
 
 
 def shipped(df: DataFrame) -> DataFrame:
@@ -47,26 +32,175 @@ def shipped(df: DataFrame) -> DataFrame:
 
 def phrase_hits(
     phrases: DataFrame, texts: DataFrame, phrase_ids: Sequence[str], text_ids: Sequence[str],
-    phrase: str, text: str, q: int, on: Sequence[str] = (),
+    phrase: str, text: str, q: int = 1, on: Sequence[str] = (),
 ) -> DataFrame:
-    """(on, phrase_ids, text_ids) for every phrase that is a substring of a text.
+    """(on, phrase_ids, text_ids) for every phrase that is a substring of a text; NULL ``on`` values are equal to none.
 
-    Every phrase must have ``q`` characters or more. Each phrase is looked up by
-    one of its own grams only, the one fewest phrases share, so common grams
-    join nothing. With a phrase set of checked size the text grams never leave
-    the scan, only candidates do. Candidates are then checked against the whole
-    text.
+    Phrases have ``q`` characters or more. Each is known by one gram of its bytes (GRAM of them, or the whole of a shorter phrase), the one
+    fewest phrases share. A task runs over the bytes of a batch of texts at once and asks a bit table whether a place can be such a gram; what
+    passes is checked exactly. A phrase set of checked size goes to the tasks whole and hits come out at once; of a larger one only the bit table
+    does, and the grams found meet the phrases in a join on their hashes. No row is made for a place that the table rules out.
     """
-    own = phrases.select(*on, *phrase_ids, phrase, F.explode(grams(F.col(phrase), q)).alias("__gram"))
-    shared = own.groupBy(*on, "__gram").agg(F.count(F.lit(1)).alias("__n"))
-    anchors = own.join(shared, [*on, "__gram"]).groupBy(*on, *phrase_ids).agg(
-        F.min_by(F.struct("__gram", phrase), F.struct("__n", "__gram")).alias("__a"))
-    anchors = anchors.select(*on, *phrase_ids, F.col("__a.__gram").alias("__gram"), F.col(f"__a.{phrase}").alias(phrase))
-    cut = texts.select(*on, *text_ids, F.explode(pieces(F.col(text), q)).alias("__piece"))
-    spread = cut.select(*on, *text_ids, F.explode(grams(F.col("__piece"), q)).alias("__gram"))
-    candidates = spread.join(shipped(anchors), [*on, "__gram"]).drop("__gram").distinct()
-    whole = texts.select(*on, *text_ids, text)
-    return candidates.join(whole, [*on, *text_ids]).where(F.contains(F.col(text), F.col(phrase))).drop(phrase, text)
+    spark = texts.sparkSession
+    on, phrase_ids, text_ids = list(on), list(phrase_ids), list(text_ids)
+    group = F.xxhash64(*on) if on else F.lit(0).cast("long")
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    own = phrases.where(known & (F.octet_length(phrase) > 0)).select(*on, *phrase_ids, group.alias("__on"), F.col(phrase).alias("__phrase"))
+    own = written(own, "phrases")
+    size = own.agg(F.sum(F.octet_length("__phrase") + 64).alias("b")).first()["b"] or 0
+    body = texts.where(known & F.col(text).isNotNull()).select(*on, *text_ids, group.alias("__on"), F.col(text).alias("__text"))
+    names = [*on, *phrase_ids]
+    if size <= SHIPPED_BYTES:
+        out = T.StructType([*[f for f in texts.select(*on).schema], T.StructField("__no", T.LongType()), *texts.select(*text_ids).schema])
+        table = own.toArrow()
+        index = spark.sparkContext.broadcast(Anchors(table.column("__phrase").to_pylist(), table.column("__on").to_numpy(),
+                                                     list(zip(*[table.column(c).to_pylist() for c in on])) if on else None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, numbers = index.value.hits(batch.column("__text"), batch.column("__on"), [batch.column(c) for c in on])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in on], numbers, *[batch.column(c).take(rows) for c in text_ids]],
+                                                 schema=pa.schema([*[batch.schema.field(c) for c in on], pa.field("__no", pa.int64()),
+                                                                   *[batch.schema.field(c) for c in text_ids]]))
+
+        found = body.mapInArrow(run, out)
+        numbered = spark.createDataFrame(table.select(phrase_ids).append_column("__no", pa.array(range(table.num_rows), pa.int64())),
+                                         T.StructType([*own.select(*phrase_ids).schema, T.StructField("__no", T.LongType())]))
+        return found.join(F.broadcast(numbered), "__no").select(*names, *text_ids)
+
+    grams = own.withColumn("__id", F.monotonically_increasing_id())
+    grams = written(grams, "phrases")
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes = own_grams(batch.column("__phrase"), batch.column("__on").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(rows), pa.array(hashes.view(np.int64))], ["__id", "__gram"])
+
+    each = grams.select("__id", "__on", "__phrase").mapInArrow(anchors, "__id long, __gram long").distinct()
+    shared = each.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    chosen = each.join(shared, "__gram").groupBy("__id").agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"))
+    chosen = written(grams.join(chosen, "__id"), "anchors")
+    width = min(27, max(16, (16 * chosen.count()).bit_length()))
+    word = F.shiftrightunsigned("__gram", 64 - width + 6)
+    words = chosen.select(word.alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(__gram, {64 - width}) & 63 as int))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (width - 6), np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    lengths = [r[0] for r in chosen.select(F.least(F.octet_length("__phrase"), F.lit(GRAM))).distinct().collect()]
+    shipped_bits = spark.sparkContext.broadcast((np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool), sorted(lengths)))
+    out = T.StructType([*texts.select(*on, *text_ids).schema, T.StructField("__gram", T.LongType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, sizes = shipped_bits.value
+        for batch in batches:
+            parts = [places(batch.column("__text"), batch.column("__on").to_numpy(), n, table) for n in sizes]
+            pairs = np.unique(np.stack([np.concatenate([p[0] for p in parts]).astype(np.uint64), np.concatenate([p[1] for p in parts])]), axis=1)
+            rows = pa.array(pairs[0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in [*on, *text_ids]], pa.array(pairs[1].view(np.int64))],
+                                             schema=pa.schema([*[batch.schema.field(c) for c in [*on, *text_ids]], pa.field("__gram", pa.int64())]))
+
+    candidates = body.mapInArrow(scan, out).join(chosen.drop("__on", "__id"), [*on, "__gram"])
+    whole = candidates.join(body.drop("__on"), [*on, *text_ids])
+    return whole.where(F.contains("__text", "__phrase")).select(*names, *text_ids)
+
+
+def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a batch, and where each begins and ends."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def _hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every n neighbouring bytes."""
+    if len(data) < n:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(data) - n + 1, n, np.uint64)
+    for i in range(n):
+        out = (out << np.uint64(8)) + data[i:len(data) - n + 1 + i] if n <= 7 else out * np.uint64(257) + data[i:len(data) - n + 1 + i]
+    return out
+
+
+def _mixed(hashes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    x = (hashes ^ (group * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def places(column: pa.Array, groups: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every place of n bytes inside one text of the batch that the bit table lets through."""
+    data, offsets = _buffer(column)
+    groups = groups.view(np.uint64)
+    start, rows, found, shift = 0, [], [], np.uint64(64 - (len(table) - 1).bit_length())
+    while start < len(offsets) - 1:  # stretches of about 1 MB keep the arrays small
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + (1 << 20), "right")) - 1)
+        own = _hashes(data[offsets[start]:offsets[end]], n)
+        sizes = np.diff(offsets[start:end + 1])
+        row = np.repeat(np.arange(start, end), sizes)[:len(own)]
+        own = _mixed(own, groups[row])
+        at = np.flatnonzero(table[own >> shift])
+        inside = at + offsets[start] + n <= offsets[row[at] + 1]
+        rows.append(row[at][inside])
+        found.append(own[at][inside])
+        start = end
+    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.uint64)
+
+
+def own_grams(column: pa.Array, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the grams of each phrase: GRAM bytes each, or the whole of a shorter phrase."""
+    sizes = np.minimum(np.diff(_buffer(column)[1]), GRAM)
+    everything = np.ones(1 << 16, bool)
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == n)
+        row, found = places(column.take(pa.array(own)), groups[own], n, everything)
+        rows.append(own[row])
+        hashes.append(found)
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+class Anchors:
+    """A phrase set inside the tasks: for each gram length the anchors' hashes, and the phrases behind each."""
+
+    def __init__(self, phrases: list[str], groups: np.ndarray, keys: list[tuple] | None):
+        self.phrases, self.keys = [p.encode() for p in phrases], keys
+        column = pa.array(self.phrases, pa.binary())
+        rows, hashes = own_grams(column, groups)
+        _, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.lexsort((hashes, counts[where], rows))
+        first = np.append(True, np.diff(rows[order]) > 0) if len(order) else np.zeros(0, bool)
+        chosen = order[first]
+        sizes = np.array([min(len(p), GRAM) for p in self.phrases], np.int64)
+        self.tables = []
+        for n in np.unique(sizes).tolist():
+            own = chosen[sizes[rows[chosen]] == n]
+            own = own[np.argsort(hashes[own], kind="stable")]
+            unique, starts = np.unique(hashes[own], return_index=True)
+            width = min(27, max(16, (16 * len(unique)).bit_length()))
+            table = np.zeros(1 << width, bool)
+            table[unique >> np.uint64(64 - width)] = True
+            self.tables.append((n, table, unique, np.append(starts, len(own)), rows[own]))
+
+    def hits(self, column: pa.Array, groups: pa.Array, keys: list[pa.Array]) -> tuple[pa.Array, pa.Array]:
+        """(row, phrase number) of every phrase inside a text of its own group."""
+        rows, numbers = [], []
+        groups = groups.to_numpy()
+        for n, table, unique, starts, behind in self.tables:
+            row, found = places(column, groups, n, table)
+            at = np.minimum(np.searchsorted(unique, found), len(unique) - 1)
+            exact = unique[at] == found
+            pairs = np.unique(np.stack([row[exact], at[exact]]), axis=1)
+            for r, a in pairs.T.tolist():
+                text = column[r].as_py().encode()
+                own = tuple(k[r].as_py() for k in keys) if self.keys is not None else None
+                for number in behind[starts[a]:starts[a + 1]].tolist():
+                    if self.phrases[number] in text and (own is None or self.keys[number] == own):
+                        rows.append(r)
+                        numbers.append(number)
+        return pa.array(rows, pa.int64()), pa.array(numbers, pa.int64())
 
 
 def word_hits(

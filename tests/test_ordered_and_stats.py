@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from conftest import rows
 from tapelake.functions import stats
-from tapelake.operators import ordered
+from tapelake.operators import containment, ordered
 from tapelake.operators.containment import phrase_hits, word_hits
 
 
@@ -177,3 +177,20 @@ def test_percentiles_of_wide_values_take_several_passes(spark):
         xs, ns = sorted(x for k, x, _ in data if k == g), sorted(n for k, _, n in data if k == g)
         pick = lambda v, p: v[max(1, math.ceil(p * len(v))) - 1]
         assert tuple(got[g])[1:] == (pick(xs, .5), pick(xs, .99), pick(ns, 0), pick(ns, 1), pick(ns, .37))
+
+
+@pytest.mark.parametrize("shipped", [containment.SHIPPED_BYTES, 0])
+def test_phrases_inside_their_own_group(spark, monkeypatch, shipped):
+    monkeypatch.setattr(containment, "SHIPPED_BYTES", shipped)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abé漢 ") for _ in range(n))
+    phrases = [(rng.choice(["r", "s", None]), i, word(rng.randrange(0, 14))) for i in range(60)] + [("r", 60, None)]
+    texts = [(rng.choice(["r", "s", None]), i, word(rng.choice([0, 3, 30, 400]))) for i in range(40)] + [("r", 40, None), ("s", 41, "ab" * 40_000)]
+    texts += [("r", 42, phrases[3][2] + "|" + phrases[4][2]), ("r", 43, phrases[5][2][:2])]
+    p = spark.createDataFrame(phrases, "run string, pid int, phrase string")
+    t = spark.createDataFrame(texts, "run string, tid int, body string").repartition(3)
+    got = rows(phrase_hits(p, t, ["pid"], ["tid"], "phrase", "body", 1, ["run"]), "run", "pid", "tid")
+    assert got == sorted([(r, i, j) for r, i, a in phrases for s, j, b in texts if r and r == s and a and b and a in b], key=repr)
+    everywhere = rows(phrase_hits(p.drop("run"), t.drop("run"), ["pid"], ["tid"], "phrase", "body"), "pid", "tid")
+    assert everywhere == sorted([(i, j) for _, i, a in phrases for _, j, b in texts if a and b and a in b], key=repr)
+    assert phrase_hits(p.limit(0), t, ["pid"], ["tid"], "phrase", "body").count() == 0
