@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapelake.functions.text import has_word
 from tapelake.session import written
 
 
 # A phrase side of up to so many bytes is shipped to every task; a larger one is shuffled, with the same result.
 SHIPPED_BYTES = 32 << 20
+WORD_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+WORD_ENDS = frozenset(bytes([b]) for b in WORD_BYTES)
 GRAM = 8  # bytes of a phrase that it is looked up by
 
 
@@ -32,14 +35,15 @@ def shipped(df: DataFrame) -> DataFrame:
 
 def phrase_hits(
     phrases: DataFrame, texts: DataFrame, phrase_ids: Sequence[str], text_ids: Sequence[str],
-    phrase: str, text: str, q: int = 1, on: Sequence[str] = (),
+    phrase: str, text: str, q: int = 1, on: Sequence[str] = (), edges: bool = False,
 ) -> DataFrame:
     """(on, phrase_ids, text_ids) for every phrase that is a substring of a text; NULL ``on`` values are equal to none.
 
     Phrases have ``q`` characters or more. Each is known by one gram of its bytes (GRAM of them, or the whole of a shorter phrase), the one
     fewest phrases share. A task runs over the bytes of a batch of texts at once and asks a bit table whether a place can be such a gram; what
     passes is checked exactly. A phrase set of checked size goes to the tasks whole and hits come out at once; of a larger one only the bit table
-    does, and the grams found meet the phrases in a join on their hashes. No row is made for a place that the table rules out.
+    does, and the grams found meet the phrases in a join on their hashes. No row is made for a place that the table rules out. With ``edges``
+    only occurrences count that no letter or digit (a-z, 0-9) touches.
     """
     spark = texts.sparkSession
     on, phrase_ids, text_ids = list(on), list(phrase_ids), list(text_ids)
@@ -56,7 +60,7 @@ def phrase_hits(
         out = T.StructType([*[f for f in texts.select(*on).schema], T.StructField("__no", T.LongType()), *texts.select(*text_ids).schema])
         table = own.toArrow()
         index = spark.sparkContext.broadcast(Anchors(table.column("__phrase").to_pylist(), table.column("__on").to_numpy(),
-                                                     list(zip(*[table.column(c).to_pylist() for c in on])) if on else None))
+                                                     list(zip(*[table.column(c).to_pylist() for c in on])) if on else None, edges))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -103,7 +107,8 @@ def phrase_hits(
 
     candidates = body.mapInArrow(scan, out).join(chosen.drop("__on", "__id"), [*on, "__gram"])
     whole = candidates.join(body.drop("__on"), [*on, *text_ids])
-    return whole.where(F.contains("__text", "__phrase")).select(*names, *text_ids)
+    held = has_word(F.col("__text"), F.col("__phrase")) if edges else F.contains("__text", "__phrase")
+    return whole.where(held).select(*names, *text_ids)
 
 
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +170,8 @@ def own_grams(column: pa.Array, groups: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Anchors:
     """A phrase set inside the tasks: for each gram length the anchors' hashes, and the phrases behind each."""
 
-    def __init__(self, phrases: list[str], groups: np.ndarray, keys: list[tuple] | None):
-        self.phrases, self.keys = [p.encode() for p in phrases], keys
+    def __init__(self, phrases: list[str], groups: np.ndarray, keys: list[tuple] | None, edges: bool):
+        self.phrases, self.keys, self.edges = [p.encode() for p in phrases], keys, edges
         column = pa.array(self.phrases, pa.binary())
         rows, hashes = own_grams(column, groups)
         _, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -184,6 +189,12 @@ class Anchors:
             table[unique >> np.uint64(64 - width)] = True
             self.tables.append((n, table, unique, np.append(starts, len(own)), rows[own]))
 
+    def held(self, phrase: bytes, text: bytes) -> bool:
+        at = text.find(phrase)
+        while self.edges and at >= 0 and (at and text[at - 1] in WORD_BYTES or text[at + len(phrase):at + len(phrase) + 1] in WORD_ENDS):
+            at = text.find(phrase, at + 1)
+        return at >= 0
+
     def hits(self, column: pa.Array, groups: pa.Array, keys: list[pa.Array]) -> tuple[pa.Array, pa.Array]:
         """(row, phrase number) of every phrase inside a text of its own group."""
         rows, numbers = [], []
@@ -197,7 +208,7 @@ class Anchors:
                 text = column[r].as_py().encode()
                 own = tuple(k[r].as_py() for k in keys) if self.keys is not None else None
                 for number in behind[starts[a]:starts[a + 1]].tolist():
-                    if self.phrases[number] in text and (own is None or self.keys[number] == own):
+                    if self.held(self.phrases[number], text) and (own is None or self.keys[number] == own):
                         rows.append(r)
                         numbers.append(number)
         return pa.array(rows, pa.int64()), pa.array(numbers, pa.int64())
@@ -207,17 +218,5 @@ def word_hits(
     phrases: DataFrame, texts: DataFrame, phrase_ids: Sequence[str], text_ids: Sequence[str],
     phrase: str, text: str, on: Sequence[str] = (),
 ) -> DataFrame:
-    """(on, phrase_ids, text_ids) for every phrase found between word edges in a collapsed text.
-
-    The first run of letters and digits of such a phrase is a whole token of the
-    text, which gives the equality join; the phrase itself is checked after it.
-    """
-    from tapelake.functions.text import has_word
-
-    first = F.regexp_extract(F.col(phrase), "[a-z0-9]+", 0)
-    keyed = phrases.select(*on, *phrase_ids, phrase, first.alias("__token")).where("__token <> ''")
-    tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[a-z0-9]+"), F.lit(0)))
-    spread = texts.select(*on, *text_ids, F.explode(tokens).alias("__token"))
-    candidates = spread.join(shipped(keyed), [*on, "__token"]).drop("__token").distinct()
-    whole = texts.select(*on, *text_ids, text)
-    return candidates.join(whole, [*on, *text_ids]).where(has_word(F.col(text), F.col(phrase))).drop(phrase, text)
+    """(on, phrase_ids, text_ids) for every phrase found between word edges in a collapsed text; phrases without letter or digit are in none."""
+    return phrase_hits(phrases.where(F.regexp_like(phrase, F.lit("[a-z0-9]"))), texts, phrase_ids, text_ids, phrase, text, 1, on, edges=True)

@@ -2,6 +2,7 @@ import datetime
 import decimal
 import math
 import random
+import re
 import struct
 from fractions import Fraction
 
@@ -194,3 +195,16 @@ def test_phrases_inside_their_own_group(spark, monkeypatch, shipped):
     everywhere = rows(phrase_hits(p.drop("run"), t.drop("run"), ["pid"], ["tid"], "phrase", "body"), "pid", "tid")
     assert everywhere == sorted([(i, j) for _, i, a in phrases for _, j, b in texts if a and b and a in b], key=repr)
     assert phrase_hits(p.limit(0), t, ["pid"], ["tid"], "phrase", "body").count() == 0
+
+
+@pytest.mark.parametrize("shipped", [containment.SHIPPED_BYTES, 0])
+def test_words_between_edges(spark, monkeypatch, shipped):
+    monkeypatch.setattr(containment, "SHIPPED_BYTES", shipped)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab1é -") for _ in range(n))
+    phrases = [(i, word(rng.randrange(0, 5))) for i in range(60)]
+    texts = [(i, word(rng.choice([0, 3, 12, 60]))) for i in range(60)]
+    got = rows(word_hits(spark.createDataFrame(phrases, "pid int, phrase string"), spark.createDataFrame(texts, "tid int, body string"),
+                         ["pid"], ["tid"], "phrase", "body"), "pid", "tid")
+    found = lambda a, b: re.search("(^|[^a-z0-9])" + re.escape(a) + "($|[^a-z0-9])", b)
+    assert got == sorted([(i, j) for i, a in phrases for j, b in texts if re.search("[a-z0-9]", a) and found(a, b)], key=repr)
