@@ -269,20 +269,8 @@ def is_producer(name: Column, description: Column) -> Column:
 
 def name_matches(wanted: DataFrame, names: DataFrame, on: Sequence[str], want_ids: Sequence[str],
                  entity_col: str, name_ids: Sequence[str], name_col: str) -> DataFrame:
-    """(on, want_ids, name_ids) where a name contains the entity; entities of any length.
-
-    Names are short, so entities are found by their own leading gram, one length
-    class at a time (1, 2 and from 3 characters on).
-    """
-    wanted, names = written(wanted, "entities"), written(names, "names")
-    out = None
-    for q, top in ((1, 2), (2, 3), (3, None)):
-        part = wanted.where(F.length(entity_col) >= q)
-        if top is not None:
-            part = part.where(F.length(entity_col) < top)
-        hits = phrase_hits(part, names, want_ids, name_ids, entity_col, name_col, q, on)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    """(on, want_ids, name_ids) where a name contains the entity; entities of any length."""
+    return phrase_hits(wanted, names, want_ids, name_ids, entity_col, name_col, 1, on)
 
 
 def handle_chains(tools: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapelake.operators import containment
+from tapelake.session import written
+
 MARK = "[REDACTED]"
 
 # Secret shapes, as written for a regular expression engine with
@@ -354,7 +357,7 @@ def hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(spelled(pattern)))
 
 
-NEEDLES = 100_000  # secrets that one pass carries, as a broadcast variable
+NEEDLES = 100_000  # secrets, of SHIPPED_BYTES in all, that a broadcast variable carries; more are searched for in a join
 
 
 @lru_cache(maxsize=2)
@@ -369,23 +372,26 @@ def _automaton(secrets: tuple[str, ...]) -> ahocorasick.Automaton:
 def scrub(df: DataFrame, column: str, secrets: DataFrame) -> DataFrame:
     """Replace known secret values, longest first, so one inside another is not left in half.
 
-    ``secrets`` has one column ``secret``. Each text is searched once for all secrets of a pass and only those found are
-    replaced. Secrets travel as broadcast variables, never in the plan; a list of any length goes in passes of at most
-    NEEDLES, from the longest secrets to the shortest, with the same result.
+    ``secrets`` has one column ``secret``. What a text holds is searched for in the text as it came, and then replaced. A list of checked size
+    travels as a broadcast variable. A longer one stays in Spark: its secrets are numbered, found by their byte grams and joined to the rows
+    that hold them, with the same result. No secret is ever a constant of a plan.
     """
     spark = df.sparkSession
-    needles = secrets.where(F.length("secret") >= SECRET_CHARS).select(F.col("secret"), F.length("secret").alias("size")).distinct()
-    total = needles.count()
-    if not total:
+    needles = secrets.where(F.length("secret") >= SECRET_CHARS).select("secret").distinct()
+    size = needles.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("secret") + 64).alias("bytes")).first()
+    if not size["n"]:
         return df
-    last = None
-    for _ in range(-(-total // NEEDLES)):
-        rest = needles if last is None else needles.where(
-            (F.col("size") < last[0]) | ((F.col("size") == last[0]) & (F.col("secret") > F.lit(last[1]))))
-        own = rest.orderBy(F.desc("size"), "secret").limit(NEEDLES).collect()
-        last = (own[-1]["size"], own[-1]["secret"])
-        df = _scrubbed(df, column, spark.sparkContext.broadcast(tuple(r["secret"] for r in own)))
-    return df
+    if size["n"] <= NEEDLES and size["bytes"] <= containment.SHIPPED_BYTES:
+        own = sorted((r["secret"] for r in needles.collect()), key=lambda v: (-len(v), v))
+        return _scrubbed(df, column, spark.sparkContext.broadcast(tuple(own)))
+    needles = written(needles.withColumn("__secret_no", F.monotonically_increasing_id()), "needles")
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "scrubbed")
+    found = containment.phrase_hits(needles, rows, ["__secret_no"], ["__row"], "secret", column, SECRET_CHARS)
+    longest = F.array_sort(F.collect_list(F.struct((-F.length("secret")).alias("less"), "secret")))
+    held = found.join(needles, "__secret_no").groupBy("__row").agg(longest.alias("__held"))
+    clean = F.aggregate(F.coalesce("__held", F.array().cast("array<struct<less:int,secret:string>>")), F.col(column),
+                        lambda t, e: F.replace(t, e["secret"], F.lit(MARK)))
+    return rows.join(held, "__row", "left").withColumn(column, clean).select(*df.columns)
 
 
 def _scrubbed(df: DataFrame, column: str, secrets) -> DataFrame:

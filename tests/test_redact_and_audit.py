@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tapelake.functions import text
+from tapelake import session
 from tapelake.operators import audit, records, redact
 from tapelake.sources import tapes as source
 from tapes import lines
@@ -193,3 +194,31 @@ def test_bodies_and_lines(spark):
         text.snippet(F.lit("abcdef"), 4).alias("s"), text.is_schema_reject(F.lit("structuredContent does not match outputSchema")).alias("j")).first()
     assert line.a == "22 of 30, against a threshold of 0.90, p = 0.0078, alpha = 0.05" and line.b == "22 of 30, p = 1.23e-5"
     assert line.s == "abcd... [2 more characters]" and line.j
+
+
+@pytest.mark.parametrize("needles,size", [(100_000, 32 << 20), (1, 32 << 20), (1, 0)])
+def test_no_inner_plan_holds_a_secret(spark, monkeypatch, needles, size):
+    """All plans that are run on the way, not the last alone; the secrets come from a file, so no local table shows them either."""
+    from tapelake.operators import containment
+    monkeypatch.setattr(redact, "NEEDLES", needles)
+    monkeypatch.setattr(containment, "SHIPPED_BYTES", size)
+    secrets = [f"secret-{i:04d}" for i in range(40)] + ["secret-0003-and-more", "geheim-äöü"]
+    kept = session.written(spark.createDataFrame([(s,) for s in secrets], "secret string"), "kept")
+    rows_ = [(i, f"a {s} b {secrets[i - 1]}{s}", i) for i, s in enumerate(secrets)] + [(100, None, 0), (101, "none", 1)]
+    texts = session.written(spark.createDataFrame(rows_, "id int, body string, row int"), "kept")
+    plans = []
+
+    def recorded(df, label):
+        plans.append(df._jdf.queryExecution().toString())
+        return session.written(df, label)
+
+    monkeypatch.setattr(containment, "written", recorded)
+    monkeypatch.setattr(redact, "written", recorded)
+    out = redact.scrub(texts, "body", kept)
+    got = {r.id: r.body for r in out.collect()}
+    plans.append(out._jdf.queryExecution().toString())
+    for i, text, _ in rows_:
+        for s in sorted(secrets, key=lambda s: (-len(s), s)):
+            text = text and text.replace(s, redact.MARK)
+        assert got[i] == text
+    assert out.columns == texts.columns and not any("secret-0" in p or "geheim" in p for p in plans)
