@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapelake.functions import text, typed
-from tapelake.operators.ordered import equi_join, nearest_rank
+from tapelake.operators.ordered import equi_join, nearest_rank, row_number
 from tapelake.operators.records import messages
 
 
@@ -30,6 +30,12 @@ def by_calls(df: DataFrame, name: str) -> DataFrame:
     return df.orderBy(F.desc("calls"), F.collate(F.col(name), "UNICODE"))
 
 
+def placed(df: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Add `place`, the position in the reading order of ``by_calls`` within the keys; names that only differ in bytes follow those."""
+    rows = df.withColumn("__less", -F.col("calls")).withColumn("__name", F.collate(F.col(name), "UNICODE"))
+    return row_number(rows, list(keys), ["__less", "__name", name], "place").drop("__less", "__name")
+
+
 def by_time(df: DataFrame, t: str = "t") -> DataFrame:
     """Reading order of errors: by time, those without one first."""
     return df.orderBy(F.coalesce(F.col(t), F.lit("")))
