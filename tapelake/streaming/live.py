@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from tapelake.functions import stats
+from tapelake.functions import stats, text, typed
 from tapelake.operators.records import records
+from tapelake.sources import ledger
 from tapelake.sources.tapes import TAPE_PATH, parsed
 
 
@@ -87,3 +89,55 @@ def session_gaps(rows: DataFrame, keys: Sequence[str], ts: str, gap_ms: int, tie
     numbered = running_sum(near.withColumn("__start", starts), keys, ["__ms", tie], {"session": "__start"})
     return numbered.groupBy(*keys, "session").agg(
         F.min("__ms").alias("started_ms"), F.max("__ms").alias("ended_ms"), F.count(F.lit(1)).alias("events"))
+
+
+CALL = "struct<ord:bigint,t:string,tool:string,corr_id:string>"
+ANSWER = "struct<ord:bigint,t:string,error:string,protocol_error:boolean>"
+LIVE_CALLS = f"run_id string, plane string, source string, id string, request {CALL}, response {ANSWER}"
+
+
+def call_frames(lines: DataFrame, order: Column, method: str = "tools/call") -> DataFrame:
+    """Frames of tool calls and their answers in the shape of LIVE_CALLS, one side of each row NULL.
+
+    lines: run_id, plane, raw_text. ``order`` is a long over the parsed line ``v`` that tells which of two frames came first.
+    """
+    rows = records(parsed(lines).withColumn("line_no", order))
+    raw = F.col("raw")
+    asks = (F.col("dir") == "in") & F.coalesce(typed.raw_text(raw, "$.method") == method, F.lit(False))
+    failed = typed.present(raw, "$.error")
+    reason = F.when(failed, text.error_message(typed.at(raw, "$.error"))).otherwise(text.tool_error(raw))
+    request = F.struct(F.col("line_no").alias("ord"), "t", F.coalesce(typed.text(raw, "$.params.name"), F.lit("(unknown)")).alias("tool"), "corr_id")
+    answer = F.struct(F.col("line_no").alias("ord"), "t", reason.alias("error"), failed.alias("protocol_error"))
+    frames = rows.select(
+        "run_id", "plane", "source", F.try_variant_get(F.when(typed.present(raw, "$.id"), typed.at(raw, "$.id")), "$", "string").alias("id"),
+        F.when(asks, request).cast(CALL).alias("request"), F.when(F.col("dir") == "out", answer).cast(ANSWER).alias("response"))
+    return frames.where(F.col("id").isNotNull() & (F.col("request").isNotNull() | F.col("response").isNotNull()))
+
+
+def paired(frames: DataFrame) -> DataFrame:
+    """The last request and the first answer of each key. Frames that come twice, late or in any order change nothing."""
+    keys = ["run_id", "plane", "source", "id"]
+    return frames.groupBy(*keys).agg(F.max_by("request", "request.ord").alias("request"), F.min_by("response", "response.ord").alias("response"))
+
+
+def keep_calls(frames: DataFrame, path: str, checkpoint: str, buckets: int = ledger.BUCKETS) -> StreamingQuery:
+    """Keep a table of calls up to date from a stream of frames; ``calls_of`` reads it.
+
+    Every micro-batch is reduced to one row per call and merged into the table (``ledger.update``), which rewrites the buckets it touches. The
+    batch's number is the update's tag, so a batch that Spark repeats after a lost driver is applied once, and the checkpoint lets the stream go on where it
+    ended. No frame is too late: state is the table itself, not memory.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        ledger.update(paired(batch), path, ["run_id", "plane", "source", "id"], lambda old, new: paired(old.unionByName(new)), f"{checkpoint}#{number}", buckets)
+
+    return frames.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def calls_of(spark: SparkSession, path: str) -> DataFrame:
+    """The calls of a table that ``keep_calls`` writes: those asked for, with latency and error, pending while unanswered."""
+    rows = ledger.read(spark, path, LIVE_CALLS).where("request IS NOT NULL")
+    return rows.select(
+        "run_id", "plane", "source", "id", F.col("request.tool").alias("tool"), F.col("request.t").alias("t"), F.col("response.t").alias("end_t"),
+        F.when(F.col("response").isNotNull(), typed.millis_between(F.col("request.t"), F.col("response.t"))).alias("latency_ms"),
+        F.col("response.error").alias("error"), F.coalesce("response.protocol_error", F.lit(False)).alias("protocol_error"),
+        F.col("response").isNull().alias("pending"))
