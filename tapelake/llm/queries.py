@@ -91,7 +91,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS hos
                  FROM (SELECT r, host, string_split(text, E'\n') AS s FROM d WHERE text IS NOT NULL))),
      c AS (SELECT host, line, count(DISTINCT r) AS pages FROM l WHERE line <> '' GROUP BY ALL),
      b AS (SELECT host, line FROM c JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) USING (host)
-           WHERE n >= 20 AND pages > 0.1 * n),
+           WHERE pages >= 3 AND pages > 0.1 * n),
      k AS (SELECT r, coalesce(string_agg(raw, E'\n' ORDER BY i) FILTER (b.line IS NULL), '') AS text,
                   count(b.line) AS n_dropped FROM l LEFT JOIN b USING (host, line) GROUP BY r)
 SELECT doc_id, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(k.text) AS text_sha256,

@@ -1,11 +1,11 @@
 """Line dedup by site-relative frequency: a line that too many pages of one host hold is boilerplate of that host.
 
 Pages are grouped by host, the pages that hold a line are divided by the host's pages, and lines whose share exceeds
-`ratio` go from every page of the host. Lines are compared trimmed; empty lines are no lines and stay. Hosts of fewer
-than `min_pages` pages have too little to compare and keep everything.
+`ratio` go from every page of the host, if at least `least` pages hold them. Lines are compared trimmed; empty lines are no
+lines and stay. Hosts of every size are treated alike.
 
 Counting is a map-side combined aggregate over (host, line hash), so a hot line or host shrinks before it is shuffled.
-A host keeps at most (lines per page) / ratio boilerplate lines, so what is joined back to the pages is one short array
+A host has at most (lines per page) / ratio boilerplate lines, so what is joined back to the pages is one short array
 for each host that has any; Spark broadcasts it while it holds at most BROADCAST_LINES lines and otherwise joins by
 shuffle, where AQE splits a hot host. Texts are not shuffled in the first case. Built-in functions only.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tapelake.llm.common import columns, fresh
 from tapelake.session import written
 
-RATIO, MIN_PAGES = 0.1, 20
+RATIO, LEAST = 0.1, 3
 BROADCAST_LINES = 200_000  # 16 bytes each
 
 
@@ -44,22 +44,22 @@ def _keys(text: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-                min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, a, b, pages, host_pages) of each line that more than `ratio` of the host's pages hold."""
+                least: int = LEAST) -> DataFrame:
+    """(host, a, b, pages, host_pages) of each line that at least `least` and more than `ratio` of the host's pages hold."""
     named = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text"))
     counts = (named.select("host", F.explode(_keys(F.col("text"))).alias("line"))
               .groupBy("host", "line.a", "line.b").agg(F.count(F.lit(1)).alias("pages")))
-    totals = named.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= min_pages)
-    often = counts.where(F.col("pages") > ratio * min_pages)
+    totals = named.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    often = counts.where(F.col("pages") >= least)
     return often.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages"))
 
 
 def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-               min_pages: int = MIN_PAGES, dropped: str = "n_dropped") -> DataFrame:
+               least: int = LEAST, dropped: str = "n_dropped") -> DataFrame:
     """The pages with boilerplate lines taken out of `text`, and the number of lines that went in `dropped` (a column of that name is replaced)."""
     pages = pages.drop(dropped)
     gone_in, host_of, kept_in = fresh(pages, "_gone"), fresh(pages, "_host"), fresh(pages, "_kept")
-    found = written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
+    found = written(boilerplate(pages, host, text, ratio, least), "boilerplate")
     sets = found.groupBy(F.col("host").alias(host_of)).agg(F.collect_set(F.struct("a", "b")).alias(gone_in))
     if found.count() <= BROADCAST_LINES:
         sets = F.broadcast(sets)

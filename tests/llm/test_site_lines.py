@@ -7,7 +7,7 @@ from tapelake.llm import site_lines
 import cases
 
 
-def expected(rows, ratio=0.1, least=20):
+def expected(rows, ratio=0.1, least=3):
     hosts, lines = Counter(), Counter()
     for _, text, _, host, _ in rows:
         hosts[host or ""] += 1
@@ -17,7 +17,7 @@ def expected(rows, ratio=0.1, least=20):
     for doc_id, text, _, host, _ in rows:
         h = host or ""
         kept = None if text is None else [x for x in text.split("\n") if not (
-            hosts[h] >= least and lines[h, x.strip(" \t\n\x0b\f\r")] > ratio * hosts[h])]
+            lines[h, x.strip(" \t\n\x0b\f\r")] >= least and lines[h, x.strip(" \t\n\x0b\f\r")] > ratio * hosts[h])]
         out.append((doc_id, None if text is None else "\n".join(kept), 0 if text is None else text.count("\n") + 1 - len(kept)))
     return sorted(out, key=repr)
 
@@ -38,5 +38,12 @@ def test_lines_go_by_their_share_of_the_host(spark, monkeypatch, limit):
     assert sorted(((r["doc_id"], r["text"], r["n_dropped"]) for r in out.collect()), key=repr) == expected(rows)
 
 
+@pytest.mark.parametrize("size,gone", [(2, 0), (3, 1), (19, 1), (20, 1), (40, 1)])
+def test_a_footer_goes_from_hosts_of_every_size(spark, size, gone):
+    rows = [(i, f"own line {i}\nall rights reserved", "en", "host", 0) for i in range(size)] + [(99, "all rights reserved", "en", "other", 0)]
+    got = {r["doc_id"]: r["n_dropped"] for r in site_lines.drop_lines(cases.frame(spark, rows)).collect()}
+    assert got == {**{i: gone for i in range(size)}, 99: 0}
+
+
 def test_empty_table(spark):
     assert site_lines.drop_lines(cases.frame(spark, [])).count() == 0
