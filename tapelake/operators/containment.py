@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,15 +21,16 @@ WORD_ENDS = frozenset(bytes([b]) for b in WORD_BYTES)
 GRAM = 8  # bytes of a phrase that it is looked up by
 
 
+def bytes_of(*columns: str) -> Column:
+    """About the bytes that a row's columns take, nested ones as JSON."""
+    return F.octet_length(F.to_json(F.struct(*columns))) + 64
+
+
 def shipped(df: DataFrame) -> DataFrame:
     """Broadcast a side that is measured to be small, else leave the join to Spark. The side is written first, so measuring
     it does not compute it twice."""
     df = written(df, "phrases")
-    size = F.lit(64)
-    for name, kind in df.dtypes:
-        if kind in ("string", "binary"):
-            size = size + F.coalesce(F.octet_length(name), F.lit(0))
-    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    total = df.agg(F.sum(bytes_of(*df.columns).cast("long"))).first()[0] or 0
     return F.broadcast(df) if total <= SHIPPED_BYTES else df
 
 
@@ -53,7 +54,7 @@ def phrase_hits(
         known = known & F.col(c).isNotNull()
     own = phrases.where(known & (F.octet_length(phrase) > 0)).select(*on, *phrase_ids, group.alias("__on"), F.col(phrase).alias("__phrase"))
     own = written(own, "phrases")
-    size = own.agg(F.sum(F.octet_length("__phrase") + 64).alias("b")).first()["b"] or 0
+    size = own.agg(F.sum(bytes_of(*own.columns).cast("long"))).first()[0] or 0
     body = texts.where(known & F.col(text).isNotNull()).select(*on, *text_ids, group.alias("__on"), F.col(text).alias("__text"))
     names = [*on, *phrase_ids]
     if size <= SHIPPED_BYTES:
