@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tapelake.operators import admission, audit, board, gates, pairs, records, usage
+from tapelake.operators import admission, audit, board, gates, records, redact, usage
 from tapelake.plans.registry import query, table
 from tapelake.plans.table_tapes import event_lines
 from tapelake.session import scratch_dir, spread, written
@@ -154,3 +154,47 @@ def rewrite_pairs(spark, sf_dir):
     replies = row_number(sent, ["run_id"], ["position"], "no").select("run_id", (F.col("no") - 1).alias("position"), "task_id", "task")
     out = admission.rewrites(candidates, replies, d.where("c = 0").select("run_id", "position"))
     return out.select("run_id", F.col("position").alias("doc_id"), "matched_by", F.try_variant_get("task", "$.position", "long").alias("reply"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, max(l_linenumber) AS most FROM lineitem GROUP BY 1),
+     t AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem)
+SELECT 'o' || k AS run_id, 'null_baseline' AS gate, 't' || most || '::null-' || CASE WHEN k % 2 = 0 THEN 'no-tools' ELSE 'random' END AS corr_id FROM l WHERE k % 3 <> 0
+UNION ALL SELECT 'o' || l.k, 'answer_leak', 't' || n FROM l JOIN t ON l.k = t.k AND n = l.k % 7 + 1
+UNION ALL SELECT 'o' || k, 'construct', 't' || most || '::construct' FROM l""")
+def report_focus(spark, sf_dir):
+    """An order as a report whose tasks are its lines; what each gate's finding can be opened on. A leak names a line that may not be there."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_set("l_linenumber").alias("ns"), F.max("l_linenumber").cast("string").alias("most"))
+    k, worst = F.col("l_orderkey"), F.concat(F.lit("t"), "most")
+    label = F.when(k % 3 == 0, "unlisted").when(k % 2 == 0, "no-tools").otherwise("random-valid-args")
+    null = F.lit(None)
+
+    def record(gate, rates=None, leaks=None, task=None, n=None):
+        detail = F.struct((rates if rates is not None else null.cast("array<struct<label:string,taskId:string>>")).alias("rates"),
+                          (leaks if leaks is not None else null.cast("array<string>")).alias("leaks"),
+                          (task if task is not None else null.cast("string")).alias("taskId"), (n if n is not None else null).cast("int").alias("n"))
+        return F.struct(F.lit(gate).alias("gate"), detail.alias("detail"))
+
+    gates_ = F.array(record("null_baseline", rates=F.array(F.struct(label.alias("label"), worst.alias("taskId")))),
+                     record("answer_leak", leaks=F.array(F.concat(F.lit("t"), (k % 7 + 1).cast("string")))), record("construct", task=worst, n=F.lit(3)))
+    tasks = F.transform("ns", lambda n: F.struct(F.concat(F.lit("t"), n.cast("string")).alias("taskId")))
+    doc = F.to_json(F.struct(F.struct(F.concat(F.lit("o"), "l_orderkey").alias("id")).alias("run"), F.lit("SCORED").alias("outcome"),
+                             F.struct(gates_.alias("records")).alias("gates"), F.struct(tasks.alias("tasks")).alias("score")))
+    reports = written(tapes.reports_of(tapes.once(line.select(k.alias("file_order"), doc.alias("doc")), F.try_parse_json("doc"), "r")), "reports")
+    return board.gate_focus(reports, board.correlation_ids(reports)).select("run_id", "gate", "corr_id")
+
+
+@query("""
+SELECT c_custkey, '{"raw":{"long":"' || CASE WHEN length(c_name) > 6 THEN 'é' || substring(c_name, 1, 7) || ' [truncated, original ' || (length(c_name) + 2) || ' bytes]'
+            ELSE 'é' || c_name END || '","img":"' || CASE WHEN c_custkey % 2 = 0 THEN '[media dropped: 96 bytes]' ELSE md5(CAST(c_custkey AS VARCHAR)) END
+       || '","deep":{"token":"[REDACTED]","tokens":' || c_nationkey || '}}}' AS line FROM customer""")
+def redact_sizes(spark, sf_dir):
+    """Long texts cut by their bytes, media dropped by their size, key names that hold secrets; counts of tokens stay."""
+    image = F.md5(F.col("c_custkey").cast("string").cast("binary"))
+    line = F.to_json(F.struct(F.struct(
+        F.concat(F.lit("é"), "c_name").alias("long"), F.when(F.col("c_custkey") % 2 == 0, F.repeat(image, 3)).otherwise(image).alias("img"),
+        F.struct(F.col("c_mktsegment").alias("token"), F.col("c_nationkey").alias("tokens")).alias("deep")).alias("raw")))
+    rules = redact.Rules.of([{"type": "truncate", "path": "$..long", "maxBytes": 8}, {"type": "drop-media", "minBytes": 64}])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", line.alias("raw_text"))
+    return redact.redact_tapes(rows, rules).select("c_custkey", F.col("raw_text").alias("line"))
